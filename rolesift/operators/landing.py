@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.constants import FRESH_HOURS
+from rolesift.operators.joins import null_safe_join
 from rolesift.operators.rules import verdict_rows
 from rolesift.operators.upsert import new_rows
 
@@ -35,17 +36,12 @@ def load_counts(requests: DataFrame, loaded: DataFrame) -> DataFrame:
 
     Loaded rows are counted before the join, so a popular request stays one row.
     """
+    keys = ["profile_id", "keyword", "location", "site"]
     counts = loaded.groupBy(
-        F.col("profile_id").alias("_p"), F.col("search_keyword").alias("_k"),
-        F.col("search_location").alias("_l"), F.col("site").alias("_s"),
+        "profile_id", F.col("search_keyword").alias("keyword"),
+        F.col("search_location").alias("location"), "site",
     ).agg(F.count(F.lit(1)).alias("_n"))
-    hit = (
-        requests["profile_id"].eqNullSafe(counts["_p"])
-        & (requests["keyword"] == counts["_k"])
-        & requests["location"].eqNullSafe(counts["_l"])
-        & (requests["site"] == counts["_s"])
-    )
-    return requests.join(counts, hit, "left").select(
+    return null_safe_join(requests, counts, keys, "left").select(
         *requests.columns, F.coalesce("_n", F.lit(0)).cast("bigint").alias("rows_loaded")
     )
 

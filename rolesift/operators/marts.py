@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rolesift.constants import TOP_SKILLS
 from rolesift.operators.dedup import top_per_key
+from rolesift.operators.joins import null_safe_join
 
 
 def _blank(x: str) -> Column:
@@ -68,20 +69,12 @@ def salary_by_keyword(fact: DataFrame, dim_salary: DataFrame) -> DataFrame:
         ),
         "_n",
     ).filter("amount is not null")
-    fractions = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    quartiles = weighted_percentiles(amounts, [*groups, "side"], "amount", "_n", fractions)
-    wide = quartiles.groupBy(*groups).agg(
-        *[
-            F.max(F.when(F.col("side") == side, F.col(p))).alias(f"{p}_{side}")
-            for side in ("min", "max")
-            for p in fractions
-        ]
+    wide = weighted_percentiles(
+        amounts, groups, "side", ("min", "max"), "amount", "_n", {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     )
     totals = counted.groupBy(*groups).agg(F.sum("_n").alias("observation_count"))
-    on = [totals[g].eqNullSafe(wide[g]) for g in groups]
-    return totals.join(wide, on, "left").select(
-        *[totals[g] for g in groups],
-        *[f"{p}_{side}" for side in ("min", "max") for p in fractions],
+    return null_safe_join(totals, wide, groups, "left").select(
+        *groups, "p25_min", "p50_min", "p75_min", "p25_max", "p50_max", "p75_max",
         "observation_count",
     )
 
@@ -89,68 +82,78 @@ def salary_by_keyword(fact: DataFrame, dim_salary: DataFrame) -> DataFrame:
 def weighted_percentiles(
     values: DataFrame,
     groups: Sequence[str],
+    series: str,
+    series_values: Sequence[str],
     value: str,
     weight: str,
     fractions: dict[str, float],
 ) -> DataFrame:
-    """Exact interpolated percentiles per group without gathering a group in one place.
+    """Exact interpolated percentiles without gathering a group in one place.
+
+    Rows hold (groups, series, value, weight); the result has one row per group
+    and one column ``<fraction>_<series value>`` each.
 
     1. Equal values of a group collapse to one weighted row (partial aggregation).
     2. Values fall into ordered buckets of about 1.6 % width; the few bucket counts of
        a group give the bucket that holds each wanted rank.
     3. Only the values of those buckets are ordered, per (group, bucket).
     """
-    groups = list(groups)
+    keys = [*groups, series]
     distinct = (
-        values.groupBy(*groups, F.col(value).alias("_x"))
+        values.groupBy(*keys, F.col(value).alias("_x"))
         .agg(F.sum(weight).alias("_w"))
         .withColumn("_bucket", bucket_of(F.col("_x")))
     )
-    sizes = distinct.groupBy(*groups, "_bucket").agg(F.sum("_w").alias("_size"))
-    ordered = Window.partitionBy(*groups).orderBy("_bucket")
-    ranges = sizes.withColumns(
-        {
-            "_end": F.sum("_size").over(ordered),
-            "_total": F.sum("_size").over(Window.partitionBy(*groups)),
-        }
-    ).withColumn("_start", F.col("_end") - F.col("_size"))
-    wanted = F.array(
+    sizes = distinct.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_size"))
+    upto_bucket = Window.partitionBy(*keys).orderBy("_bucket")
+    whole = Window.partitionBy(*keys)
+    position = F.array(
         *[
             F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("_total") - 1)).alias("pos"))
             for name, p in fractions.items()
         ]
     )
-    ranks = ranges.select(*groups, "_bucket", "_start", "_end", F.inline(wanted)).select(
-        *groups, "_bucket", "_start", "_end", "name", "pos",
-        F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))).alias("rank"),
-    )
-    targets = ranks.filter("rank >= _start and rank < _end")
-    # one row per bucket with its wanted ranks (at most two per fraction)
-    per_bucket = targets.groupBy(*groups, "_bucket", "_start").agg(
-        F.collect_list(F.struct("name", "pos", "rank")).alias("_wanted")
-    )
-    on = [distinct[c].eqNullSafe(per_bucket[c]) for c in [*groups, "_bucket"]]
-    inside = distinct.join(per_bucket, on).select(
-        *[distinct[c] for c in [*groups, "_bucket"]], "_x", "_w", "_start", "_wanted"
-    )
-    upto = Window.partitionBy(*groups, "_bucket").orderBy("_x")
-    placed = inside.withColumn("_hi", F.col("_start") + F.sum("_w").over(upto)).withColumn(
-        "_lo", F.col("_hi") - F.col("_w")
-    )
-    hits = placed.select(
-        *groups, "_x", "_lo", "_hi", F.inline("_wanted")
-    ).filter("rank >= _lo and rank < _hi")
-    low, high = F.floor("pos"), F.ceil("pos")
-    ends = hits.groupBy(*groups, "name", "pos").agg(
-        F.max(F.when(F.col("rank") == low, F.col("_x"))).alias("_a"),
-        F.max(F.when(F.col("rank") == high, F.col("_x"))).alias("_b"),
-    )
-    share = F.col("pos") - F.floor("pos")
-    points = ends.withColumn("_p", F.col("_a") + (F.col("_b") - F.col("_a")) * share)
-    return points.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("name") == n, F.col("_p"))).alias(n) for n in fractions]
+    ranges = sizes.select(
+        *keys, "_bucket",
+        (F.sum("_size").over(upto_bucket) - F.col("_size")).alias("_start"),
+        F.sum("_size").over(upto_bucket).alias("_end"),
+        F.sum("_size").over(whole).alias("_total"),
+    )
+    # the ranks a bucket holds: at most two per fraction
+    held = F.filter(
+        position,
+        lambda w: (F.ceil(w["pos"]) >= F.col("_start")) & (F.floor(w["pos"]) < F.col("_end")),
+    )
+    targets = ranges.withColumn("_wanted", held).filter(F.size("_wanted") > 0)
+    inside = null_safe_join(distinct, targets.drop("_end", "_total"), [*keys, "_bucket"])
+    upto_value = Window.partitionBy(*keys, "_bucket").orderBy("_x")
+    high = F.col("_start") + F.sum("_w").over(upto_value)
+    hits = inside.select(
+        *keys, "_x", (high - F.col("_w")).alias("_lo"), high.alias("_hi"), F.inline("_wanted")
+    )
+
+    def at(rank: Column, name: str, kind: str) -> Column:
+        here = (F.col("_lo") <= rank) & (rank < F.col("_hi"))
+        mine = (F.col("name") == name) & (F.col(series) == kind)
+        return F.max(F.when(here & mine, F.col("_x")))
+
+    floor, ceil, share = F.floor("pos"), F.ceil("pos"), F.col("pos") - F.floor("pos")
+    columns = [(name, kind) for kind in series_values for name in fractions]
+    ends = hits.groupBy(*groups).agg(
+        *[at(floor, n, k).alias(f"_a_{n}_{k}") for n, k in columns],
+        *[at(ceil, n, k).alias(f"_b_{n}_{k}") for n, k in columns],
+        *[
+            F.max(F.when((F.col("name") == n) & (F.col(series) == k), share)).alias(f"_s_{n}_{k}")
+            for n, k in columns
+        ],
     )
 
+    def between(name: str) -> Column:
+        low, top = F.col(f"_a_{name}"), F.col(f"_b_{name}")
+        return (low + (top - low) * F.col(f"_s_{name}")).alias(name)
+
+    return ends.select(*groups, *[between(f"{n}_{k}") for n, k in columns])
+
 
 def bucket_of(x: Column) -> Column:
     """An order-keeping bucket number: logarithmic steps, mirrored for negative values."""

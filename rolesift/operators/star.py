@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.constants import SKILL_TYPES
@@ -28,7 +28,7 @@ def load_enriched(staging: DataFrame, enriched: DataFrame, judged: DataFrame) ->
     return joined.filter(kept).drop("ensemble_verdict")
 
 
-def _kept_if(x: str, test) -> F.Column:
+def _kept_if(x: str, test: Column) -> Column:
     return F.when(norm(test) != "", F.col(x))
 
 
@@ -114,3 +114,24 @@ def build_fact(enriched: DataFrame) -> DataFrame:
         }
     )
     return keyed.select(schema_of("fact_job_offers").names)
+
+
+STAR = ("dim_location", "dim_salary", "dim_skill", "fact_job_offers", "job_skill_bridge")
+
+
+def star_frame(gated: DataFrame, table: str) -> DataFrame:
+    """Candidate rows of one star table."""
+    if table == "dim_skill":
+        return build_dim_skill(skill_rows(gated))
+    if table == "job_skill_bridge":
+        return build_bridge(skill_rows(gated))
+    build = {
+        "dim_location": build_dim_location,
+        "dim_salary": build_dim_salary,
+        "fact_job_offers": build_fact,
+    }
+    return build[table](gated)
+
+
+def star_frames(gated: DataFrame) -> dict[str, DataFrame]:
+    return {table: star_frame(gated, table) for table in STAR}

@@ -133,8 +133,13 @@ def schema_of(table: str) -> T.StructType:
     return struct(TABLES[table])
 
 
-def align(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
-    """Match columns by name: absent ones become NULL (or their default), extra ones go."""
+def align(
+    df: DataFrame, schema: T.StructType, defaults: dict | None = None, lenient: bool = False
+) -> DataFrame:
+    """Match columns by name: absent ones become NULL (or their default), extra ones go.
+
+    With ``lenient`` a value that cannot be read as its type becomes NULL too.
+    """
     defaults = defaults or {}
     present = set(df.columns)
 
@@ -142,7 +147,8 @@ def align(df: DataFrame, schema: T.StructType, defaults: dict | None = None) ->
         default = F.lit(defaults.get(field.name)).cast(field.dataType)
         if field.name not in present:
             return default.alias(field.name)
-        value = F.col(f"`{field.name}`").cast(field.dataType)
+        source = F.col(f"`{field.name}`")
+        value = source.try_cast(field.dataType) if lenient else source.cast(field.dataType)
         filled = F.coalesce(value, default) if field.name in defaults else value
         return filled.alias(field.name)
 

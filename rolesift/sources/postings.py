@@ -17,11 +17,22 @@ _RENAMED = {"location_raw": "location", "salary_raw": "salary_source"}
 
 
 def read_postings(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
-    """Read landed posting files; a column a file does not have comes out as NULL."""
-    reader = spark.read.schema(FEED_SCHEMA)
+    """Read landed posting files; a column the files do not have comes out as NULL.
+
+    CSV columns are found by their header, and a field may span lines.
+    """
+    if fmt == "csv":
+        raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        return align(raw, FEED_SCHEMA, lenient=True)
+    return spark.read.schema(FEED_SCHEMA).format(fmt).load(path)
+
+
+def write_postings(feed: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Land feed rows as files of one of the formats ``read_postings`` reads."""
+    writer = feed.write.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", "true").option("enforceSchema", "false")
-    return reader.format(fmt).load(path)
+        writer = writer.option("header", "true").option("escape", '"')
+    writer.save(path)
 
 
 def drop_blank_url(raw: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Written tables: every publish is a new folder, one manifest line makes it visible.
 
 Readers resolve a table through the manifest, so several tables published
-together change together and no reader sees a half-written one. Parquet has no
+together change together and no reader sees a half-written one. There is one
+writer at a time; a reader calls ``refresh`` to see what was published since. Parquet has no
 row-level update, so upserts rewrite a table into its next version.
 """
 
@@ -9,7 +10,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.schemas import MARTS, align_table, schema_of
@@ -22,40 +24,36 @@ class Tables:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._seq = 0
+        self.refresh()
 
     # -- manifest ------------------------------------------------------------
-    def _manifest(self) -> DataFrame:
+    def refresh(self) -> None:
+        """Look up the published version of every table (one row per table)."""
         log = self.spark.read.schema(_MANIFEST).json(f"{self.root}/_manifest")
-        return log.select("seq", F.inline("entries")).filter("seq is not null")
-
-    def _path(self, table: str) -> str | None:
         try:
-            row = self._manifest().filter(F.col("table") == table).agg(
-                F.max_by("path", "seq").alias("path")
-            ).first()
-        except Exception as missing:  # nothing published yet
+            rows = (
+                log.select("seq", F.inline("entries"))
+                .groupBy("table").agg(F.max_by("path", "seq").alias("path"), F.max("seq").alias("seq"))
+                .collect()
+            )
+        except AnalysisException as missing:  # nothing published yet
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-            return None
-        return row["path"]
+            rows = []
+        self._paths = {row["table"]: row["path"] for row in rows}
+        self._seq = max((row["seq"] for row in rows), default=0)
 
     def _commit(self, paths: dict[str, str]) -> None:
-        try:
-            last = self._manifest().agg(F.max("seq")).first()[0] or 0
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            last = 0
-        entries = [(t, p) for t, p in paths.items()]
-        line = self.spark.createDataFrame([(entries, last + 1)], _MANIFEST).coalesce(1)
-        line.write.mode("append").json(f"{self.root}/_manifest")
+        self._seq += 1
+        line = self.spark.createDataFrame([(list(paths.items()), self._seq)], _MANIFEST)
+        line.coalesce(1).write.mode("append").json(f"{self.root}/_manifest")
+        self._paths.update(paths)
 
     # -- tables --------------------------------------------------------------
     def read(self, table: str) -> DataFrame:
         """The published version of an allow-listed table, empty before the first one."""
         schema = schema_of(table)
-        path = self._path(table)
+        path = self._paths.get(table)
         if path is None:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
@@ -76,15 +74,16 @@ class Tables:
         without one gets its first version.
         """
         frame = align_table(df, table)
-        counted = frame.observe(obs := _counter(), F.count(F.lit(1)).alias("n"))
-        path = self._path(table)
+        observed = Observation(f"appended-{uuid.uuid4().hex}")
+        counted = frame.observe(observed, F.count(F.lit(1)).alias("n"))
+        path = self._paths.get(table)
         if path is None:
             path = f"{self.root}/{table}/{uuid.uuid4().hex}"
             counted.write.parquet(path)
             self._commit({table: path})
         else:
             counted.write.mode("append").parquet(path)
-        return int(obs.get["n"])
+        return int(observed.get["n"])
 
     # -- marts ---------------------------------------------------------------
     def refresh_marts(self, marts: dict[str, DataFrame]) -> int:
@@ -101,8 +100,3 @@ def scan_mart(mart: DataFrame, profile_id: str | None = None) -> DataFrame:
     """A mart, or the rows of one profile (the filter reaches the Parquet scan)."""
     return mart if profile_id is None else mart.filter(F.col("profile_id") == profile_id)
 
-
-def _counter():
-    from pyspark.sql import Observation
-
-    return Observation(f"appended-{uuid.uuid4().hex}")

@@ -1,18 +1,19 @@
 """Posting-shaped views over the given star-schema tables.
 
 The texts below use only SQL that both engines of the correctness check read the
-same way; ``{name}`` is a table or an earlier view. Every view is lazy and keeps
-every row its conditions describe.
+same way; ``{name}`` is a table or an earlier view.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.functions.text import rule_reason, rule_verdict, title_score
+from rolesift.operators.rules import judge_titles
+from rolesift.operators.star import load_enriched, star_frame
+from rolesift.session import shared_folder
 from rolesift.sources.postings import to_staging
 
 GIVEN = (
@@ -204,8 +205,17 @@ join (select label as first_label, min(vec_id) as first_id from {embeddings} gro
 """
 
 
+# Views written in this session: (application, data folder, view) -> folder.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
 class Views:
-    """Lazy views for one data folder."""
+    """The views of one data folder.
+
+    The tables a job keeps (feed, staging, enriched, judged, labels, records, star) are
+    written once per session to the shared folder and read from there by every
+    query, as they would be between jobs.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -216,7 +226,15 @@ class Views:
     def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
         return self.spark.sql(text, **frames)
 
-    @lru_cache(maxsize=None)  # noqa: B019 - a Views object lives as long as one query
+    def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _WRITTEN:
+            path = shared_folder(self.spark, f"view-{name}")
+            make().write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])
+
+    # -- views over the given tables -----------------------------------------
     def postings(self) -> DataFrame:
         """Raw posting rows without their description."""
         return self._sql(
@@ -228,65 +246,79 @@ class Views:
             order_facts=self._sql(ORDER_FACTS, lineitem=self.given("lineitem")),
         )
 
-    def feed(self, with_description: bool = False) -> DataFrame:
-        """Raw posting rows with the request they answer; descriptions on demand."""
-        postings = self.postings().withColumns(
-            {
-                "job_url_direct": F.when(
-                    F.col("k") % 3 != 0, F.concat("job_url", F.lit("/apply"))
-                ),
-                "is_remote": F.col("title").contains("remote"),
-                "interval": F.col("salary_interval"),
-            }
-        )
-        if not with_description:
-            return postings.withColumn("description", F.lit(None).cast("string"))
-        texts = self.given("documents").select("doc_id", F.col("text").alias("description"))
-        return postings.join(texts, postings["k"] == texts["doc_id"], "left").drop("doc_id")
+    def runs(self) -> DataFrame:
+        return self._sql(RUNS, events=self.given("events"))
+
+    def profiles(self) -> DataFrame:
+        return self._sql(PROFILES, postings=self.feed())
+
+    def query_vectors(self) -> DataFrame:
+        return self._sql(QUERY_VECTORS, embeddings=self.given("embeddings"))
 
-    def staging(self, with_description: bool = False) -> DataFrame:
+    # -- kept tables -----------------------------------------------------------
+    def feed(self) -> DataFrame:
+        """Raw posting rows with the request they answer."""
+
+        def make() -> DataFrame:
+            postings = self.postings().withColumns(
+                {
+                    "job_url_direct": F.when(
+                        F.col("k") % 3 != 0, F.concat("job_url", F.lit("/apply"))
+                    ),
+                    "is_remote": F.col("title").contains("remote"),
+                    "interval": F.col("salary_interval"),
+                }
+            )
+            texts = self.given("documents").select("doc_id", F.col("text").alias("description"))
+            joined = postings.join(texts, postings["k"] == texts["doc_id"], "left")
+            return joined.drop("doc_id")
+
+        return self._table("feed", make)
+
+    def staging(self) -> DataFrame:
         """Staging rows plus the columns the other views are derived from."""
-        return to_staging(
-            self.feed(with_description),
-            run_id=F.col("run_id"),
-            profile_id=F.col("profile_id"),
-            keyword=F.col("search_keyword"),
-            location=F.col("search_location"),
-            scraped_at=F.col("scraped_at"),
-            arrival=[F.col("scraped_at"), F.col("k")],
-            keep=["k", "part_name", "salary_interval"],
+        return self._table(
+            "staging",
+            lambda: to_staging(
+                self.feed(),
+                run_id=F.col("run_id"),
+                profile_id=F.col("profile_id"),
+                keyword=F.col("search_keyword"),
+                location=F.col("search_location"),
+                scraped_at=F.col("scraped_at"),
+                arrival=[F.col("scraped_at"), F.col("k")],
+                keep=["k", "part_name", "salary_interval"],
+            ),
         )
 
     def enriched(self) -> DataFrame:
-        skills = self._sql(
-            ORDER_SKILLS, lineitem=self.given("lineitem"), part=self.given("part")
-        )
-        return self._sql(ENRICHED, staging=self.staging(), order_skills=skills)
+        def make() -> DataFrame:
+            skills = self._sql(
+                ORDER_SKILLS, lineitem=self.given("lineitem"), part=self.given("part")
+            )
+            return self._sql(ENRICHED, staging=self.staging(), order_skills=skills)
+
+        return self._table("enriched", make)
 
     def judged(self) -> DataFrame:
         """Verdict rows; the rule columns come from the title rule itself."""
-        base = self._sql(JUDGED, staging=self.staging())
-        score = title_score(F.col("job_title"), F.col("search_keyword"))
-        scored = base.withColumn("_score", score)
-        blocked = F.lit(False)
-        return scored.withColumns(
-            {
-                "rule_verdict": rule_verdict(F.col("_score"), blocked),
-                "rule_reason": rule_reason(F.col("_score"), blocked),
-            }
-        ).drop("_score")
 
-    def labels(self) -> DataFrame:
-        return self._sql(LABELS, staging=self.staging())
+        def make() -> DataFrame:
+            base = self._sql(JUDGED, staging=self.staging())
+            return judge_titles(base, title="job_title").drop("blocked", "title_overlap")
 
-    def runs(self) -> DataFrame:
-        return self._sql(RUNS, events=self.given("events"))
+        return self._table("judged", make)
+
+    def labels(self) -> DataFrame:
+        return self._table("labels", lambda: self._sql(LABELS, staging=self.staging()))
 
     def records(self) -> DataFrame:
-        return self._sql(RECORDS, staging=self.staging())
+        return self._table("records", lambda: self._sql(RECORDS, staging=self.staging()))
 
-    def profiles(self) -> DataFrame:
-        return self._sql(PROFILES, postings=self.postings())
+    def gated(self) -> DataFrame:
+        """Enriched postings that passed the verdict gate."""
+        return load_enriched(self.staging(), self.enriched(), self.judged())
 
-    def query_vectors(self) -> DataFrame:
-        return self._sql(QUERY_VECTORS, embeddings=self.given("embeddings"))
+    def star(self, *names: str) -> list[DataFrame]:
+        """Written star tables, in the order asked for."""
+        return [self._table(name, lambda n=name: star_frame(self.gated(), n)) for name in names]
