@@ -1026,7 +1026,7 @@ def full_run(v: Views) -> DataFrame:
 @query
 def migrate_profiles(v: Views) -> DataFrame:
     """One legacy key/value store per customer segment, two of them without locations."""
-    rows = profiles(v)
+    rows = cleaned_profiles(v)
     config = rows.select(
         F.col("profile_id").alias("owner"),
         F.explode(

@@ -128,8 +128,9 @@ def weighted_percentiles(
     inside = null_safe_join(distinct, targets.drop("_end", "_total"), [*keys, "_bucket"])
     upto_value = Window.partitionBy(*keys, "_bucket").orderBy("_x")
     high = F.col("_start") + F.sum("_w").over(upto_value)
-    hits = inside.select(
-        *keys, "_x", (high - F.col("_w")).alias("_lo"), high.alias("_hi"), F.inline("_wanted")
+    placed = inside.withColumn("_hi", high)
+    hits = placed.select(
+        *keys, "_x", (F.col("_hi") - F.col("_w")).alias("_lo"), "_hi", F.inline("_wanted")
     )
 
     def at(rank: Column, name: str, kind: str) -> Column:

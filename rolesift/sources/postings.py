@@ -13,6 +13,10 @@ from rolesift.functions.keys import NOT_BLANK, posting_id
 from rolesift.operators.dedup import first_per_key
 from rolesift.schemas import FEED_SCHEMA, align, schema_of
 
+_CSV = {
+    "header": True, "escape": '"',
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 _RENAMED = {"location_raw": "location", "salary_raw": "salary_source"}
 
 
@@ -22,7 +26,7 @@ def read_postings(spark: SparkSession, path: str | list[str], fmt: str = "parque
     CSV columns are found by their header, and a field may span lines.
     """
     if fmt == "csv":
-        raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        raw = spark.read.csv(path, multiLine=True, **_CSV)
         return align(raw, FEED_SCHEMA, lenient=True)
     return spark.read.schema(FEED_SCHEMA).format(fmt).load(path)
 
@@ -31,7 +35,7 @@ def write_postings(feed: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Land feed rows as files of one of the formats ``read_postings`` reads."""
     writer = feed.write.format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", "true").option("escape", '"')
+        writer = writer.options(**_CSV)
     writer.save(path)
 
 
