@@ -856,23 +856,9 @@ def _texts(v: Views) -> DataFrame:
     return v.feed().select("k", text.alias("text"))
 
 
-def _vocabulary(v: Views) -> DataFrame:
-    """Skill phrases: part names and types, and the words of the benchmark passages."""
-    part = v.given("part")
-    names = part.select(F.lower("p_name").alias("name"), F.lit("domain").alias("skill_type"))
-    kinds = part.select(
-        F.element_at(F.split(F.lower("p_name"), " "), -1).alias("name"),
-        F.lit("tech").alias("skill_type"),
-    )
-    plain = v.given("benchmark").select(
-        F.explode(X.tokenize(F.col("text"))).alias("name"), F.lit("soft").alias("skill_type")
-    )
-    return names.unionByName(kinds).unionByName(plain.filter(F.length("name") >= 8)).distinct()
-
-
 @query
 def extract_skills(v: Views) -> DataFrame:
-    return E.extract_skills(_texts(v), "k", "text", _vocabulary(v))
+    return E.extract_skills(_texts(v), "k", "text", v.vocabulary())
 
 
 @query

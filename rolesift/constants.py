@@ -12,7 +12,13 @@ ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 RULE_ACCEPT_AT = 0.5
 RULE_REVIEW_AT = 0.15
 
-# Every character Python's ``str.strip`` / ``str.split`` treats as white space.
+# Every character Python's ``str.strip`` / ``str.split`` treats as white space: as text, and
+# as a pattern.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WHITESPACE_CLASS = (
     r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

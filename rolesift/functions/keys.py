@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolesift.constants import WHITESPACE_CLASS
+from rolesift.constants import WHITESPACE, WHITESPACE_CLASS
 
 KEY_CHARS = 24
 NOT_BLANK = WHITESPACE_CLASS.replace("[", "[^", 1)
-_EDGES = f"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$"
 
 
 def strip(x: Column) -> Column:
     """Remove white space of every kind from both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(x, _EDGES, "")
+    return F.btrim(x, F.lit(WHITESPACE))
 
 
 def norm(x: Column) -> Column:

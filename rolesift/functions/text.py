@@ -15,20 +15,25 @@ from rolesift.constants import (
     RULE_ACCEPT_AT,
     RULE_REVIEW_AT,
     STOPWORDS,
-    WHITESPACE_CLASS,
+    WHITESPACE,
 )
 from rolesift.functions.keys import norm, strip
 
 
 def words(text: Column) -> Column:
-    """Lower-case words in text order, ASCII punctuation deleted, stopwords kept."""
-    bare = F.translate(F.lower(text), ASCII_PUNCTUATION, "")
-    return F.filter(F.split(bare, WHITESPACE_CLASS + "+"), lambda w: w != "")
+    """Lower-case words in text order, ASCII punctuation deleted, stopwords kept.
+
+    One ``translate`` turns all white space into blanks and deletes punctuation, so
+    the split needs no pattern.
+    """
+    blanks = " " * len(WHITESPACE)
+    bare = F.translate(F.lower(text), WHITESPACE + ASCII_PUNCTUATION, blanks)
+    return F.array_remove(F.split(bare, " "), "")
 
 
 def tokenize(text: Column) -> Column:
     """Distinct words without stopwords."""
-    return F.array_distinct(F.filter(words(text), lambda w: ~w.isin(*STOPWORDS)))
+    return F.array_except(words(text), F.array(*(F.lit(w) for w in STOPWORDS)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -15,6 +15,7 @@ from rolesift.constants import (
 )
 from rolesift.functions.text import tokenize, words
 from rolesift.operators.dedup import top_per_key
+from rolesift.operators.extraction import phrases
 from rolesift.operators.joins import null_safe_join
 
 
@@ -58,14 +59,9 @@ def _terms(titles: DataFrame, by: Sequence[str]) -> DataFrame:
     """Distinct words and neighbouring word pairs of every title."""
     plain = F.filter(words(F.col("job_title")), lambda w: ~w.isin(*STOPWORDS))
     spelled = titles.select(*by, "search_keyword", "ensemble_verdict", plain.alias("_w"))
-    pairs = F.zip_with(
-        F.col("_w"), F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))),
-        lambda a, b: F.concat_ws(" ", a, b),
-    )
-    usable = F.slice(pairs, 1, F.greatest(F.size("_w") - 1, F.lit(0)))
-    terms = F.array_distinct(F.concat("_w", usable))
     return spelled.select(
-        *by, "search_keyword", "ensemble_verdict", F.explode(terms).alias("term")
+        *by, "search_keyword", "ensemble_verdict",
+        F.explode(phrases(F.col("_w"), 2)).alias("term"),
     )
 
 

@@ -69,9 +69,8 @@ def extract_salary(postings: DataFrame, text: str) -> DataFrame:
     )
 
 
-def phrases(text: Column, max_words: int) -> Column:
-    """Distinct runs of one to ``max_words`` neighbouring words."""
-    spelled = words(text)
+def phrases(spelled: Column, max_words: int) -> Column:
+    """Distinct runs of one to ``max_words`` neighbouring words of a word list."""
     runs = [spelled]
     for _ in range(max_words - 1):
         longer = F.zip_with(
@@ -80,7 +79,7 @@ def phrases(text: Column, max_words: int) -> Column:
             lambda head, word: F.concat(head, F.lit(" "), word),  # NULL beyond the text end
         )
         runs.append(longer)
-    return F.array_distinct(F.filter(F.concat(*runs), lambda p: p.isNotNull()))
+    return F.array_distinct(F.array_compact(F.concat(*runs)))
 
 
 def extract_skills(
@@ -92,7 +91,8 @@ def extract_skills(
     broadcasts the vocabulary while it is below its size threshold; beyond it the
     join is an exchange on the phrase, with skewed phrases split at run time.
     """
-    found = postings.select(key, F.explode(phrases(F.col(text), max_words)).alias("name"))
+    spelled = postings.select(key, words(F.col(text)).alias("_w"))
+    found = spelled.select(key, F.explode(phrases(F.col("_w"), max_words)).alias("name"))
     return found.join(vocabulary.select("name", "skill_type").distinct(), "name").select(
         key, "name", "skill_type"
     )

@@ -16,6 +16,7 @@ from rolesift.constants import FEWSHOT_MIN_PER_CLASS, SEMANTIC_THRESHOLD
 from rolesift.functions.normalize import clamp01
 from rolesift.functions.text import overlap_cosine, tokenize, words
 from rolesift.operators.dedup import top_per_key
+from rolesift.session import written
 
 BM25_K1, BM25_B = 1.2, 0.75
 # Share of a query's term weight a document has to reach for a neutral score of 0.
@@ -71,9 +72,11 @@ def lexical_semantic(postings: DataFrame, keyword: str, title: str) -> DataFrame
 def pair_score_bm25(items: DataFrame, key: str, keyword: str, text: str) -> DataFrame:
     """(key, pair_score): BM25 of each text for its own keyword, shifted so 0 is neutral.
 
-    The corpus is the given items. Texts are read twice, for the document
-    frequencies of the query terms and for the scores; the only exchanges carry term
-    counts and the few term weights of each keyword, never texts.
+    The corpus is the given items. Texts are read twice: a first job counts the
+    documents of each query term and writes the term weights of every keyword; the
+    scores are then local to each row. The weights are joined by their true size, so
+    Spark broadcasts them while they are below its threshold and texts stay where
+    they are; beyond it the keyword is exchanged and skewed keywords are split.
     """
     docs = items.select(key, F.col(keyword).alias("_q"), words(F.col(text)).alias("_w"))
     query_terms = docs.select("_q").distinct().select(
@@ -96,11 +99,11 @@ def pair_score_bm25(items: DataFrame, key: str, keyword: str, text: str) -> Data
         .alias("_terms"),
         F.max("_corpus.length").alias("_avg"),
     )
-    joined = docs.join(weights, "_q", "left")
+    joined = docs.join(written(weights, "term-weights"), "_q", "left")
     spread = BM25_K1 * (1 - BM25_B + BM25_B * F.size("_w") / F.col("_avg"))
 
     def gain(term: Column) -> Column:
-        tf = F.size(F.filter("_w", lambda w: w == term["term"]))
+        tf = F.size("_w") - F.size(F.array_remove("_w", term["term"]))
         return term["idf"] * (tf * (BM25_K1 + 1) / (tf + spread) - BM25_NEUTRAL)
 
     score = F.aggregate("_terms", F.lit(0.0), lambda total, term: total + gain(term))

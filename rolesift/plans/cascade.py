@@ -13,12 +13,15 @@ from rolesift.functions.normalize import ensemble_verdict
 from rolesift.functions.text import relevance_doc
 from rolesift.operators.relevance import lexical_semantic, pair_score_bm25
 from rolesift.operators.upsert import upsert_update
+from rolesift.session import written
 
 ENRICHED_COLUMNS = (
     "tech_skills", "soft_skills", "domain_skills", "city", "country", "country_code",
     "work_mode", "salary_min", "salary_max", "salary_currency", "salary_period",
 )
 
+_PENDING = ("id", "title", "description", "search_keyword", "profile_id", "rule_verdict")
+
 # Columns an update of a known verdict row may change, per kind of row.
 SCORE_COLUMNS = (
     "biencoder_score", "crossencoder_score", "setfit_score", "ensemble_verdict", "judged_at",
@@ -87,18 +90,21 @@ def relevance_cascade(
     semantic: Callable[[DataFrame], DataFrame] | None = None,
     pair: Callable[[DataFrame], DataFrame] | None = None,
     fewshot: Callable[[DataFrame], DataFrame] | None = None,
-    keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df,
+    keep: Callable[[DataFrame, str], DataFrame] = written,
     provider: tuple[str, str] = ("rules", "v1"),
 ) -> CascadeResult:
     """Score pending postings in order of cost and judge those that survive.
 
     ``semantic`` adds ``semantic_score``; ``pair`` and ``fewshot`` return (id, score) for
     the survivors; ``extract`` returns (id, fields, is_relevant, relevance_confidence,
-    relevance_reason) for the records it could read. ``keep`` may write a stage to the
-    shared folder, which pays off when a stage calls a model.
+    relevance_reason) for the records it could read. ``keep`` holds the stages that are
+    read more than once, the scored rows and the outcome, in the shared folder, so
+    no scorer or extractor runs twice.
     """
     title_only = lambda df: lexical_semantic(df, "search_keyword", "title")
-    scored = keep((semantic or title_only)(pending), "scored")
+    scored = keep(
+        (semantic or title_only)(pending).select(*_PENDING, "semantic_score"), "scored"
+    )
     low = F.col("semantic_score") < SEMANTIC_THRESHOLD
     rejected, survivors = scored.filter(low), scored.filter(~low)
 
@@ -111,9 +117,8 @@ def relevance_cascade(
         ranked = ranked.join(fewshot(survivors), "id", "left")
     else:
         ranked = ranked.withColumn("fewshot_score", F.lit(1.0))
-    ranked = keep(ranked, "ranked")
-    read = extract(ranked).withColumn("_read", F.lit(True))
-    outcome = keep(ranked.join(read, "id", "left"), "extracted")
+    read = extract(survivors).withColumn("_read", F.lit(True))
+    outcome = keep(ranked.drop("description").join(read, "id", "left"), "outcome")
     done = outcome.filter("_read")
 
     enriched = done.select(

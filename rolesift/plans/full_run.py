@@ -14,7 +14,6 @@ from rolesift.plans.cascade import CascadeResult, pending_rows, relevance_cascad
 from rolesift.plans.corrective import corrective_pass
 from rolesift.plans.transform import run_transform
 from rolesift.schemas import align_table
-from rolesift.session import shared_folder
 from rolesift.sources.tables import Tables
 
 
@@ -86,16 +85,7 @@ def enrich(
     staging, judged = tables.read("staging_job_offers"), tables.read("judged_job_offers")
     known = tables.read("int_enriched_job_info")
     todo = pending_rows(staging, known, judged, run_id=run_id, limit=limit)
-
-    def keep(df: DataFrame, stage: str) -> DataFrame:
-        """Write a finished stage, so verdicts, rows and counts do not compute it again."""
-        if stage == "ranked":
-            return df
-        folder = shared_folder(tables.spark, f"cascade-{stage}")
-        df.write.parquet(folder)
-        return tables.spark.read.parquet(folder)
-
-    result: CascadeResult = relevance_cascade(todo, extract, _now(), keep=keep, **scorers)
+    result: CascadeResult = relevance_cascade(todo, extract, _now(), **scorers)
     updated = result.update(judged)
     enriched = upsert_ignore(known, align_table(result.enriched, "int_enriched_job_info"), ["job_id"])
     counts = result.status.groupBy().agg(

@@ -9,6 +9,7 @@ from rolesift.operators import marts as M
 from rolesift.operators import star as S
 from rolesift.operators.upsert import upsert_ignore
 from rolesift.schemas import MARTS, PRIMARY_KEYS
+from rolesift.session import written
 from rolesift.sources.tables import Tables
 
 MART_INPUTS = {
@@ -40,14 +41,16 @@ def merge_star(
 def run_transform(spark: SparkSession, tables: Tables, rebuild: bool = False) -> DataFrame:
     """Bring star and marts up to date with the written tables; returns a summary row.
 
-    Each star table is written once; marts and counts read what was written. An
-    empty input still refreshes the marts.
+    The three-way join of the verdict gate is written once and feeds all five star
+    tables; marts and counts read the written star. An empty input still refreshes
+    the marts.
     """
     gated = S.load_enriched(
         tables.read("staging_job_offers"),
         tables.read("int_enriched_job_info"),
         tables.read("judged_job_offers"),
     )
+    gated = written(gated, "gated")
     before = {t: tables.read(t) for t in S.STAR}
     candidates = S.star_frames(gated)
     tables.publish(merge_star(before, candidates, rebuild))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Asked for only where the session leaves them unset or at a weaker value: skewed
 # join partitions are split even when the split costs one more exchange.
@@ -33,6 +34,8 @@ def local_session(cores: str | int = "*", app: str = "rolesift", **conf: str) ->
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # call sites in error messages cost several JVM calls per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", os.environ.get("ROLESIFT_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
@@ -45,6 +48,11 @@ def local_session(cores: str | int = "*", app: str = "rolesift", **conf: str) ->
     return tune(spark)
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="rolesift-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared location named by ``spark.checkpoint.dir``.
 
@@ -55,6 +63,16 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="rolesift-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_folder()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back (runs a job).
+
+    Cuts the lineage in a way that survives the loss of executors, and lets Spark
+    see the true size of the frame when it chooses how to join it.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

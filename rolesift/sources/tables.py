@@ -9,13 +9,16 @@ row-level update, so upserts rewrite a table into its next version.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.schemas import MARTS, align_table, schema_of
 
+_WRITERS = 4
 _MANIFEST = "entries array<struct<table: string, path: string>>, seq bigint"
 
 
@@ -59,12 +62,17 @@ class Tables:
         return self.spark.read.schema(schema).parquet(path)
 
     def publish(self, frames: dict[str, DataFrame]) -> None:
-        """Write the next version of each table, then show all of them at once."""
-        paths = {}
-        for table, df in frames.items():
-            path = f"{self.root}/{table}/{uuid.uuid4().hex}"
-            align_table(df, table).write.parquet(path)
-            paths[table] = path
+        """Write the next version of each table, then show all of them at once.
+
+        The writes are independent jobs, so small ones run beside large ones.
+        """
+        paths = {table: f"{self.root}/{table}/{uuid.uuid4().hex}" for table in frames}
+
+        def write(table: str) -> None:
+            align_table(frames[table], table).write.parquet(paths[table])
+
+        with ThreadPoolExecutor(max_workers=_WRITERS) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(write), frames))
         self._commit(paths)
 
     def append(self, table: str, df: DataFrame) -> int:

@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from rolesift.functions.text import tokenize
 from rolesift.operators.rules import judge_titles
 from rolesift.operators.star import load_enriched, star_frame
 from rolesift.session import shared_folder
@@ -205,8 +207,8 @@ join (select label as first_label, min(vec_id) as first_id from {embeddings} gro
 """
 
 
-# Views written in this session: (application, data folder, view) -> folder.
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+# Views written in this session: (application, data folder, view) -> folder, schema.
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 class Views:
@@ -230,9 +232,11 @@ class Views:
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _WRITTEN:
             path = shared_folder(self.spark, f"view-{name}")
-            make().write.parquet(path)
-            _WRITTEN[key] = path
-        return self.spark.read.parquet(_WRITTEN[key])
+            rows = make()
+            rows.write.parquet(path)
+            _WRITTEN[key] = (path, rows.schema)
+        path, schema = _WRITTEN[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     # -- views over the given tables -----------------------------------------
     def postings(self) -> DataFrame:
@@ -270,7 +274,10 @@ class Views:
                 }
             )
             texts = self.given("documents").select("doc_id", F.col("text").alias("description"))
-            joined = postings.join(texts, postings["k"] == texts["doc_id"], "left")
+            # texts are the bulk of the data: an exchange on the key spreads them evenly
+            joined = postings.join(
+                texts.hint("merge"), postings["k"] == texts["doc_id"], "left"
+            )
             return joined.drop("doc_id")
 
         return self._table("feed", make)
@@ -315,6 +322,26 @@ class Views:
     def records(self) -> DataFrame:
         return self._table("records", lambda: self._sql(RECORDS, staging=self.staging()))
 
+    def vocabulary(self) -> DataFrame:
+        """Skill phrases: part names and types, and the long words of the benchmark texts."""
+
+        def make() -> DataFrame:
+            name = F.lower("p_name")
+            part = self.given("part")
+            phrases = part.select(name.alias("name"), F.lit("domain").alias("skill_type"))
+            kinds = part.select(
+                F.element_at(F.split(name, " "), -1).alias("name"),
+                F.lit("tech").alias("skill_type"),
+            )
+            plain = self.given("benchmark").select(
+                F.explode(tokenize(F.col("text"))).alias("name"),
+                F.lit("soft").alias("skill_type"),
+            )
+            long = plain.filter(F.length("name") >= 8)
+            return phrases.unionByName(kinds).unionByName(long).distinct()
+
+        return self._table("vocabulary", make)
+
     def gated(self) -> DataFrame:
         """Enriched postings that passed the verdict gate."""
         return load_enriched(self.staging(), self.enriched(), self.judged())
