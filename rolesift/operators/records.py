@@ -15,26 +15,55 @@ _TRUE = ("true", "t", "yes", "y", "on", "1")
 _FALSE = ("false", "f", "no", "n", "off", "0")
 
 
-def _part(path: str) -> Column:
-    return F.try_variant_get("_v", path, "variant")
+# Every part of a record that is read, by its path.
+_PATHS = (
+    *(f"$.{name}" for name in _LISTS),
+    "$.location", "$.location.city", "$.location.country", "$.location.country_code",
+    "$.salary", "$.salary.min_amount", "$.salary.max_amount", "$.salary.currency",
+    "$.salary.period", "$.work_mode", "$.is_relevant", "$.relevance_confidence",
+    "$.relevance_reason",
+)
 
 
-def _kind(part: Column) -> Column:
+def _name(prefix: str, path: str) -> str:
+    return prefix + path[2:].replace(".", "_")
+
+
+def _type(part: Column) -> Column:
     """JSON type of a part; ABSENT where the record has no such field."""
     return F.coalesce(F.schema_of_variant(part), F.lit("ABSENT"))
 
 
+def _with_parts(raw: DataFrame, column: str) -> DataFrame:
+    """Parse the text once, take each part once, name each part's type once."""
+    parsed = raw.withColumn("_v", F.try_parse_json(column))
+    parts = parsed.withColumns(
+        {_name("_p_", path): F.try_variant_get("_v", path, "variant") for path in _PATHS}
+    )
+    return parts.withColumns(
+        {_name("_k_", path): _type(F.col(_name("_p_", path))) for path in _PATHS}
+    )
+
+
+def _kind(path: str) -> Column:
+    return F.col(_name("_k_", path))
+
+
+def _read(path: str, kind: str) -> Column:
+    return F.try_variant_get(_name("_p_", path), "$", kind)
+
+
 def _text(path: str) -> Column:
     """The text at a path, NULL for any other JSON type."""
-    return F.when(_kind(_part(path)) == "STRING", F.try_variant_get("_v", path, "string"))
+    return F.when(_kind(path) == "STRING", _read(path, "string"))
 
 
 def _number(path: str) -> Column:
-    return F.try_variant_get("_v", path, "double")
+    return _read(path, "double")
 
 
 def _is_number(path: str) -> Column:
-    kind = _kind(_part(path))
+    kind = _kind(path)
     numeric = F.lit(False)
     for name in _NUMBERS:
         numeric = numeric | kind.startswith(name)
@@ -42,33 +71,33 @@ def _is_number(path: str) -> Column:
 
 
 def _list_ok(path: str) -> Column:
-    kind = _kind(_part(path))
-    items = F.try_variant_get("_v", path, "array<variant>")
-    stray = F.exists(items, lambda x: ~_kind(x).isin("STRING", "VOID", "ABSENT"))
+    kind = _kind(path)
+    items = _read(path, "array<variant>")
+    stray = F.exists(items, lambda x: ~_type(x).isin("STRING", "VOID", "ABSENT"))
     is_list = kind.startswith("ARRAY") & ~F.coalesce(stray, F.lit(False))
     return kind.isin("ABSENT", "VOID") | is_list
 
 
 def _object_ok(path: str) -> Column:
-    kind = _kind(_part(path))
+    kind = _kind(path)
     sentinel = (kind == "STRING") & N.is_empty_sentinel(_text(path))
     return kind.isin("ABSENT", "VOID") | kind.startswith("OBJECT") | sentinel
 
 
 def _optional_text_ok(path: str) -> Column:
-    return _kind(_part(path)).isin("ABSENT", "VOID", "STRING")
+    return _kind(path).isin("ABSENT", "VOID", "STRING")
 
 
 def _optional_number_ok(path: str) -> Column:
-    return _kind(_part(path)).isin("ABSENT", "VOID") | _is_number(path)
+    return _kind(path).isin("ABSENT", "VOID") | _is_number(path)
 
 
 def _skills(path: str) -> Column:
-    return N.clean_skills(F.try_variant_get("_v", path, "array<string>"))
+    return N.clean_skills(_read(path, "array<string>"))
 
 
 def _relevant_text() -> Column:
-    return norm(F.try_variant_get("_v", "$.is_relevant", "string"))
+    return norm(_read("$.is_relevant", "string"))
 
 
 def parse_records(raw: DataFrame, column: str = "raw_response") -> DataFrame:
@@ -77,17 +106,17 @@ def parse_records(raw: DataFrame, column: str = "raw_response") -> DataFrame:
     Malformed values of known fields become NULL; a wrong type, an unknown
     sub-object text or a confidence outside [0, 1] makes the record invalid.
     """
-    parsed = raw.withColumn("_v", F.try_parse_json(column))
+    parsed = _with_parts(raw, column)
     confidence = F.when(
-        _kind(_part("$.relevance_confidence")) == "ABSENT", F.lit(1.0)
+        _kind("$.relevance_confidence") == "ABSENT", F.lit(1.0)
     ).otherwise(_number("$.relevance_confidence"))
     confidence_ok = F.when(
-        _kind(_part("$.relevance_confidence")) == "ABSENT", F.lit(True)
+        _kind("$.relevance_confidence") == "ABSENT", F.lit(True)
     ).otherwise(_is_number("$.relevance_confidence") & confidence.between(0.0, 1.0))
-    relevant = F.when(_kind(_part("$.is_relevant")) == "ABSENT", F.lit(True)).otherwise(
+    relevant = F.when(_kind("$.is_relevant") == "ABSENT", F.lit(True)).otherwise(
         F.when(_relevant_text().isin(*_TRUE), True).when(_relevant_text().isin(*_FALSE), False)
     )
-    valid = _kind(F.col("_v")).startswith("OBJECT")
+    valid = _type(F.col("_v")).startswith("OBJECT")
     for name in _LISTS:
         valid = valid & _list_ok(f"$.{name}")
     for name in ("location", "salary"):

@@ -83,32 +83,39 @@ def to_staging(
     """Map feed rows to staging rows: one row per (site, url), the first to arrive wins.
 
     ``arrival`` orders the copies of a posting; ``keep`` carries extra columns along.
+    Copies are dropped first, so the payload text is built for winners only and is
+    not part of the exchange.
     """
-    feed = nan_to_null(drop_blank_url(raw))
     site = F.coalesce(F.nullif(F.col("site"), F.lit("")), F.lit(default_site))
-    own = {
+    request = {
         "id": posting_id(site, F.col("job_url")),
         "scraped_at": scraped_at,
         "run_id": run_id,
         "profile_id": profile_id,
-        "site": site,
         "search_keyword": keyword,
         "search_location": location,
-        "raw_payload": raw_payload([c for c in FEED_SCHEMA.names if c in raw.columns]),
     }
+    feed = nan_to_null(drop_blank_url(raw))
+    kept = list(dict.fromkeys([*(c for c in FEED_SCHEMA.names if c in raw.columns), *keep]))
+    keyed = feed.select(
+        *kept,
+        *[value.alias(f"_{name}") for name, value in request.items()],
+        F.struct(*arrival).alias("_arrival"),
+    )
+    first = first_per_key(keyed, ["_id"], [F.col("_arrival")])
+    own = {name: F.col(f"_{name}") for name in request}
+    own["site"] = site
+    own["raw_payload"] = raw_payload([c for c in FEED_SCHEMA.names if c in raw.columns])
     own.update({new: F.col(old) for new, old in _RENAMED.items() if old in raw.columns})
-    schema = schema_of("staging_job_offers")
-    mapped = feed.select(
+    return first.select(
         *[
-            own.get(f.name, F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None))
+            own.get(f.name, F.col(f"`{f.name}`") if f.name in kept else F.lit(None))
             .cast(f.dataType)
             .alias(f.name)
-            for f in schema
+            for f in schema_of("staging_job_offers")
         ],
-        *[F.col(c) for c in keep],
-        F.struct(*arrival).alias("_arrival"),
+        *[c for c in keep if c not in schema_of("staging_job_offers").names],
     )
-    return first_per_key(mapped, ["id"], [F.col("_arrival")]).drop("_arrival")
 
 
 def with_missing_columns(frames: Sequence[DataFrame]) -> DataFrame:
