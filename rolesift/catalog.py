@@ -101,6 +101,11 @@ def mart(v: Views, name: str) -> DataFrame:
     return make(*v.star(*inputs))
 
 
+def kept_mart(v: Views, name: str) -> DataFrame:
+    """A mart as readers find it: a written table."""
+    return v.kept(f"mart_{name}", lambda: mart(v, name))
+
+
 def in_run(v: Views) -> DataFrame:
     return C.judged_in_run(v.judged(), v.staging())
 
@@ -267,7 +272,7 @@ def replace_profiles(v: Views) -> DataFrame:
 
 @query
 def mart_scan_profile(v: Views) -> DataFrame:
-    return scan_mart(mart(v, "jobs_by_country"), "building")
+    return scan_mart(kept_mart(v, "jobs_by_country"), "building")
 
 
 @query
@@ -338,7 +343,7 @@ def filter_multi_isin(v: Views) -> DataFrame:
 @query
 def filter_mart_keywords(v: Views) -> DataFrame:
     return R.apply_filters(
-        mart(v, "work_mode_distribution"), search_keyword=["hot plate"], no_column=["x"]
+        kept_mart(v, "work_mode_distribution"), search_keyword=["hot plate"], no_column=["x"]
     )
 
 
@@ -364,7 +369,7 @@ def run_history_view(v: Views) -> DataFrame:
 
 @query
 def salary_bands_long(v: Views) -> DataFrame:
-    return M.salary_bands_long(mart(v, "salary_by_keyword"))
+    return M.salary_bands_long(kept_mart(v, "salary_by_keyword"))
 
 
 def _candidates(v: Views, include_decided: bool) -> DataFrame:
@@ -451,12 +456,12 @@ def blocked_titles(v: Views) -> DataFrame:
 
 @query
 def country_totals(v: Views) -> DataFrame:
-    return M.country_totals(mart(v, "jobs_by_country"))
+    return M.country_totals(kept_mart(v, "jobs_by_country"))
 
 
 @query
 def country_iso3(v: Views) -> DataFrame:
-    totals = M.country_totals(mart(v, "jobs_by_country"))
+    totals = M.country_totals(kept_mart(v, "jobs_by_country"))
     return M.country_iso3(totals, M.iso_codes(v.spark)).select("iso3", "country", "job_count")
 
 
@@ -575,7 +580,7 @@ def dedup_first(v: Views) -> DataFrame:
 
 @query
 def top_skills_per_keyword(v: Views) -> DataFrame:
-    return M.top_skills(mart(v, "skills_by_keyword"))
+    return M.top_skills(kept_mart(v, "skills_by_keyword"))
 
 
 @query

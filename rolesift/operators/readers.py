@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.constants import FACT_LIMIT_DEFAULT, FACT_LIMIT_MAX
+from rolesift.session import written
 
 
 def newest_first() -> list:
@@ -24,10 +25,11 @@ def fact_with_dims(
     profile_id: str | None = None,
     limit: int = FACT_LIMIT_DEFAULT,
 ) -> DataFrame:
-    """The newest facts with their location, salary and skills.
+    """The newest facts with their location, salary and skills (runs one job for the top-k).
 
-    All three lookups keep every fact, so the top-k is taken on the fact alone.
-    What is left, at most ``FACT_LIMIT_MAX`` rows, is the broadcast side of each lookup.
+    All three lookups keep every fact, so the top-k is taken on the fact alone and
+    written. It has at most ``FACT_LIMIT_MAX`` rows: its keys are broadcast to thin out
+    each lookup table in place, and so are the lookup rows found, one per key.
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
@@ -35,7 +37,8 @@ def fact_with_dims(
         fact = fact.filter(F.col("search_keyword") == keyword)
     if profile_id:
         fact = fact.filter(F.col("profile_id") == profile_id)
-    wide = fact.orderBy(*newest_first()).limit(min(limit, FACT_LIMIT_MAX))
+    top = fact.orderBy(*newest_first()).limit(min(limit, FACT_LIMIT_MAX))
+    wide = top = written(top, "newest-facts")
     salary = dim_salary.select(
         "salary_key",
         F.col("min_amount").alias("salary_min"), F.col("max_amount").alias("salary_max"),
@@ -45,7 +48,8 @@ def fact_with_dims(
     for lookup, key in (
         (dim_location, "location_key"), (salary, "salary_key"), (skills, "job_id")
     ):
-        wide = lookup.join(F.broadcast(wide), key, "right")
+        needed = lookup.join(F.broadcast(top.select(key)), key, "left_semi")
+        wide = wide.join(F.broadcast(needed), key, "left")
     columns = [
         "job_id", "run_id", "profile_id", "site", "search_keyword", "company", "title", "job_url",
         "date_posted", "work_mode", "city", "country", "country_code", "salary_min", "salary_max",

@@ -44,10 +44,13 @@ def semantic_score(
     """Score each item against the query it was found for: cosine, clamped to [0, 1].
 
     ``on`` names the item's and the query's key. Items meet only their own
-    query, so the work is linear in the items.
+    query, so the work is linear in the items. The query vectors are written first:
+    while their true size is below Spark's broadcast threshold items are not exchanged.
     """
     item_key, query_key = on
-    joined = items.join(queries, items[item_key] == queries[query_key])
+    joined = items.join(
+        written(queries, "query-vectors"), F.col(item_key) == F.col(query_key)
+    )
     score = clamp01(cosine(F.col(item_vector), F.col(query_vector)))
     return joined.select(*items.columns, score.alias("semantic_score"))
 

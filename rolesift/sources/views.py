@@ -228,7 +228,8 @@ class Views:
     def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
         return self.spark.sql(text, **frames)
 
-    def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table written on first use and read from the shared folder after that."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _WRITTEN:
             path = shared_folder(self.spark, f"view-{name}")
@@ -280,11 +281,11 @@ class Views:
             )
             return joined.drop("doc_id")
 
-        return self._table("feed", make)
+        return self.kept("feed", make)
 
     def staging(self) -> DataFrame:
         """Staging rows plus the columns the other views are derived from."""
-        return self._table(
+        return self.kept(
             "staging",
             lambda: to_staging(
                 self.feed(),
@@ -305,7 +306,7 @@ class Views:
             )
             return self._sql(ENRICHED, staging=self.staging(), order_skills=skills)
 
-        return self._table("enriched", make)
+        return self.kept("enriched", make)
 
     def judged(self) -> DataFrame:
         """Verdict rows; the rule columns come from the title rule itself."""
@@ -314,13 +315,13 @@ class Views:
             base = self._sql(JUDGED, staging=self.staging())
             return judge_titles(base, title="job_title").drop("blocked", "title_overlap")
 
-        return self._table("judged", make)
+        return self.kept("judged", make)
 
     def labels(self) -> DataFrame:
-        return self._table("labels", lambda: self._sql(LABELS, staging=self.staging()))
+        return self.kept("labels", lambda: self._sql(LABELS, staging=self.staging()))
 
     def records(self) -> DataFrame:
-        return self._table("records", lambda: self._sql(RECORDS, staging=self.staging()))
+        return self.kept("records", lambda: self._sql(RECORDS, staging=self.staging()))
 
     def vocabulary(self) -> DataFrame:
         """Skill phrases: part names and types, and the long words of the benchmark texts."""
@@ -340,7 +341,7 @@ class Views:
             long = plain.filter(F.length("name") >= 8)
             return phrases.unionByName(kinds).unionByName(long).distinct()
 
-        return self._table("vocabulary", make)
+        return self.kept("vocabulary", make)
 
     def gated(self) -> DataFrame:
         """Enriched postings that passed the verdict gate."""
@@ -348,4 +349,4 @@ class Views:
 
     def star(self, *names: str) -> list[DataFrame]:
         """Written star tables, in the order asked for."""
-        return [self._table(name, lambda n=name: star_frame(self.gated(), n)) for name in names]
+        return [self.kept(name, lambda n=name: star_frame(self.gated(), n)) for name in names]

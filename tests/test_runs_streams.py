@@ -146,3 +146,17 @@ def test_every_sql_names_a_query():
 def test_against_sql(spark, name):
     ok, text = compare(spark, connect(SMALL), SMALL, name)
     assert ok, text
+
+
+def test_plans_push_filters_and_keep_texts_in_place(spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    scan = plan(QUERIES["mart_scan_profile"](spark, SMALL))
+    assert "PushedFilters: [IsNotNull(profile_id), EqualTo(profile_id,building)]" in scan
+    assert "Exchange hashpartitioning" not in plan(QUERIES["pair_score_bm25"](spark, SMALL))
+    for name in ("dedup_first", "sample_titles", "latest_run_per_profile", "semantic_topk"):
+        text = plan(QUERIES[name](spark, SMALL))
+        assert "WindowGroupLimit" in text and "Partial" in text, name
+    narrow = plan(QUERIES["mart_work_mode_distribution"](spark, SMALL))
+    assert "ReadSchema: struct<profile_id:string,search_keyword:string,work_mode:string>" in narrow
