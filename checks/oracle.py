@@ -1264,6 +1264,15 @@ sql(
        left join (select distinct run_id, search_location from staging) l using (run_id)""",
     "report", "staging",
 )
+sql(
+    "corrective_outcome",
+    """select r.run_id, r.search_keyword, count(i.job_id) as new_rows_landed,
+              count(i.job_id) filter (i.ensemble_verdict = 'accept') as new_rows_accepted
+       from report r left join in_run i
+            on i.run_id = r.run_id and list_contains(r.terms, i.search_keyword)
+       where r.triggered group by r.run_id, r.search_keyword""",
+    "report", "in_run",
+)
 sql(
     "migrate_profiles",
     f"""select profile_id as owner, 'default' as profile_id, 'Default' as name,

@@ -995,6 +995,11 @@ def corrective_requests(v: Views) -> DataFrame:
     return _pass(v).requests
 
 
+@query
+def corrective_outcome(v: Views) -> DataFrame:
+    return C.corrective_outcome(_pass(v).report, in_run(v), ["run_id"])
+
+
 @query
 def full_run(v: Views) -> DataFrame:
     """Land everything, enrich from the stored records, transform; counts per table."""

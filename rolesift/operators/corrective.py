@@ -142,3 +142,22 @@ def count_accepted(in_run: DataFrame, keywords: DataFrame, by: Sequence[str]) ->
         .groupBy(*by)
         .agg(F.sum("_n").alias("accepted"))
     )
+
+
+def corrective_outcome(report: DataFrame, in_run: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per triggered keyword: postings its alternatives have landed, and how many were accepted."""
+    loads = in_run.groupBy(*by, F.col("search_keyword").alias("alternative")).agg(
+        F.count(F.lit(1)).alias("_landed"),
+        F.count_if(F.col("ensemble_verdict") == "accept").alias("_accepted"),
+    )
+    alternatives = report.filter("triggered").select(
+        *by, "search_keyword", F.explode_outer("alternatives").alias("alternative")
+    )
+    return (
+        alternatives.join(loads, [*by, "alternative"], "left")
+        .groupBy(*by, "search_keyword")
+        .agg(
+            F.coalesce(F.sum("_landed"), F.lit(0)).alias("new_rows_landed"),
+            F.coalesce(F.sum("_accepted"), F.lit(0)).alias("new_rows_accepted"),
+        )
+    )

@@ -124,7 +124,7 @@ def relevance_cascade(
     enriched = done.select(
         F.col("id").alias("job_id"), now.alias("enriched_at"),
         F.lit(provider[0]).alias("llm_provider"), F.lit(provider[1]).alias("llm_model"),
-        *ENRICHED_COLUMNS,
+        *ENRICHED_COLUMNS, _record().alias("raw_response"),
     )
     # a row rejected by its semantic score counts as dealt with
     status = rejected.select("id", F.lit("succeeded").alias("status")).unionByName(
@@ -133,6 +133,24 @@ def relevance_cascade(
     return CascadeResult(_judged(done, now), _prerejected(rejected, now), enriched, status)
 
 
+def _record() -> Column:
+    """The normalised record of a posting as JSON text, nested as extractors give it."""
+
+    def renamed(**columns: str) -> Column:
+        return F.struct(*[F.col(old).alias(new) for new, old in columns.items()])
+
+    location = renamed(city="city", country="country", country_code="country_code")
+    salary = renamed(
+        min_amount="salary_min", max_amount="salary_max",
+        currency="salary_currency", period="salary_period",
+    )
+    fields = F.struct(
+        "tech_skills", "soft_skills", "domain_skills", location.alias("location"), "work_mode",
+        salary.alias("salary"), "is_relevant", "relevance_confidence", "relevance_reason",
+    )
+    return F.to_json(fields, {"ignoreNullFields": "false"})
+
+
 def _common() -> list[Column]:
     return [
         F.col("id").alias("job_id"), F.col("profile_id"), F.col("search_keyword"),

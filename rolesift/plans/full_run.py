@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.operators.corrective import acceptance_rates, judged_in_run
+from rolesift.operators.relevance import FewShot, fewshot_scores
 from rolesift.operators.rules import verdict_rows
 from rolesift.operators.upsert import new_rows, replace_by_key, upsert_ignore
 from rolesift.plans.cascade import CascadeResult, pending_rows, relevance_cascade
@@ -79,9 +80,16 @@ def enrich(
     extract: Callable[[DataFrame], DataFrame],
     run_id: str | None = None,
     limit: int | None = None,
+    learn: bool = False,
     **scorers,
 ) -> dict[str, int]:
-    """Run the cascade over pending postings and write its verdicts and enriched rows."""
+    """Run the cascade over pending postings and write its verdicts and enriched rows.
+
+    ``learn`` trains the title classifiers on the stored labels first and lets them veto.
+    """
+    if learn:
+        model = FewShot.train(tables.read("profile_title_labels"))
+        scorers["fewshot"] = lambda rows: fewshot_scores(model, rows, "id")
     staging, judged = tables.read("staging_job_offers"), tables.read("judged_job_offers")
     known = tables.read("int_enriched_job_info")
     todo = pending_rows(staging, known, judged, run_id=run_id, limit=limit)
@@ -108,6 +116,7 @@ def full_run(
     requests: DataFrame | None = None,
     fetch: Callable[[DataFrame], DataFrame | None] | None = None,
     limit: int | None = None,
+    learn: bool = False,
     by: Sequence[str] = ("run_id",),
 ) -> DataFrame:
     """Run all steps over one batch of staged postings and return the transform summary.
@@ -119,7 +128,7 @@ def full_run(
     scraped = enriched = 0
     try:
         scraped = land(tables, staged)
-        enriched = enrich(tables, extract, limit=limit)["succeeded"]
+        enriched = enrich(tables, extract, limit=limit, learn=learn)["succeeded"]
         if fetch is not None:
             found = corrective_pass(
                 tables.read("judged_job_offers"), tables.read("staging_job_offers"),
@@ -128,7 +137,7 @@ def full_run(
             more = fetch(found.requests)
             if more is not None:
                 scraped += land(tables, more)
-                enriched += enrich(tables, extract, limit=limit)["succeeded"]
+                enriched += enrich(tables, extract, limit=limit, learn=learn)["succeeded"]
         summary = run_transform(spark, tables)
     except Exception as problem:
         finish_run(

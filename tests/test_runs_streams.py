@@ -80,7 +80,9 @@ def test_whole_run_and_failed_run(spark):
     assert added["fact_job_offers"] == 1
     columns = ("run_id", "status", "scraped_count", "enriched_count")
     assert values(tables.read("pipeline_runs"), *columns) == [("r1", "success", 2, 1)]
-    FULL.full_run(spark, tables, "r2", staged, extract, profile_id="p")
+    stored = tables.read("int_enriched_job_info").first()["raw_response"]
+    assert '"salary":{"min_amount":null' in stored and '"is_relevant":true' in stored
+    FULL.full_run(spark, tables, "r2", staged, extract, profile_id="p", learn=True)
     assert tables.read("staging_job_offers").count() == 2
 
     def broken(rows):
