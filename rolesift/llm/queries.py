@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rolesift.llm.common import documents
+from rolesift.llm.decontaminate import contained_items
 from rolesift.llm.ngram_join import near_classes
 
 
@@ -13,7 +14,13 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item it contains."""
+    return contained_items(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op7_ngram_join": op7_ngram_join,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 ORACLE: dict[str, str] = {}
