@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rolesift.llm.common import documents
 from rolesift.llm.decontaminate import contained_items
+from rolesift.llm.language import held_out, identify, learn_profiles
 from rolesift.llm.ngram_join import near_classes
 
 
@@ -19,8 +20,17 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contained_items(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document; learned from the documents that are not held out."""
+    docs = documents(spark, sf_dir)
+    profiles = learn_profiles(docs.filter(~held_out()))
+    texts = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return identify(texts, profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op7_ngram_join": op7_ngram_join,
+    "op10_language_id": op10_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 ORACLE: dict[str, str] = {}
