@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm.common import documents
+from rolesift.llm.common import documents, shared_folder
 from rolesift.llm.decontaminate import contained_items
 from rolesift.llm.language import held_out, identify, learn_profiles
 from rolesift.llm.ngram_join import near_classes
+from rolesift.llm.packing import pack
+from rolesift.llm.token_files import read_token_files, write_token_files
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files of all documents hold, read back from them."""
+    folder = shared_folder(spark, "token-files")
+    write_token_files(documents(spark, sf_dir), folder)
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence."""
+    return pack(documents(spark, sf_dir))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +43,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op7_ngram_join": op7_ngram_join,
     "op10_language_id": op10_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
