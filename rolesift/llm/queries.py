@@ -9,6 +9,7 @@ from rolesift.llm.decontaminate import contained_items
 from rolesift.llm.language import held_out, identify, learn_profiles
 from rolesift.llm.ngram_join import near_classes
 from rolesift.llm.packing import pack
+from rolesift.llm.pii import find_spans
 from rolesift.llm.token_files import read_token_files, write_token_files
 
 
@@ -19,6 +20,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of personal data in every document, and the disclosing terms around them."""
+    return find_spans(documents(spark, sf_dir)).drop("text_key")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence."""
     return pack(documents(spark, sf_dir))
@@ -44,6 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_personal_data": op2_personal_data,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_ngram_join": op7_ngram_join,
     "op10_language_id": op10_language_id,
