@@ -10,6 +10,8 @@ from rolesift.llm.language import held_out, identify, learn_profiles
 from rolesift.llm.ngram_join import near_classes
 from rolesift.llm.packing import pack
 from rolesift.llm.pii import find_spans
+from rolesift.llm.fingerprints import edited_fingerprints
+from rolesift.llm.sharding import shard_documents
 from rolesift.llm.token_files import read_token_files, write_token_files
 
 
@@ -30,6 +32,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot."""
+    return shard_documents(documents(spark, sf_dir))
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: its class of near copies and its number of links."""
     return near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
@@ -52,6 +64,8 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_personal_data": op2_personal_data,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_minimax_shards": op4_minimax_shards,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_ngram_join": op7_ngram_join,
     "op10_language_id": op10_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
