@@ -95,9 +95,10 @@ def near_classes(
 
     1. Each text gives its n-gram set, reduced to a key, and MinHash bands (recall 0.999 at the
        threshold). Equal sets collapse to one representative with a weight.
-    2. One shuffle on the band hashes gives every bucket its least member. A representative's home is the
-       least of its buckets' first members; homes that meet in a bucket are compared too, so every
-       candidate pair lies in exactly one unit of work.
+    2. One shuffle on the band hashes finds the buckets of two or more. A set weighs as much as its buckets
+       hold; the heaviest of a bucket leads it, and a set's home is the heaviest leader of its own heaviest
+       leader, so a group of near copies has one home. Homes that meet in a bucket are compared too, so every candidate pair
+       lies in exactly one unit of work.
     3. Homes are split into blocks of bounded size; a unit compares two blocks on their full sets and
        returns a row for each member (its links and a root), never pairs.
 
@@ -125,12 +126,22 @@ def near_classes(
         reps.filter("n_grams > 0").select("rep", F.posexplode("bands").alias("band", "hash"))
     )
     shared = (
-        placed.groupBy("band", "hash").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").drop("n")
+        placed.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     )
     members = written(placed.join(shared, ["band", "hash"]), "ngram-members")
+    # the most central set leads: the one that meets most others over all its buckets
+    central = written(members.groupBy("rep").agg(F.sum("n").alias("weight")), "ngram-central")
+    weighed = members.join(central, "rep").withColumn("lead", F.struct("weight", F.negative("rep").alias("back")))
+    leaders = weighed.groupBy("band", "hash").agg(F.max("lead").alias("lead"))
+    led = written(
+        members.join(leaders, ["band", "hash"]).groupBy("rep").agg(F.max("lead").alias("lead"))
+        .select("rep", F.negative("lead.back").alias("home")),
+        "ngram-led",
+    )
+    # a set led by a member of another home moves there, so few homes meet
     homes = written(
-        members.groupBy("rep").agg(F.min("leader").alias("home"))
+        led.join(led.select(F.col("rep").alias("home"), F.col("home").alias("further")), "home")
+        .select("rep", F.col("further").alias("home"))
         .join(reps.select("rep", "copies", "n_grams", "text_key"), "rep"),
         "ngram-homes",
     )
