@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm.common import documents, shared_folder
+from rolesift.llm.chat import format_windows, read_windows
+from rolesift.llm.common import documents, shared_folder, written
 from rolesift.llm.decontaminate import contained_items
 from rolesift.llm.language import held_out, identify, learn_profiles
 from rolesift.llm.ngram_join import near_classes
@@ -52,6 +53,14 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contained_items(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, written and read back; one more is made of control strings."""
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn int, role string, text string")
+    turns = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return read_windows(written(format_windows(turns), "chat-windows"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document; learned from the documents that are not held out."""
     docs = documents(spark, sf_dir)
@@ -67,6 +76,7 @@ QUERIES = {
     "op4_minimax_shards": op4_minimax_shards,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_ngram_join": op7_ngram_join,
+    "op9_chat_windows": op9_chat_windows,
     "op10_language_id": op10_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
