@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +19,6 @@ RECALL = 0.998
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 4
 
-_NO_WORD = re.compile(r"[\W_]+")
-
-
-def words_of(text: str) -> str:
-    """The word form of ``common.word_form`` for a text made inside a task."""
-    return _NO_WORD.sub(" ", f"{text.lower()} ").lstrip()
-
-
 def signature_of(forms: pa.Array, n_words: int = SHINGLE_WORDS) -> np.ndarray:
     """128 values of 16 bits a text: the low bits of the least hashes, as the high ones of a minimum are few."""
     flat, offsets = S.shingle_hashes(forms, n_words)
@@ -54,8 +45,8 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         texts = [r[3] for r in rows]
         edited = [texts[k][: len(texts[k]) - len(texts[k]) // 2] + texts[k + 1][: len(texts[k]) // 2] for k in own]
-        plain = signature_of(pa.array([words_of(t) for t in texts], pa.large_string()))
-        changed = signature_of(pa.array([words_of(t) for t in edited], pa.large_string()))
+        plain = signature_of(pa.array([S.words_of(t) for t in texts], pa.large_string()))
+        changed = signature_of(pa.array([S.words_of(t) for t in edited], pa.large_string()))
         at = np.array(own)
         yield pa.RecordBatch.from_arrays(
             [

@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from rolesift.llm.chat import format_windows, read_windows
 from rolesift.llm.common import documents, shared_folder, written
 from rolesift.llm.decontaminate import contained_items
+from rolesift.llm.fingerprints import edited_fingerprints
 from rolesift.llm.language import held_out, identify, learn_profiles
+from rolesift.llm.licenses import scan_licenses
 from rolesift.llm.ngram_join import near_classes
+from rolesift.llm.oracle import ORACLE
 from rolesift.llm.packing import pack
 from rolesift.llm.pii import find_spans
-from rolesift.llm.fingerprints import edited_fingerprints
 from rolesift.llm.sharding import shard_documents
 from rolesift.llm.token_files import read_token_files, write_token_files
 
@@ -38,6 +40,11 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and licence notice it holds."""
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     return edited_fingerprints(documents(spark, sf_dir))
@@ -74,10 +81,10 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minimax_shards": op4_minimax_shards,
+    "op5_license_scan": op5_license_scan,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_ngram_join": op7_ngram_join,
     "op9_chat_windows": op9_chat_windows,
     "op10_language_id": op10_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
-ORACLE: dict[str, str] = {}

@@ -7,6 +7,7 @@ borders are the positions of blanks in the UTF-8 buffer and no text is walked in
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,13 @@ _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BYTE_BASE, _WORD_BASE = 0x100000001B3, 0x9E3779B97F4A7C15
 _WORD_BYTES = 64
 _CHUNK_WORDS = 1 << 17
-_SHIFT = np.uint64(32)
+SHIFT = np.uint64(32)
+_NO_WORD = re.compile(r"[\W_]+")
+
+
+def words_of(text: str) -> str:
+    """The word form of ``common.word_form`` for a text made inside a task."""
+    return _NO_WORD.sub(" ", f"{text.lower()} ").lstrip()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,7 +123,7 @@ def signatures(flat: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarr
     if len(full):
         at = offsets[full]
         for k in range(len(a)):
-            out[full, k] = np.minimum.reduceat(((flat * a[k] + b[k]) >> _SHIFT).astype(np.uint32), at)
+            out[full, k] = np.minimum.reduceat(((flat * a[k] + b[k]) >> SHIFT).astype(np.uint32), at)
     return out
 
 
