@@ -92,7 +92,10 @@ class _Windows:
             yield self._cut()
 
     def _cut(self) -> tuple:
-        repeated = ([self.system] if self.system else []) + self.history
+        fixed, history = [self.system] if self.system else [], self.history
+        while history and sum(t[2] for t in (*fixed, *history, self.waiting[0])) > self.budget:
+            history = history[1:]
+        repeated = fixed + history
         room = self.budget - sum(t[2] for t in repeated)
         reach = np.cumsum([t[2] for t in self.waiting])
         n = max(1, int(np.searchsorted(reach, room, side="right")))
@@ -109,7 +112,7 @@ class _Windows:
         self.made += 1
         if self.made == 1 and new[0][0] == "system":
             self.system = new[0]
-        recent = [t for t in (*self.history, *new) if t is not self.system][-self.history_turns :] if self.history_turns else []
+        recent = [t for t in (*history, *new) if t is not self.system][-self.history_turns :] if self.history_turns else []
         while recent and sum(t[2] for t in recent) > self.history_tokens:
             recent.pop(0)
         self.history = recent
@@ -157,13 +160,13 @@ def format_windows(
     """(conv_id, turn, role, text) to windows: conv_id, window_no, text, mask, n_repeated, n_turns, n_tokens.
 
     Prefix sums of the turns' tokens choose how many whole turns a window takes within the budget. Each window after
-    the first repeats the leading system turn and the latest turns (at most two, and 512 tokens of them). ``mask``
-    lists the code points under the loss: the texts of the new assistant turns; repeated ones are
+    the first repeats the leading system turn and the latest turns (at most two, 512 tokens of them, and only what leaves
+    room for the next turn). ``mask`` lists the code points under the loss: the texts of the new assistant turns; repeated ones are
     context only, so every target counts once.
 
     Cases: null text and role read as empty; a null conv_id is one conversation; equal turn numbers are ordered by role
-    and text, null turns come first; repeated rows are turns of their own. A turn beyond the budget has a
-    window of its own, which then exceeds it. No rows give no rows.
+    and text, null turns come first; repeated rows are turns of their own. A turn that does not fit
+    beside the system turn has a window of its own, which then exceeds the budget. No rows give no rows.
 
     A conversation is walked in one task, whose memory is bounded by a window; the digest of a conversation is
     sequential by nature, so one of any length is not split further.
