@@ -1042,14 +1042,12 @@ def migrate_profiles(v: Views) -> DataFrame:
 
 # === streams =====================================================================
 def _event_stream(v: Views) -> DataFrame:
-    return ST.file_stream(
-        v.spark, v.folder, v.given("events").schema, "events.parquet"
-    )
+    return ST.table_stream(v.spark, f"{v.folder}/events.parquet", v.given("events").schema)
 
 
 def _order_stream(v: Views) -> DataFrame:
     """Posting ids straight from the order stream: url copies come as neighbouring orders."""
-    orders = ST.file_stream(v.spark, v.folder, v.given("orders").schema, "orders.parquet")
+    orders = ST.table_stream(v.spark, f"{v.folder}/orders.parquet", v.given("orders").schema)
     url = F.concat(
         F.lit("https://jobs.example.org/"), F.floor(F.col("o_orderkey") / 10).cast("string")
     )

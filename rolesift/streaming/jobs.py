@@ -12,17 +12,24 @@ from pyspark.sql.streaming import StreamingQuery
 from rolesift.functions.timing import as_event_time, as_naive_utc
 from rolesift.operators.dedup import first_per_key
 
-WATERMARK = "2 days"
-
-
-def file_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, glob: str, per_batch: int | None = None
+def table_stream(
+    spark: SparkSession, path: str, schema: T.StructType, per_batch: int | None = None
 ) -> DataFrame:
-    """A stream of the Parquet files in a folder whose names match ``glob``."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    """A stream of a Parquet table: a folder of part files, or a single file.
+
+    A stream source has to be a folder, so a single file is read from its own with a
+    filter on its name. A path without any file raises instead of giving no rows.
+    """
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    if not files:
+        raise ValueError(f"no Parquet file in {path}")
+    folder, _, name = path.rstrip("/").rpartition("/")
+    reader = spark.readStream.schema(schema)
     if per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    return reader.parquet(folder)
+    if len(files) == 1 and files[0].rpartition("/")[2] == name:
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def _run(
@@ -38,10 +45,15 @@ def _run(
     query.awaitTermination()
 
 
+def _opened(spark: SparkSession, folder: str, schema: T.StructType) -> None:
+    """Make the folder of a stream's results, with an empty batch, so that it can be read at once."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/batch=-1")
+
+
 def _written(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """What the stream has written so far; batches are folders, so a repeat replaces itself."""
-    spark.createDataFrame([], schema).write.mode("append").parquet(f"{folder}/batch=-1")
-    return spark.read.schema(schema.add("batch", T.LongType())).parquet(folder)
+    columns = T.StructType([*schema, T.StructField("batch", T.LongType())])
+    return spark.read.schema(columns).parquet(folder)
 
 
 def land_stream(
@@ -68,8 +80,10 @@ def land_stream(
         timed = stream.withColumn("_at", as_event_time(F.col(column)))
         stream = timed.withWatermark("_at", delay).dropDuplicatesWithinWatermark([key])
 
+    _opened(stream.sparkSession, target, schema)
+
     def land(batch: DataFrame, number: int) -> None:
-        done = _written(batch.sparkSession, target, T.StructType(list(schema)))
+        done = _written(batch.sparkSession, target, schema)  # only its key column is read
         earlier = done.filter(F.col("batch") < number).select(key)
         rows = first_per_key(batch, [key], order)
         rows.join(earlier, key, "left_anti").select(schema.names).write.mode(
@@ -77,7 +91,7 @@ def land_stream(
         ).parquet(f"{target}/batch={number}")
 
     _run(stream, checkpoint, land, "append")
-    return _written(stream.sparkSession, target, T.StructType(list(schema))).drop("batch")
+    return _written(stream.sparkSession, target, schema).drop("batch")
 
 
 def upsert_stream(
@@ -98,8 +112,9 @@ def upsert_stream(
         newest = first_per_key(batch, keys, order)
         newest.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
+    _opened(stream.sparkSession, target, schema)
     _run(stream, checkpoint, write, "append")
-    rows = _written(stream.sparkSession, target, T.StructType(list(schema)))
+    rows = _written(stream.sparkSession, target, schema)
     return first_per_key(rows, keys, [*order, F.col("batch").desc()]).drop("batch")
 
 
@@ -110,17 +125,19 @@ def windowed_counts(
     event_time: str,
     keys: Sequence[str],
     window: str = "1 day",
-    delay: str = WATERMARK,
+    delay: str | None = None,
 ) -> DataFrame:
-    """Rows per time window and key; rows later than the watermark delay are left out.
+    """Rows per time window and key, however late they come.
 
     The stream emits only the windows a batch has changed; the newest count of each
-    window is its result.
+    window is its result. ``delay`` is for feeds without end: windows older than it are
+    dropped from the state, and rows that come later than that are left out.
     """
     timed = stream.withColumn("_at", as_event_time(F.col(event_time)))
+    if delay is not None:
+        timed = timed.withWatermark("_at", delay)
     counts = (
-        timed.withWatermark("_at", delay)
-        .groupBy(F.window("_at", window).alias("_window"), *keys)
+        timed.groupBy(F.window("_at", window).alias("_window"), *keys)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(as_naive_utc(F.col("_window.start")).alias("window_start"), *keys, "n")
     )
@@ -129,12 +146,7 @@ def windowed_counts(
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
+    _opened(stream.sparkSession, target, schema)
     _run(counts, checkpoint, write, "update")
-    rows = _written(stream.sparkSession, target, T.StructType(list(schema)))
+    rows = _written(stream.sparkSession, target, schema)
     return first_per_key(rows, ["window_start", *keys], [F.col("batch").desc()]).drop("batch")
-
-
-def fresh_stream(stream: DataFrame, event_time: str, hours: int) -> DataFrame:
-    """Rows at most ``hours`` old when they are read."""
-    age = F.timestamp_add("HOUR", F.lit(-hours), F.current_timestamp().cast("timestamp_ntz"))
-    return stream.filter(F.col(event_time) >= age)

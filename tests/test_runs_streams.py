@@ -1,6 +1,7 @@
 """Run registry, profiles, whole runs, streams, and queries against SQL."""
 
 import datetime as dt
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,7 +112,7 @@ def test_stream_landing_equals_batch_over_several_batches(spark, tmp_path):
                [("b", 4, hour(-900)), ("c", 5, hour(3))]]
     schema = _files(spark, folder, batches)
     target, progress = f"{tmp_path}/out", f"{tmp_path}/progress"
-    stream = lambda: ST.file_stream(spark, folder, schema, "*.parquet", 1)
+    stream = lambda: ST.table_stream(spark, folder, schema, 1)
     landed = ST.land_stream(stream(), target, progress, "id", [F.col("at"), F.col("k")])
     assert [r[0] for r in values(landed, "id")] == ["a", "b", "c"]
     _files(spark, folder, [[("c", 6, hour(4)), ("d", 7, hour(5))]])
@@ -122,13 +123,43 @@ def test_stream_landing_equals_batch_over_several_batches(spark, tmp_path):
 def test_stream_upsert_and_counts(spark, tmp_path):
     folder = f"{tmp_path}/in"
     schema = _files(spark, folder, [[("a", 1, AT)], [("a", 2, AT + dt.timedelta(hours=1)), ("b", 3, AT)]])
-    stream = lambda: ST.file_stream(spark, folder, schema, "*.parquet", 1)
+    stream = lambda: ST.table_stream(spark, folder, schema, 1)
     newest = ST.upsert_stream(stream(), f"{tmp_path}/u", f"{tmp_path}/up", ["id"], [F.col("at").desc()])
     assert values(newest, "id", "k") == [("a", 2), ("b", 3)]
     counts = ST.windowed_counts(stream(), f"{tmp_path}/w", f"{tmp_path}/wp", "at", ["id"])
     assert values(counts) == [(AT, "a", 2), (AT, "b", 1)]
 
 
+@pytest.mark.parametrize("files", [0, 1, 5])
+def test_streams_read_files_and_folders_alike(spark, tmp_path, files):
+    """The three stream queries on a table of one file, one part file and many part files."""
+    expected = {}
+    for name in ("events", "orders"):
+        table = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        if files:
+            table.repartition(files).write.parquet(f"{tmp_path}/{name}.parquet")
+        else:
+            shutil.copy(f"{SMALL}/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    for name in ("stream_daily_counts", "stream_land_dedup", "stream_upsert_verdicts"):
+        expected[name] = values(QUERIES[name](spark, SMALL))
+        assert expected[name] and values(QUERIES[name](spark, str(tmp_path))) == expected[name], name
+
+
+def test_a_stream_without_files_raises(spark, tmp_path):
+    schema = spark.read.parquet(f"{SMALL}/events.parquet").schema
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError, match="no Parquet file"):
+        ST.table_stream(spark, f"{tmp_path}/empty", schema)
+
+
+def test_late_rows_count_unless_a_delay_is_asked_for(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    batches = [[("a", 1, AT)], [("a", 2, AT + dt.timedelta(days=30))], [("a", 3, AT)]]
+    schema = _files(spark, folder, batches)
+    every = ST.windowed_counts(ST.table_stream(spark, folder, schema, 1), f"{tmp_path}/w", f"{tmp_path}/wp", "at", ["id"])
+    assert sum(r["n"] for r in every.collect()) == 3
+
+
 def test_fresh_rows(spark):
     df = spark.createDataFrame([(AT,), (AT - dt.timedelta(hours=72),), (AT - dt.timedelta(hours=73),)], "at timestamp_ntz")
     assert fresh_rows(df, "at").count() == 2
