@@ -887,12 +887,10 @@ def _doc(body: str) -> str:
 
 
 _WHOLE_DOC = _doc(strip("coalesce(description, '')"))
-_BOUNDED = _doc(strip("substr(coalesce(description, ''), 1, 500)"))
 sql(
     "relevance_docs",
     f"""select k, sha256({_WHOLE_DOC}) as doc_sha,
-               cast(length({_WHOLE_DOC}) as bigint) as doc_chars,
-               sha256({_BOUNDED}) as input_sha from feed""",
+               cast(length({_WHOLE_DOC}) as bigint) as doc_chars from feed""",
     "feed",
 )
 sql(
@@ -1208,6 +1206,43 @@ CTES["verdicts"] = (
        where t.sem < 0.35 or p.job_id is not null""",
 )
 sql("relevance_cascade", "select * from verdicts", "verdicts")
+CTES["taught"] = (
+    ["labels_"],
+    """select profile_id, a, r, a >= 4 and r >= 4 as trained, ln((a + 1) / (r + 1)) as bias
+       from (select profile_id, count(*) filter (label = 'accept') as a, count(*) filter (label = 'reject') as r
+             from labels_ where coalesce(title_norm, '') <> '' group by profile_id) t""",
+)
+CTES["told"] = (
+    ["taught", "labels_"],
+    f"""select w.profile_id, word, ln((w.a + 0.5) / (t.a + 1)) - ln((w.r + 0.5) / (t.r + 1)) as weight
+        from (select profile_id, word, count(*) filter (label = 'accept') as a,
+                     count(*) filter (label = 'reject') as r
+              from (select profile_id, label, unnest({tokens("title_norm")}) as word from labels_
+                    where label in ('accept', 'reject') and coalesce(title_norm, '') <> '') u
+              group by all) w join taught t on t.profile_id = w.profile_id and t.trained""",
+)
+CTES["learned"] = (
+    ["taught", "told", "staging"],
+    f"""select s.id, case when t.profile_id is null then 1.0
+                          else 1 / (1 + exp(-(t.bias + coalesce(g.told, 0.0)))) end as score
+        from staging s left join taught t on t.profile_id = s.profile_id and t.trained
+        left join (select id, sum(weight) as told
+                   from (select id, profile_id, unnest({tokens("coalesce(title, '')")}) as word from staging) u
+                   join told using (profile_id, word) group by id) g on g.id = s.id""",
+)
+sql(
+    "fewshot_train_summary",
+    "select profile_id, a as n_accept, r as n_reject, trained from taught",
+    "taught",
+)
+sql("fewshot_scores", "select id, round(score, 6) as fewshot_score from learned", "learned")
+sql(
+    "relevance_cascade_learned",
+    """select v.job_id, case when l.score < 0.5 then 'reject' else v.ensemble_verdict end as ensemble_verdict,
+              round(case when v.biencoder_score < 0.35 then 1.0 else l.score end, 6) as setfit_score
+       from verdicts v join learned l on l.id = v.job_id""",
+    "verdicts", "learned",
+)
 sql(
     "enrichment_summary",
     """select (select count(*) from todo) as attempted,

@@ -327,7 +327,7 @@ def fact_with_dims_by_keyword(v: Views) -> DataFrame:
 
 @query
 def fact_with_dims_by_profile(v: Views) -> DataFrame:
-    return _wide(v, profile_id="building", limit=999_999)
+    return _wide(v, profile_id="building", limit=5000)
 
 
 @query
@@ -756,13 +756,9 @@ def run_durations(v: Views) -> DataFrame:
 
 @query
 def relevance_docs(v: Views) -> DataFrame:
-    """Scorer texts: with the whole description, and as a bounded model input."""
-    title, description = F.col("title"), F.col("description")
-    whole, bounded = X.relevance_doc(title, description), X.model_input(title, description)
-    return v.feed().select(
-        "k", sha(whole).alias("doc_sha"), F.length(whole).alias("doc_chars"),
-        sha(bounded).alias("input_sha"),
-    )
+    """Scorer texts with the whole description."""
+    whole = X.relevance_doc(F.col("title"), F.col("description"))
+    return v.feed().select("k", sha(whole).alias("doc_sha"), F.length(whole).alias("doc_chars"))
 
 
 @query
@@ -841,7 +837,7 @@ def fewshot_train_summary(v: Views) -> DataFrame:
     counts = REL.training_counts(v.labels())
     if model is None:
         return counts.withColumn("trained", F.lit(False))
-    known = model.profiles.withColumn("trained", F.lit(True))
+    known = model.profiles.select("profile_id", F.lit(True).alias("trained"))
     return counts.join(known, "profile_id", "left").withColumn(
         "trained", F.coalesce("trained", F.lit(False))
     )
@@ -850,7 +846,8 @@ def fewshot_train_summary(v: Views) -> DataFrame:
 @query
 def fewshot_scores(v: Views) -> DataFrame:
     model = REL.FewShot.train(v.labels())
-    return REL.fewshot_scores(model, v.staging(), "id")
+    found = REL.fewshot_scores(model, v.staging(), "id")
+    return found.select("id", F.round("fewshot_score", 6).alias("fewshot_score"))
 
 
 # --- extraction ------------------------------------------------------------------
@@ -907,13 +904,13 @@ def _read_records(v: Views) -> Callable[[DataFrame], DataFrame]:
     return extract
 
 
-def _cascade(v: Views) -> CAS.CascadeResult:
+def _cascade(v: Views, **scorers) -> CAS.CascadeResult:
     """Postings of the early runs are enriched already; the others go through the cascade."""
     early = v.staging().filter("run_id <= 'run-1994'").select(F.col("id").alias("job_id"))
     todo = CAS.pending_rows(
         v.staging(), v.enriched().join(early, "job_id", "left_semi"), v.judged()
     )
-    return CAS.relevance_cascade(todo, _read_records(v), now())
+    return CAS.relevance_cascade(todo, _read_records(v), now(), **scorers)
 
 
 @query
@@ -924,6 +921,16 @@ def relevance_cascade(v: Views) -> DataFrame:
     )
 
 
+@query
+def relevance_cascade_learned(v: Views) -> DataFrame:
+    """The cascade with title classifiers trained on the labels, which may veto."""
+    model = REL.FewShot.train(v.labels())
+    result = _cascade(v, fewshot=lambda rows: REL.fewshot_scores(model, rows, "id"))
+    return result.verdicts().select(
+        "job_id", "ensemble_verdict", F.round("setfit_score", 6).alias("setfit_score")
+    )
+
+
 # === transform and whole runs ====================================================
 @query
 def dim_location(v: Views) -> DataFrame:

@@ -63,7 +63,6 @@ FACT_LIMIT_DEFAULT = 500
 FACT_LIMIT_MAX = 5000
 TRIAGE_LIMIT = 200
 TOP_SKILLS = {"tech": 20, "soft": 10, "domain": 15}
-RUN_HISTORY_LIMITS = (10, 25, 50, 100)
 
 # --- freshness ----------------------------------------------------------------
 FRESH_HOURS = 72

@@ -24,20 +24,23 @@ def fact_with_dims(
     keyword: str | None = None,
     profile_id: str | None = None,
     limit: int = FACT_LIMIT_DEFAULT,
+    limit_max: int = FACT_LIMIT_MAX,
 ) -> DataFrame:
     """The newest facts with their location, salary and skills (runs one job for the top-k).
 
     All three lookups keep every fact, so the top-k is taken on the fact alone and
-    written. It has at most ``FACT_LIMIT_MAX`` rows: its keys are broadcast to thin out
+    written. It has at most ``limit_max`` rows (a larger limit raises): its keys are broadcast to thin out
     each lookup table in place, and so are the lookup rows found, one per key.
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
+    if limit > limit_max:
+        raise ValueError(f"limit {limit} is above the reader's maximum of {limit_max}")
     if keyword:
         fact = fact.filter(F.col("search_keyword") == keyword)
     if profile_id:
         fact = fact.filter(F.col("profile_id") == profile_id)
-    top = fact.orderBy(*newest_first()).limit(min(limit, FACT_LIMIT_MAX))
+    top = fact.orderBy(*newest_first()).limit(limit)
     wide = top = written(top, "newest-facts")
     salary = dim_salary.select(
         "salary_key",

@@ -5,10 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,58 +142,50 @@ def trainable_profiles(labels: DataFrame, minimum: int = FEWSHOT_MIN_PER_CLASS)
     )
 
 
-def _profile_features(profile: Column, title: Column) -> Column:
-    """Words tagged with their profile, plus the profile itself as its bias term.
+class FewShot:
+    """Per-profile title classifiers: smoothed log-odds of the words of accepted and rejected titles.
 
-    Profiles share no feature, so one distributed fit trains every profile's model.
+    The model is two tables, one row per (profile, word) and one per profile, counted with map-side
+    combine; profiles share nothing and words are not hashed, so one profile never moves another.
     """
-    tagged = F.transform(tokenize(title), lambda w: F.concat_ws("\x1f", profile, w))
-    return F.array_append(tagged, profile)
-
 
-class FewShot:
-    """Per-profile title classifiers, trained together as one logistic regression."""
-
-    def __init__(self, model: PipelineModel, profiles: DataFrame):
-        self.model, self.profiles = model, profiles
+    def __init__(self, weights: DataFrame, profiles: DataFrame):
+        self.weights, self.profiles = weights, profiles
 
     @classmethod
-    def train(cls, labels: DataFrame, features: int = 1 << 18) -> FewShot | None:
-        """Runs the fit; None when no profile has enough labels."""
-        ready = trainable_profiles(labels).select("profile_id")
+    def train(cls, labels: DataFrame) -> FewShot | None:
+        """Counts the labelled titles; None when no profile has enough labels."""
+        ready = written(
+            trainable_profiles(labels).withColumn("bias", F.log((F.col("n_accept") + 1) / (F.col("n_reject") + 1))),
+            "fewshot-profiles",
+        )
+        if ready.isEmpty():
+            return None
         rows = labels.filter(
             F.col("label").isin("accept", "reject")
             & (F.coalesce(F.col("title_norm"), F.lit("")) != "")
+        ).select("profile_id", "label", F.explode(tokenize(F.col("title_norm"))).alias("word"))
+        seen = rows.groupBy("profile_id", "word").agg(
+            F.count_if(F.col("label") == "accept").alias("a"), F.count_if(F.col("label") == "reject").alias("r")
         )
-        data = rows.join(ready, "profile_id", "left_semi").select(
-            _profile_features(F.col("profile_id"), F.col("title_norm")).alias("terms"),
-            (F.col("label") == "accept").cast("double").alias("target"),
-        )
-        if data.isEmpty():
-            return None
-        stages = [
-            HashingTF(inputCol="terms", outputCol="tf", numFeatures=features, binary=True),
-            IDF(inputCol="tf", outputCol="features"),
-            LogisticRegression(
-                featuresCol="features", labelCol="target", regParam=0.01, maxIter=20,
-                fitIntercept=False,
-            ),
-        ]
-        return cls(Pipeline(stages=stages).fit(data), ready)
+        weight = F.log((F.col("a") + 0.5) / (F.col("n_accept") + 1)) - F.log((F.col("r") + 0.5) / (F.col("n_reject") + 1))
+        weights = seen.join(ready, "profile_id").select("profile_id", "word", weight.alias("weight"))
+        return cls(written(weights, "fewshot-weights"), ready.select("profile_id", "bias"))
 
     def predict(self, postings: DataFrame, key: str, title: str = "title") -> DataFrame:
-        """(key, fewshot_score): P(relevant), and 1.0 for profiles without a model."""
-        known = self.profiles.withColumn("_known", F.lit(True))
-        rows = postings.join(known, "profile_id", "left").select(
-            key, "_known",
-            _profile_features(
-                F.coalesce("profile_id", F.lit("")), F.coalesce(title, F.lit(""))
-            ).alias("terms"),
-        )
-        probability = vector_to_array("probability")[1]
-        return self.model.transform(rows).select(
-            key, F.when(F.col("_known"), probability).otherwise(1.0).alias("fewshot_score")
+        """(key, fewshot_score): P(relevant), and 1.0 for profiles without a model.
+
+        ``key`` is unique. Words leave their row to meet the weights and are summed per key.
+        """
+        words_of = postings.select(key, "profile_id", F.explode(tokenize(F.coalesce(title, F.lit("")))).alias("word"))
+        told = (
+            words_of.join(self.weights, ["profile_id", "word"])
+            .groupBy(key).agg(F.sum(F.round("weight", 12)).alias("_told"))
         )
+        odds = F.col("bias") + F.coalesce("_told", F.lit(0.0))
+        score = F.when(F.col("bias").isNotNull(), 1 / (1 + F.exp(-odds))).otherwise(1.0)
+        rows = postings.select(key, "profile_id").join(self.profiles, "profile_id", "left").join(told, key, "left")
+        return rows.select(key, score.alias("fewshot_score"))
 
 
 def fewshot_scores(model: FewShot | None, postings: DataFrame, key: str) -> DataFrame:

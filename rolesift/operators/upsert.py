@@ -43,9 +43,11 @@ def upsert_update(
     incoming: DataFrame,
     keys: Sequence[str],
     set_columns: Sequence[str],
+    where: tuple[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Insert new keys whole; on known keys replace the listed columns only.
 
+    ``where`` = (flag, columns) names further columns that are replaced where the incoming flag is true.
     Keys are unique on both sides, so the full outer join is one co-partitioned
     exchange without fan-out.
     """
@@ -59,7 +61,12 @@ def upsert_update(
         current, update = F.col(f"_t_{c}"), F.col(f"_i_{c}") if c in have else F.lit(None)
         if c in keys:
             return F.coalesce(current, update).alias(c)
-        replaced = F.col("_new").isNotNull() if c in set_columns else F.lit(False)
+        if c in set_columns:
+            replaced = F.col("_new").isNotNull()
+        elif where is not None and c in where[1]:
+            replaced = F.coalesce(F.col(f"_i_{where[0]}"), F.lit(False))
+        else:
+            replaced = F.lit(False)
         return F.when(F.col("_old").isNull() | replaced, update).otherwise(current).alias(c)
 
     return joined.select([value(c) for c in target.columns])

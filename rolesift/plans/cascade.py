@@ -75,11 +75,14 @@ class CascadeResult:
         return self.judged.unionByName(self.prerejected)
 
     def update(self, target: DataFrame) -> DataFrame:
-        """The judged table after this pass; title and rule columns of known rows stay."""
-        scored = upsert_update(target, self.prerejected, ["job_id"], SCORE_COLUMNS)
-        return upsert_update(
-            scored, self.judged, ["job_id"], SCORE_COLUMNS + EXTRACTOR_COLUMNS
+        """The judged table after this pass; title and rule columns of known rows stay.
+
+        A posting is judged or rejected before, never both, so one merge takes them all.
+        """
+        both = self.judged.withColumn("_read", F.lit(True)).unionByName(
+            self.prerejected.withColumn("_read", F.lit(False))
         )
+        return upsert_update(target, both, ["job_id"], SCORE_COLUMNS, ("_read", EXTRACTOR_COLUMNS))
 
 
 def relevance_cascade(
@@ -102,10 +105,11 @@ def relevance_cascade(
     no scorer or extractor runs twice.
     """
     title_only = lambda df: lexical_semantic(df, "search_keyword", "title")
-    scored = keep(
-        (semantic or title_only)(pending).select(*_PENDING, "semantic_score"), "scored"
-    )
     low = F.col("semantic_score") < SEMANTIC_THRESHOLD
+    # only survivors keep their text
+    text = F.when(low, None).otherwise(F.col("description")).alias("description")
+    columns = [text if c == "description" else F.col(c) for c in _PENDING]
+    scored = keep((semantic or title_only)(pending).select(*columns, "semantic_score"), "scored")
     rejected, survivors = scored.filter(low), scored.filter(~low)
 
     doc = relevance_doc(F.col("title"), F.col("description"))

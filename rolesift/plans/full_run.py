@@ -7,14 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.operators.corrective import acceptance_rates, judged_in_run
 from rolesift.operators.relevance import FewShot, fewshot_scores
 from rolesift.operators.rules import verdict_rows
-from rolesift.operators.upsert import new_rows, replace_by_key, upsert_ignore
+from rolesift.operators.upsert import new_rows, replace_by_key
 from rolesift.plans.cascade import CascadeResult, pending_rows, relevance_cascade
 from rolesift.plans.corrective import corrective_pass
 from rolesift.plans.transform import run_transform
 from rolesift.schemas import align_table
+from rolesift.session import written
 from rolesift.sources.tables import Tables
 
 
@@ -63,13 +63,16 @@ def finish_run(
 def land(tables: Tables, staged: DataFrame) -> int:
     """Append the new postings of a batch and their first verdicts; returns how many landed.
 
-    Verdicts are given to every written posting that has none, so a run that died
-    between the two writes is completed by the next one.
+    Verdicts are given to the batch's written postings that have none, so a batch that died
+    between the two writes is completed by landing it again. The batch's ids are written
+    first: while they are few, Spark broadcasts them and history is not exchanged.
     """
-    written = tables.read("staging_job_offers")
-    landed = tables.append("staging_job_offers", new_rows(staged, written, ["id"]))
+    ids = written(staged.select("id").distinct(), "landing-ids")
+    known = tables.read("staging_job_offers").join(ids, "id", "left_semi")
+    landed = tables.append("staging_job_offers", new_rows(staged, known, ["id"]))
+    mine = tables.read("staging_job_offers").join(ids, "id", "left_semi")
     judged = tables.read("judged_job_offers").select(F.col("job_id").alias("id"))
-    unjudged = new_rows(tables.read("staging_job_offers"), judged, ["id"])
+    unjudged = new_rows(mine, judged.join(ids, "id", "left_semi"), ["id"])
     labels = tables.read("profile_title_labels")
     tables.append("judged_job_offers", verdict_rows(unjudged, labels, _now()))
     return landed
@@ -95,13 +98,15 @@ def enrich(
     todo = pending_rows(staging, known, judged, run_id=run_id, limit=limit)
     result: CascadeResult = relevance_cascade(todo, extract, _now(), **scorers)
     updated = result.update(judged)
-    enriched = upsert_ignore(known, align_table(result.enriched, "int_enriched_job_info"), ["job_id"])
+    enriched = new_rows(align_table(result.enriched, "int_enriched_job_info"), known, ["job_id"])
     counts = result.status.groupBy().agg(
         F.count(F.lit(1)).alias("attempted"),
         F.count_if(F.col("status") == "succeeded").alias("succeeded"),
         F.count_if(F.col("status") == "failed").alias("failed"),
     ).first()
-    tables.publish({"judged_job_offers": updated, "int_enriched_job_info": enriched})
+    # verdicts first: a pass that dies between the writes finds its postings pending again
+    tables.publish({"judged_job_offers": updated})
+    tables.append("int_enriched_job_info", enriched)
     return counts.asDict()
 
 
@@ -146,12 +151,3 @@ def full_run(
         raise
     finish_run(tables, run_id, "success", scraped, enriched)
     return summary
-
-
-def run_acceptance(tables: Tables, run_id: str) -> DataFrame:
-    """Acceptance rates of a run as the written tables have them now."""
-    return acceptance_rates(
-        judged_in_run(
-            tables.read("judged_job_offers"), tables.read("staging_job_offers"), run_id
-        )
-    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolesift.operators import marts as M
 from rolesift.operators import star as S
-from rolesift.operators.upsert import upsert_ignore
+from rolesift.operators.upsert import new_rows
 from rolesift.schemas import MARTS, PRIMARY_KEYS
 from rolesift.session import written
 from rolesift.sources.tables import Tables
@@ -27,14 +27,14 @@ def mart_frames(star: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {m: make(*(star[t] for t in inputs)) for m, (make, inputs) in MART_INPUTS.items()}
 
 
-def merge_star(
-    existing: dict[str, DataFrame], candidates: dict[str, DataFrame], rebuild: bool = False
-) -> dict[str, DataFrame]:
-    """Existing rows stay as they are, new keys are added; ``rebuild`` starts from nothing."""
-    if rebuild:
-        return candidates
+# The fact comes last: a posting without one is offered again in full by the next pass.
+WRITE_ORDER = ("dim_location", "dim_salary", "dim_skill", "job_skill_bridge", "fact_job_offers")
+
+
+def add_to_star(tables: Tables, candidates: dict[str, DataFrame]) -> dict[str, int]:
+    """Append the rows with new keys to each star table; files that are there stay untouched."""
     return {
-        t: upsert_ignore(existing[t], candidates[t], PRIMARY_KEYS[t]) for t in S.STAR
+        t: tables.append(t, new_rows(candidates[t], tables.read(t), PRIMARY_KEYS[t])) for t in WRITE_ORDER
     }
 
 
@@ -42,41 +42,40 @@ def run_transform(spark: SparkSession, tables: Tables, rebuild: bool = False) ->
     """Bring star and marts up to date with the written tables; returns a summary row.
 
     The three-way join of the verdict gate is written once and feeds all five star
-    tables; marts and counts read the written star. An empty input still refreshes
-    the marts.
+    tables. Existing rows stay as they are and new keys are appended; ``rebuild`` starts
+    from nothing. Marts read the written star. An empty input still refreshes the marts.
     """
     gated = S.load_enriched(
         tables.read("staging_job_offers"),
         tables.read("int_enriched_job_info"),
         tables.read("judged_job_offers"),
     )
-    gated = written(gated, "gated")
-    before = {t: tables.read(t) for t in S.STAR}
-    candidates = S.star_frames(gated)
-    tables.publish(merge_star(before, candidates, rebuild))
+    candidates = S.star_frames(written(gated, "gated"))
+    if rebuild:
+        before = {t: tables.read(t).count() for t in S.STAR}
+        tables.publish(candidates)
+        added = {t: tables.read(t).count() - n for t, n in before.items()}
+    else:
+        added = add_to_star(tables, candidates)
     after = {t: tables.read(t) for t in S.STAR}
     now = F.current_timestamp().cast("timestamp_ntz")
     refreshed = tables.refresh_marts(
         {n: df.withColumn("refreshed_at", now) for n, df in mart_frames(after).items()}
     )
     assert refreshed == len(MARTS)
-    return transform_summary(candidates, before, after)
+    return transform_summary(candidates, added)
 
 
 def transform_summary(
-    candidates: dict[str, DataFrame],
-    before: dict[str, DataFrame] | None = None,
-    after: dict[str, DataFrame] | None = None,
+    candidates: dict[str, DataFrame], added: dict[str, int] | None = None
 ) -> DataFrame:
-    """One row per star table: candidate rows, and rows really added if both states are given."""
+    """One row per star table: candidate rows, and rows really added where they are known."""
     out = None
     for table in S.STAR:
         row = candidates[table].agg(
             F.lit(table).alias("table_name"), F.count(F.lit(1)).alias("candidates")
         )
-        if before is not None and after is not None:
-            old = before[table].agg(F.count(F.lit(1))).scalar()
-            new = after[table].agg(F.count(F.lit(1))).scalar()
-            row = row.withColumn("added", new - old)
+        if added is not None:
+            row = row.withColumn("added", F.lit(added[table]).cast("bigint"))
         out = row if out is None else out.unionByName(row)
     return out

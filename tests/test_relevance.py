@@ -210,7 +210,7 @@ def test_fewshot(spark):
     rows = [("p", t, "accept") for t in good] + [("p", t, "reject") for t in bad] + [("q", "x", "accept")]
     labels = spark.createDataFrame(rows, "profile_id string, title_norm string, label string")
     assert values(REL.trainable_profiles(labels)) == [("p", 4, 4)]
-    model = REL.FewShot.train(labels, 1 << 12)
+    model = REL.FewShot.train(labels)
     posts = spark.createDataFrame(
         [("1", "p", "data wizard"), ("2", "p", "cook"), ("3", "q", "cook"), ("4", None, "cook")],
         "id string, profile_id string, title string",

@@ -85,6 +85,17 @@ def test_end_to_end_and_idempotent(spark, tables):
     assert tables.load_mart("mart_jobs_by_country", "nobody").count() == 0
 
 
+def test_a_second_pass_leaves_old_files_untouched(spark, tables):
+    seed(spark, tables, [(str(k), "review") for k in (3, 4)])
+    TF.run_transform(spark, tables)
+    old = {t: set(tables.read(t).inputFiles()) for t in S.STAR}
+    assert tables.read("fact_job_offers").count() == 2
+    seed(spark, tables)
+    TF.run_transform(spark, tables)
+    assert counts(tables) == [2, 3, 8, 4, 12]
+    assert all(old[t] <= set(tables.read(t).inputFiles()) for t in S.STAR)
+
+
 def test_verdict_gate(spark, tables):
     seed(spark, tables, [("1", "accept"), ("2", "reject"), ("3", "review")])
     TF.run_transform(spark, tables)
