@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces remembered by a task before it starts afresh; a bound on memory, results do not depend on it.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 
 #: ASCII punctuation but the apostrophe (contractions) is always parted from a letter before it.
 _LETTER_THEN_MARK = r"(\p{L})([!-&(-/:-@\[-`{-~])"
@@ -69,7 +69,8 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch in text order, and the offsets of the texts in them; null reads as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # a copy of its own: lowering a slice of a larger array reads past the slice
+        texts = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
         parted = pc.replace_substring_regex(pc.ascii_lower(texts), _LETTER_THEN_MARK, r"\1 \2")
         exempt = pc.match_substring_regex(texts, _COMPOSED_CAPITAL)
         for name in self._special:

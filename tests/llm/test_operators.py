@@ -209,6 +209,31 @@ def test_encoder_equals_the_tokenizer():
         assert flat[offsets[k] : offsets[k + 1]].tolist() == ids_of(text), repr(text)
 
 
+def test_batches_may_be_slices_of_larger_ones():
+    import pyarrow as pa
+
+    from rolesift.llm import shingles
+    from rolesift.llm.common import slices
+    from rolesift.llm.tokens import Encoder
+
+    every = [words(k, 5 + 7 * k) + " É. x" for k in range(40)] + [None, ""]
+    coder = Encoder()
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.RecordBatch.from_arrays([pa.array(every, kind)], ["t"])
+        flat, offsets = coder.encode(whole.column(0))
+        forms = pa.RecordBatch.from_arrays([pa.array([shingles.words_of(t or "") for t in every], kind)], ["t"])
+        grams, at = shingles.shingle_hashes(forms.column(0))
+        got, got_grams = [], []
+        for part in slices(iter([whole]), 0, 700):
+            own, bounds = coder.encode(part.column(0))
+            got += [own[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for part in slices(iter([forms]), 0, 700):
+            own, bounds = shingles.shingle_hashes(part.column(0))
+            got_grams += [own[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        assert got_grams == [grams[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def test_token_files_round_trip(spark, docs, none, tmp_path):
     root = str(tmp_path / "tokens")
     write_token_files(docs, root)
