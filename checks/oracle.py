@@ -698,6 +698,17 @@ sql(
        group by all""",
     "matrix", "staging",
 )
+sql(
+    "load_counts_with_errors",
+    """select m.profile_id, m.keyword, m.location, m.site,
+              count(s.id) filter (m.site <> 'indeed') as rows_loaded,
+              case when m.site = 'indeed' then 'PATH_NOT_FOUND' end as error
+       from matrix m left join staging s on s.profile_id = m.profile_id
+            and s.search_keyword = m.keyword
+            and s.search_location is not distinct from m.location and s.site = m.site
+       group by all""",
+    "matrix", "staging",
+)
 sql(
     "transform_summary",
     """select 'dim_location' as table_name, count(*) as candidates from dim_location

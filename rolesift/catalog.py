@@ -39,6 +39,7 @@ from rolesift.schemas import PRIMARY_KEYS, align_table
 from rolesift.session import shared_folder, tune
 from rolesift.sources.postings import (
     drop_blank_url,
+    land_sites,
     raw_payload,
     read_postings,
     with_missing_columns,
@@ -545,6 +546,24 @@ def load_counts_by_site(v: Views) -> DataFrame:
     return L.load_counts(L.request_matrix(cleaned_profiles(v)), v.staging())
 
 
+@query
+def load_counts_with_errors(v: Views) -> DataFrame:
+    """One board's files are missing: its requests load nothing and say why, the others land."""
+    folder = shared_folder(v.spark, "boards")
+    sites = ("linkedin", "glassdoor", "indeed")
+    for site in sites[:2]:
+        write_postings(v.feed().filter(F.col("site") == site).select(read_schema_names()), f"{folder}/{site}")
+    sources = {site: (f"{folder}/{site}", "parquet") for site in sites}
+    landed, status = land_sites(v.spark, sources, shared_folder(v.spark, "landed-boards"))
+    keys = landed.select("site", "job_url").distinct()
+    loaded = v.staging().join(keys, ["site", "job_url"], "left_semi")
+    counts = L.load_counts(L.request_matrix(cleaned_profiles(v)), loaded, status)
+    return counts.select(
+        "profile_id", "keyword", "location", "site", "rows_loaded",
+        F.regexp_extract("error", r"\[(\w+)\]", 1).alias("error"),
+    )
+
+
 @query
 def enrichment_summary(v: Views) -> DataFrame:
     return CAS.enrichment_summary(_cascade(v).status)

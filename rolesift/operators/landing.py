@@ -31,19 +31,20 @@ def planned_workload(profiles: DataFrame) -> DataFrame:
     )
 
 
-def load_counts(requests: DataFrame, loaded: DataFrame) -> DataFrame:
+def load_counts(requests: DataFrame, loaded: DataFrame, status: DataFrame | None = None) -> DataFrame:
     """Rows loaded per request and site, zero where a site gave nothing.
 
-    Loaded rows are counted before the join, so a popular request stays one row.
+    ``status`` = (site, error), a row per site, adds the error of the site. Loaded rows are counted before the join, so a popular request stays one row.
     """
     keys = ["profile_id", "keyword", "location", "site"]
     counts = loaded.groupBy(
         "profile_id", F.col("search_keyword").alias("keyword"),
         F.col("search_location").alias("location"), "site",
     ).agg(F.count(F.lit(1)).alias("_n"))
-    return null_safe_join(requests, counts, keys, "left").select(
+    found = null_safe_join(requests, counts, keys, "left").select(
         *requests.columns, F.coalesce("_n", F.lit(0)).cast("bigint").alias("rows_loaded")
     )
+    return found if status is None else found.join(status, "site", "left")
 
 
 def land_and_judge(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,17 +21,42 @@ _CSV = {
 _RENAMED = {"location_raw": "location", "salary_raw": "salary_source"}
 
 
-def read_postings(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
+def read_postings(
+    spark: SparkSession, path: str | list[str], fmt: str = "parquet", multi_line: bool = True
+) -> DataFrame:
     """Read landed posting files; a column the files do not have comes out as NULL.
 
-    CSV columns are found by their header, and a field may span lines.
+    CSV columns are found by their header, and a field may span lines; a board whose fields
+    never do is read with ``multi_line=False``, which lets Spark split its files.
     """
     if fmt == "csv":
-        raw = spark.read.csv(path, multiLine=True, **_CSV)
+        raw = spark.read.csv(path, multiLine=multi_line, **_CSV)
         return align(raw, FEED_SCHEMA, lenient=True)
     return spark.read.schema(FEED_SCHEMA).format(fmt).load(path)
 
 
+def land_sites(
+    spark: SparkSession, sources: dict[str, tuple[str, str]], folder: str
+) -> tuple[DataFrame, DataFrame]:
+    """Copy the files of each site, (path, format), to a folder; returns the rows and a status row per site.
+
+    Each site is its own job: one that cannot be read leaves no row and its error text, and the
+    others land. The status has (site, error), error NULL where all went well.
+    """
+    status: list[tuple[str, str | None]] = []
+    landed = [spark.createDataFrame([], FEED_SCHEMA)]
+    for number, (site, (path, fmt)) in enumerate(sources.items()):
+        target = f"{folder}/site-{number}"
+        try:
+            read_postings(spark, path, fmt).write.parquet(target)
+        except Exception as problem:  # recorded, the landing goes on
+            status.append((site, f"{type(problem).__name__}: {str(problem).splitlines()[0]}"))
+        else:
+            status.append((site, None))
+            landed.append(spark.read.schema(FEED_SCHEMA).parquet(target))
+    return reduce(DataFrame.unionByName, landed), spark.createDataFrame(status, "site string, error string")
+
+
 def write_postings(feed: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Land feed rows as files of one of the formats ``read_postings`` reads."""
     writer = feed.write.format(fmt)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from rolesift.operators import landing as L
 from rolesift.operators.rules import judge_titles
 from rolesift.operators.upsert import new_rows
-from rolesift.schemas import FEED_SCHEMA
+from rolesift.schemas import FEED_SCHEMA, align
 from rolesift.sources.postings import (
+    land_sites,
     raw_payload,
     read_postings,
     to_staging,
@@ -120,3 +121,15 @@ def test_requests_and_zero_counts(spark):
     assert counts.agg(F.sum("rows_loaded")).first()[0] == 3
     assert counts.filter("rows_loaded = 0").count() == 8
     assert values(L.planned_workload(profiles)) == [("p", 4, 8), ("q", 1, 1)]
+
+
+def test_one_bad_source_does_not_end_the_landing(spark, tmp_path):
+    rows = spark.createDataFrame([("linkedin", "u1"), ("linkedin", "u2")], "site string, job_url string")
+    write_postings(align(rows, FEED_SCHEMA, lenient=True), f"{tmp_path}/good")
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("no parquet")
+    sources = {"linkedin": (f"{tmp_path}/good", "parquet"), "indeed": (f"{tmp_path}/none", "parquet"), "glassdoor": (f"{tmp_path}/bad", "parquet")}
+    landed, status = land_sites(spark, sources, f"{tmp_path}/landed")
+    assert values(landed, "job_url") == [("u1",), ("u2",)]
+    found = {r["site"]: r["error"] for r in status.collect()}
+    assert found["linkedin"] is None and "PATH_NOT_FOUND" in found["indeed"] and found["glassdoor"]
