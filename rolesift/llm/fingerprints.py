@@ -153,10 +153,13 @@ def near_links(docs: DataFrame, similarity: float = SIMILAR_AT, n_words: int = S
         banded.join(leaders, ["band", "hash"]).filter("doc_id <> leader_id").select("doc_id", "leader_id").distinct(),
         "fingerprint-pairs",
     )
+    # only the texts of candidates and leaders meet; the key lists are broadcast while they are small
+    leading = written(pairs.select("leader_id").distinct(), "fingerprint-leaders")
     forms = keyed.select("doc_id", "form")
+    theirs = forms.select(F.col("doc_id").alias("leader_id"), F.col("form").alias("theirs"))
     both = (
         forms.join(bounded_side(pairs, 16), "doc_id")
-        .join(forms.select(F.col("doc_id").alias("leader_id"), F.col("form").alias("theirs")), "leader_id")
+        .join(theirs.join(bounded_side(leading, 8), "leader_id"), "leader_id")
         .select("doc_id", "leader_id", "form", "theirs")
     )
     return both.mapInArrow(_verify(similarity, n_words), "doc_id long, leader_id long, jaccard double").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rolesift.llm.chat import format_windows, read_windows
 from rolesift.llm.common import documents, shared_folder, written
 from rolesift.llm.decontaminate import contained_items
-from rolesift.llm.fingerprints import edited_fingerprints
+from rolesift.llm.fingerprints import edited_fingerprints, near_links
 from rolesift.llm.language import held_out, identify, learn_profiles
 from rolesift.llm.licenses import scan_licenses
 from rolesift.llm.ngram_join import near_classes
@@ -50,6 +50,11 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
 
+def fingerprint_near_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 6: documents linked by the bands of their fingerprints, verified."""
+    return near_links(documents(spark, sf_dir))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: its class of near copies and its number of links."""
     return near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
@@ -83,6 +88,7 @@ QUERIES = {
     "op4_minimax_shards": op4_minimax_shards,
     "op5_license_scan": op5_license_scan,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "fingerprint_near_links": fingerprint_near_links,
     "op7_ngram_join": op7_ngram_join,
     "op9_chat_windows": op9_chat_windows,
     "op10_language_id": op10_language_id,
