@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rolesift.constants import TOP_SKILLS
 from rolesift.operators.dedup import top_per_key
 from rolesift.operators.joins import null_safe_join
+from rolesift.session import written
 
 
 def _blank(x: str) -> Column:
@@ -48,7 +49,11 @@ def work_mode_distribution(fact: DataFrame) -> DataFrame:
 
 
 def salary_by_keyword(fact: DataFrame, dim_salary: DataFrame) -> DataFrame:
-    """Exact quartiles of minimum and maximum amounts per profile, keyword, currency, period."""
+    """Exact quartiles of minimum and maximum amounts per profile, keyword, currency, period.
+
+    Facts are counted by salary first; these counts are written, as totals and quartiles read them
+    several times.
+    """
     groups = ["profile_id", "search_keyword", "currency", "period"]
     paid = dim_salary.filter("min_amount is not null or max_amount is not null")
     counted = (
@@ -59,6 +64,7 @@ def salary_by_keyword(fact: DataFrame, dim_salary: DataFrame) -> DataFrame:
             "min_amount", "max_amount", "_n",
         )
     )
+    counted = written(counted, "pay-counts")
     amounts = counted.select(
         *groups,
         F.inline(
