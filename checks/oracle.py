@@ -578,6 +578,15 @@ sql(
              and lower(trim(j.job_title)) = l.title_norm""",
     "judged", "labels_",
 )
+sql(
+    "label_write_back",
+    f"""select j.job_id,
+               case when {_CHANGED} then l.label else j.ensemble_verdict end as ensemble_verdict,
+               case when {_CHANGED} then '2030-01-01 00:00:00' else {ts("j.judged_at")} end as judged_at
+        from judged j left join labels_ l on j.profile_id = l.profile_id
+             and lower(trim(j.job_title)) = l.title_norm""",
+    "judged", "labels_",
+)
 sql(
     "label_match_count",
     """select j.profile_id, count(*) as matched_rows,

@@ -34,6 +34,7 @@ from rolesift.operators.dedup import first_per_key
 from rolesift.plans import cascade as CAS
 from rolesift.plans import full_run as FULL
 from rolesift.plans import transform as TF
+from rolesift.plans import write_back as WB
 from rolesift.plans.corrective import corrective_pass
 from rolesift.schemas import PRIMARY_KEYS, align_table
 from rolesift.session import shared_folder, tune
@@ -431,6 +432,16 @@ def apply_labels(v: Views) -> DataFrame:
     )
 
 
+@query
+def label_write_back(v: Views) -> DataFrame:
+    """Labels saved, verdicts overridden and read back from the published table."""
+    tables = Tables(v.spark, shared_folder(v.spark, "write-back"))
+    tables.publish({"judged_job_offers": v.judged()})
+    WB.save_labels(tables, v.labels(), now())
+    WB.apply_labels_to_judged(tables, now())
+    return tables.read("judged_job_offers").select("job_id", "ensemble_verdict", "judged_at")
+
+
 @query
 def label_match_count(v: Views) -> DataFrame:
     return TRI.label_match_count(v.judged(), v.labels())

@@ -8,6 +8,8 @@ from rolesift.operators import quality as Q
 from rolesift.operators import triage as TRI
 from rolesift.operators import upsert as U
 from rolesift.operators.joins import null_safe_join
+from rolesift.plans import write_back as WB
+from rolesift.sources.tables import Tables
 from tests.conftest import values
 
 def now():
@@ -126,3 +128,30 @@ def test_checks(spark):
     assert values(Q.orphans(df, parent, "v", "v", "r")) == [("r", 1, 1)]
     rules = {"k_missing": F.col("k").isNotNull(), "v_bad": F.col("v").isin("x")}
     assert values(Q.domain_violations(df, rules)) == [(1, 1)]
+
+
+def test_write_back_of_labels_and_profiles(spark, tmp_path):
+    now = F.lit("2030-01-01").cast("timestamp_ntz")
+    tables = Tables(spark, f"{tmp_path}/tables")
+    judged = spark.createDataFrame(
+        [("1", "p", "Cook", "accept"), ("2", "p", "Data Lead", "accept"), ("3", "q", "Cook", "accept")],
+        "job_id string, profile_id string, job_title string, ensemble_verdict string",
+    )
+    tables.publish({"judged_job_offers": judged})
+    labels = spark.createDataFrame(
+        [("p", "cook", "reject", None, 1), ("p", "data lead", "nonsense", None, 1)],
+        "profile_id string, title_norm string, label string, note string, count_seen int",
+    )
+    WB.save_labels(tables, labels, now)
+    assert WB.apply_labels_to_judged(tables, now) == 1 and WB.apply_labels_to_judged(tables, now) == 0
+    assert values(tables.read("judged_job_offers"), "job_id", "ensemble_verdict") == [
+        ("1", "reject"), ("2", "accept"), ("3", "accept")
+    ]
+    schema = "profile_id string, name string, description string, keywords array<string>, locations array<string>, sites array<string>"
+    rows = [("a", " A ", None, ["x", " "], None, ["indeed"]), (None, "B b", None, ["y"], None, None), ("c", "", None, ["z"], None, None)]
+    WB.save_profiles(tables, spark.createDataFrame(rows, schema), now)
+    assert values(tables.read("user_search_profiles"), "profile_id", "name") == [("a", "A"), ("b-b", "B b")]
+    WB.save_profiles(tables, spark.createDataFrame([("a", "New", None, ["x"], None, None)], schema), now)
+    assert values(tables.read("user_search_profiles"), "profile_id", "name") == [("a", "New"), ("b-b", "B b")]
+    WB.delete_profiles(tables, spark.createDataFrame([("a",)], "profile_id string"))
+    assert values(tables.read("user_search_profiles"), "profile_id") == [("b-b",)]
