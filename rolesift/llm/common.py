@@ -48,12 +48,17 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
 
-def bounded_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast when the counted size is below the limit; else Spark shuffles both sides.
+def bounded_side(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the measured size is below the limit; else Spark shuffles both sides.
 
-    The frame should be a written one: it is counted here and read again by the join.
+    ``row_bytes`` is the size of a row of fixed columns, or a column that tells it of each row.
+    The frame should be a written one: it is measured here and read again by the join.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    if isinstance(row_bytes, Column):
+        size = df.agg(F.sum(row_bytes)).first()[0] or 0
+    else:
+        size = df.count() * row_bytes
+    return F.broadcast(df) if size <= limit else df
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -68,6 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20)
             held += int(size)
         if batch.num_rows > start:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

@@ -156,11 +156,13 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise_at: float, re
         "pii-pairs",
     )
     values = found.select(F.explode("values").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
-    wanted = bounded_side(written(pairs.select("term").distinct(), "pii-terms"), 64)
+    wanted = pairs.select("term").distinct()
     words = F.array_distinct(F.array_remove(F.split(word_form(F.col("text")), " "), ""))
+    # counted before the join: a frequent term would meet it once a document
     terms = (
-        docs.select(F.explode(words).alias("term")).join(wanted, "term")
+        docs.select(F.explode(words).alias("term")).filter(F.length("term") >= LEAST_LETTERS)
         .groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+        .join(wanted, "term")  # not a semi join, which Spark would move below the count
     )
     share = lambda c: F.col(c) / F.lit(float(max(total, 1)))
     content = -F.log2(share("n_value"))
@@ -181,7 +183,7 @@ def _added_spans(found: DataFrame, told: DataFrame) -> DataFrame:
     span = F.struct(F.col("m.start").alias("start"), rank.alias("rank"), F.col("action").alias("kind"), F.col("m.end").alias("end"))
     hit = (
         once.select("text_key", F.explode("marks").alias("m")).withColumn("value", F.col("m.value")).withColumn("term", F.col("m.term"))
-        .join(bounded_side(told, 128), ["value", "term"])
+        .join(bounded_side(told, F.length("value") + F.length("term") + 64), ["value", "term"])
     )
     # near two values a term may be told on twice; the stronger action holds
     spans = hit.groupBy("text_key", "m.start").agg(F.max_by(span, rank).alias("span"))
@@ -202,7 +204,7 @@ def find_spans(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at:
     added = _added_spans(found, disclosing_terms(docs, found, generalise_at, remove_at))
     both = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>"))))
     text = F.transform(both, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
-    return found.join(bounded_side(added, 512), "text_key", "left").select(
+    return found.join(bounded_side(added, 96 + 48 * F.size("added")), "text_key", "left").select(
         "doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", F.array_join(text, ",").alias("spans")
     )
 
@@ -226,7 +228,7 @@ def sanitise(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: f
     added = _added_spans(found, disclosing_terms(docs, found, generalise_at, remove_at))
     names = docs.columns
     keyed = docs.select("text", F.struct(*names).alias("_row"), text_key(F.col("text")).alias("text_key"))
-    spanned = keyed.join(bounded_side(added, 512), "text_key", "left").select("_row", "text", "added")
+    spanned = keyed.join(bounded_side(added, 96 + 48 * F.size("added")), "text_key", "left").select("_row", "text", "added")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
