@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rolesift.llm.common import BROADCAST_BYTES, SHINGLE_WORDS, SIMILAR_AT, bounded_side, word_form, written
+from rolesift.llm.common import SHINGLE_WORDS, SIMILAR_AT, bounded_side, word_form, written
 
 RECALL = 0.999
 #: The smallest size class; a class holds the items of more than half as many shingles as it says.
@@ -108,12 +108,19 @@ def contained_items(
     item_rows = written(_signature_rows(item_minima, n, "item_key", "size_class"), "benchmark-signatures")
 
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_key"))
-    blocks = F.array(*(F.struct(F.lit(s).alias("size_class"), F.floor(F.col("at") / s).cast("int").alias("block")) for s in classes))
-    block_minima = (
+    least = classes[0] if classes else LEAST_CLASS
+    # hashed once, for the blocks of the least class; larger blocks are made of those
+    small_minima = (
         keyed.select("doc_key", "text").repartition("doc_key")
         .select("doc_key", F.posexplode(_hashed(F.col("text"), n_words)).alias("at", "gram"))
-        .select("doc_key", "gram", F.inline(blocks if classes else F.expr("array(named_struct('size_class', 0, 'block', 0))")))
-        .groupBy("doc_key", "size_class", "block").agg(*_minima(n))
+        .groupBy("doc_key", F.floor(F.col("at") / least).cast("int").alias("small")).agg(*_minima(n))
+    )
+    blocks = F.array(
+        *(F.struct(F.lit(s).alias("size_class"), F.floor(F.col("small") / (s // least)).cast("int").alias("block")) for s in classes or [least])
+    )
+    block_minima = (
+        small_minima.select("doc_key", F.inline(blocks), *(f"h{k}" for k in range(n)))
+        .groupBy("doc_key", "size_class", "block").agg(*(F.min(f"h{k}").alias(f"h{k}") for k in range(n)))
     )
     following = W.partitionBy("doc_key", "size_class").orderBy("block")
     windows = block_minima.select(
@@ -126,9 +133,10 @@ def contained_items(
         .select("doc_key", "item_key").distinct(),
         "benchmark-candidates",
     )
+    own = listed.select("item_key", "item_id", "item_shingles")
     verified = (
         keyed.join(bounded_side(candidates, 32), "doc_key")
-        .join(_bounded_items(listed), "item_key")
+        .join(bounded_side(own, F.length(F.concat_ws("", "item_shingles")) + 64), "item_key")
         .select(
             "doc_id", "item_id", F.size("item_shingles").alias("n_item"),
             F.size(F.array_intersect("item_shingles", _strings(F.col("text"), n_words))).alias("n_shared"),
@@ -137,12 +145,6 @@ def contained_items(
     return verified.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= containment - 1e-9)
 
 
-def _bounded_items(listed: DataFrame) -> DataFrame:
-    own = listed.select("item_key", "item_id", "item_shingles")
-    size = own.select(F.sum(F.length(F.concat_ws("", "item_shingles")) + 64)).first()[0] or 0
-    return F.broadcast(own) if size <= BROADCAST_BYTES else own
-
-
 def drop_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The documents that hold no benchmark item. Columns stay as they are."""
     slim = docs.select("doc_id", "text")

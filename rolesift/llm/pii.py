@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolesift.llm import shingles as S
 from rolesift.llm.common import bounded_side, slices, text_key, word_form, written
 
 # fixed values: the kinds and their patterns
@@ -31,9 +32,10 @@ _WORD = re.compile(r"[^\W_]+")
 #: Disclosure (0 to 1) from which a term is generalised, and from which it is removed.
 GENERALISE_AT = 0.5
 REMOVE_AT = 0.8
-#: A term counts as near within so many code points; a pair counts from so many different surroundings.
+#: A term counts as near within so many code points. A pair counts when so many families of documents have it
+#: and none of them more than half of its documents.
 NEAR = 80
-LEAST_SURROUNDINGS = 3
+LEAST_FAMILIES = 3
 LEAST_LETTERS = 3
 ADDED = ("generalise", "remove")
 _TAGS = {k: f"[{k.upper()}]" for k in KINDS} | {"generalise": "[TERM]", "remove": ""}
@@ -95,17 +97,22 @@ def _surroundings(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
             cut = (a == low and a > 0 and text[a - 1].isalnum()) or (b == high and b < len(text) and text[b].isalnum())
             if not cut and b - a >= LEAST_LETTERS and all(b <= s or a >= e for _, s, e in spans):
                 near.append((m.group().lower(), a, b))
-        around = zlib.crc32(" ".join(t for t, _, _ in near).encode("utf-8", "surrogatepass"))
         value = _value(kind, text[start:end])
-        marks.extend({"value": value, "term": t, "start": a, "end": b, "around": around} for t, a, b in near)
+        marks.extend({"value": value, "term": t, "start": a, "end": b} for t, a, b in near)
     return marks
 
 
+def _families(texts: list[str], wanted: list[bool]) -> list[int]:
+    """The least shingle hash of each wanted text: near copies mostly share it, other texts do not."""
+    flat, offsets = S.shingle_hashes(pa.array([S.words_of(t) if w else "" for t, w in zip(texts, wanted, strict=True)], pa.large_string()))
+    return S.signatures(flat, offsets, *S.permutations(1))[:, 0].astype(np.int64).tolist()
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in spans)
 
 
-_MARK = pa.struct([("value", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("around", pa.int64())])
+_MARK = pa.struct([("value", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 _BASE = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
 
 
@@ -121,14 +128,15 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column(0), batch.column(1), *counts, pa.array(digest), pa.array(base, pa.list_(_BASE)),
                 pa.array(marks, pa.list_(_MARK)), pa.array(values, pa.list_(pa.string())),
+                pa.array(_families(batch.column(2).to_pylist(), [bool(s) for s in spans]), pa.int64()),
             ],
-            ["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "marks", "values"],
+            ["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "marks", "values", "family"],
         )
 
 
 _FOUND = (
     "doc_id long, text_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-    f"base array<{_SPAN}>, marks array<struct<value: string, term: string, start: int, end: int, around: long>>, values array<string>"
+    f"base array<{_SPAN}>, marks array<struct<value: string, term: string, start: int, end: int>>, values array<string>, family long"
 )
 
 
@@ -144,15 +152,17 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise_at: float, re
 
     All frequencies count documents: p(v) of a value, p(t) of a term anywhere in a text, p(v, t) of a term near the
     value. disclosure = log2(p(v, t) / (p(v) p(t))) / -log2 p(v): 1 when the term is only seen with the value.
-    A pair has to be seen in several different surroundings, so copies of one text prove nothing.
+    A pair has to be seen in several families of documents (texts that share their least shingle hash), none of them
+    with more than half of its documents: copies and near copies of one text prove nothing.
     """
     total = found.count()
     near = found.filter(F.size("marks") > 0).select(
-        "text_key", F.monotonically_increasing_id().alias("row"), F.explode("marks").alias("m")
-    ).select("row", "m.value", "m.term", "m.around")
+        "family", F.monotonically_increasing_id().alias("row"), F.explode("marks").alias("m")
+    ).select("row", "family", "m.value", "m.term").distinct()
     pairs = written(
-        near.groupBy("value", "term").agg(F.countDistinct("row").alias("n_both"), F.countDistinct("around").alias("n_around"))
-        .filter(F.col("n_around") >= LEAST_SURROUNDINGS).select("value", "term", "n_both"),
+        near.groupBy("value", "term", "family").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("value", "term").agg(F.sum("n").alias("n_both"), F.max("n").alias("most"), F.count(F.lit(1)).alias("families"))
+        .filter((F.col("families") >= LEAST_FAMILIES) & (2 * F.col("most") <= F.col("n_both"))).select("value", "term", "n_both"),
         "pii-pairs",
     )
     values = found.select(F.explode("values").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
