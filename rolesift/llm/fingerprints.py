@@ -1,4 +1,4 @@
-"""MinHash fingerprints of documents: likeness of any two, and verified near copies by bands."""
+"""MinHash fingerprints of documents: likeness of any two, and verified links of near copies by bands."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.llm import shingles as S
-from rolesift.llm.common import SHINGLE_WORDS, SIMILAR_AT, bounded_side, slices, text_key, word_form, written
+from rolesift.llm.common import SHINGLE_WORDS, SIMILAR_AT, slices, text_key, word_form, written
+from rolesift.llm.ngram_join import DESCRIBED, describe, linked_rows
 
 #: Hash functions; each value is kept to 16 bits, so a fingerprint has 512 hex digits.
 HASHES = 128
@@ -102,64 +103,29 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def _banded(bands: int, rows: int, n_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            signature = signature_of(batch.column(2), n_words)
-            hashes = S.band_hashes(signature.astype(np.uint32), bands, rows)
-            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * bands
-            full = pa.compute.greater(pa.compute.binary_length(batch.column(2)), 0)
-            out = pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.reshape(-1)))],
-                ["doc_id", "text_key", "bands"],
-            )
-            yield out.filter(full)
-
-    return run
-
-
-def _verify(similarity: float, n_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 1 << 20):
-            sets = [S.sets_of(*S.shingle_hashes(batch.column(c), n_words)) for c in (2, 3)]
-            jaccard = []
-            for a, b in zip(*sets, strict=True):
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                jaccard.append(common / max(1, len(a) + len(b) - common))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(jaccard, pa.float64())], ["doc_id", "leader_id", "jaccard"])
-            yield out.filter(pa.compute.greater_equal(out.column(2), similarity - 1e-9))
+def near_links(docs: DataFrame, similarity: float = SIMILAR_AT, n_words: int = SHINGLE_WORDS, recall: float = RECALL) -> DataFrame:
+    """(doc_id, text) to doc_id, leader_id, jaccard, class_id, n_links: a row for each document that has a link.
 
-    return run
+    Two documents are linked when the Jaccard similarity of their full shingle sets reaches ``similarity``;
+    candidates are all pairs whose fingerprints share a band (found with probability ``recall`` at the threshold, more
+    above it). Equal sets collapse, the others of a bucket are compared with each other in bounded blocks as in
+    ``ngram_join``, so no link of a bucket is lost and a bucket gives a row a member, never its pairs.
 
+    ``n_links`` counts the linked documents; ``class_id`` is the least doc_id of the connected class; ``leader_id`` is the
+    least doc_id among the document and those linked to it, ``jaccard`` the similarity to that one.
 
-def near_links(docs: DataFrame, similarity: float = SIMILAR_AT, n_words: int = SHINGLE_WORDS, recall: float = RECALL) -> DataFrame:
-    """(doc_id, text) to doc_id, leader_id, jaccard: documents linked to the least doc_id of a band they share.
-
-    Fingerprints meet in Spark on the hashes of their bands; in each bucket every document is paired with the
-    bucket's least doc_id only, so buckets of any size give a row a member; pairs are verified on the full shingle sets.
-    Texts without words and rows without doc_id have no link. Repeated rows link to themselves only once.
+    Cases: texts without words and rows without doc_id have no link. Repeated rows are copies of each other, each
+    gives a row. No rows give no rows.
     """
     bands, rows = S.choose_bands(similarity, recall, HASHES)
-    keyed = docs.filter(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), word_form(F.col("text")).alias("form")
-    )
-    banded = written(
-        keyed.mapInArrow(_banded(bands, rows, n_words), "doc_id long, text_key string, bands array<long>")
-        .select("doc_id", F.posexplode("bands").alias("band", "hash")),
+    a, b = S.permutations(HASHES)
+    sign = lambda flat, offsets: S.signatures(flat, offsets, a, b).astype(np.uint16).astype(np.uint32)
+    known = docs.filter(F.col("doc_id").isNotNull())
+    described = written(
+        known.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), word_form(F.col("text")).alias("form"))
+        .mapInArrow(describe(n_words, bands, rows, sign), DESCRIBED)
+        .filter("n_grams > 0").withColumn("row_id", F.monotonically_increasing_id()),
         "fingerprint-bands",
     )
-    leaders = banded.groupBy("band", "hash").agg(F.min("doc_id").alias("leader_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = written(
-        banded.join(leaders, ["band", "hash"]).filter("doc_id <> leader_id").select("doc_id", "leader_id").distinct(),
-        "fingerprint-pairs",
-    )
-    # only the texts of candidates and leaders meet; the key lists are broadcast while they are small
-    leading = written(pairs.select("leader_id").distinct(), "fingerprint-leaders")
-    forms = keyed.select("doc_id", "form")
-    theirs = forms.select(F.col("doc_id").alias("leader_id"), F.col("form").alias("theirs"))
-    both = (
-        forms.join(bounded_side(pairs, 16), "doc_id")
-        .join(theirs.join(bounded_side(leading, 8), "leader_id"), "leader_id")
-        .select("doc_id", "leader_id", "form", "theirs")
-    )
-    return both.mapInArrow(_verify(similarity, n_words), "doc_id long, leader_id long, jaccard double").distinct()
+    linked = linked_rows(known, described, similarity, n_words, lead=True)
+    return linked.filter("n_links > 0").select("doc_id", "leader_id", "jaccard", "class_id", "n_links")

@@ -19,10 +19,11 @@ HASHES = 144
 #: A block holds about so many sets and so many n-grams; a unit compares two blocks.
 BLOCK_SETS = 512
 BLOCK_GRAMS = 1 << 20
+DESCRIBED = "doc_id long, text_key string, set_key string, n_grams long, bands array<long>"
 
 
-def _describe(n_words: int, bands: int, rows: int):
-    a, b = S.permutations(bands * rows)
+def describe(n_words: int, bands: int, rows: int, sign):
+    """The set, its key and its bands of each text; ``sign`` makes signatures of shingle hashes and offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -32,7 +33,7 @@ def _describe(n_words: int, bands: int, rows: int):
                 hashlib.md5(s.tobytes()).hexdigest() if len(s) else "text-" + k
                 for s, k in zip(sets, batch.column(1).to_pylist(), strict=True)
             ]
-            bands_of = S.band_hashes(S.signatures(flat, offsets, a, b), bands, rows)
+            bands_of = S.band_hashes(sign(flat, offsets), bands, rows)
             ends = np.arange(len(sets) + 1, dtype=np.int32) * bands
             yield pa.RecordBatch.from_arrays(
                 [
@@ -46,8 +47,11 @@ def _describe(n_words: int, bands: int, rows: int):
     return run
 
 
-def _linked(similarity: float, n_words: int):
-    """Links inside one unit: for each set its linked documents and the root it hangs on."""
+def _linked(similarity: float, n_words: int, lead: bool):
+    """Links inside one unit: for each set its linked documents and the root it hangs on.
+
+    With ``lead`` also the least doc_id among them, and how similar it is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in groups(batches, 4):
@@ -69,6 +73,15 @@ def _linked(similarity: float, n_words: int):
                 counts[right] += link.T @ copies[left]
             label = rep.copy()
             top = np.iinfo(np.int64).max
+            more: list[pa.Array] = []
+            if lead:
+                first = unit.column(8).to_numpy()
+                led, alike = np.full(len(sets), top), np.zeros(len(sets))
+                jaccard = common / np.maximum(union, 1)
+                for own, other, linked, share in ((left, right, link, jaccard), (right, left, link.T, jaccard.T)):
+                    ids = np.where(linked, first[other][None, :], top)
+                    at = ids.argmin(axis=1)
+                    led[own], alike[own] = ids[np.arange(len(own)), at], share[np.arange(len(own)), at]
             while True:
                 before = label.copy()
                 label[left] = np.minimum(label[left], np.where(link, label[right][None, :], top).min(axis=1))
@@ -76,8 +89,11 @@ def _linked(similarity: float, n_words: int):
                 if (before == label).all():
                     break
             use = counts > 0
+            if lead:
+                more = [pa.array(led[use]), pa.array(alike[use])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rep[use]), pa.array(counts[use]), pa.array(label[use])], ["rep", "links", "root"]
+                [pa.array(rep[use]), pa.array(counts[use]), pa.array(label[use]), *more],
+                ["rep", "links", "root", *("lead_id", "jaccard")[: len(more)]],
             )
 
     return run
@@ -107,12 +123,30 @@ def near_classes(
     least known doc_id, or null. Other columns are not looked at. No rows give no rows.
     """
     bands, rows = S.choose_bands(similarity, recall, hashes)
+    a, b = S.permutations(bands * rows)
     described = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), word_form(F.col("text")).alias("form"))
-        .mapInArrow(_describe(n_words, bands, rows), "doc_id long, text_key string, set_key string, n_grams long, bands array<long>")
+        .mapInArrow(describe(n_words, bands, rows, lambda flat, offsets: S.signatures(flat, offsets, a, b)), DESCRIBED)
         .withColumn("row_id", F.monotonically_increasing_id()),
         "ngram-sets",
     )
+    result = linked_rows(docs, described, similarity, n_words)
+    # nulls sort last, so a class with a known doc_id starts with its least one
+    first = result.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_id")).getField("row_id").alias("first_row")
+    )
+    return result.join(first, "component").select(
+        "doc_id", "text_key", "class_id", "n_links", (F.col("row_id") == F.col("first_row")).alias("is_first")
+    )
+
+
+def linked_rows(docs: DataFrame, described: DataFrame, similarity: float, n_words: int, lead: bool = False) -> DataFrame:
+    """Steps 2 and 3 of ``near_classes``: described texts to doc_id, text_key, row_id, component, class_id, n_links.
+
+    ``lead`` adds leader_id, the least doc_id among a row and the rows linked to it, and its jaccard; doc_ids
+    must be known then.
+    """
+    led_by = ["first_id"] if lead else []
     reps = written(
         described.groupBy("set_key")
         .agg(
@@ -142,7 +176,7 @@ def near_classes(
     homes = written(
         led.join(led.select(F.col("rep").alias("home"), F.col("home").alias("further")), "home")
         .select("rep", F.col("further").alias("home"))
-        .join(reps.select("rep", "copies", "n_grams", "text_key"), "rep"),
+        .join(reps.select("rep", "copies", "n_grams", "text_key", *led_by), "rep"),
         "ngram-homes",
     )
     sizes = written(
@@ -164,11 +198,11 @@ def near_classes(
     across = written(across.join(blocks_a, "home_a").join(blocks_b, "home_b"), "ngram-across")
 
     texts = docs.select(text_key(F.col("text")).alias("text_key"), word_form(F.col("text")).alias("form"))
-    wanted = homes.select("rep", "home", "copies", "text_key").join(sizes, "home")
+    wanted = homes.select("rep", "home", "copies", "text_key", *led_by).join(sizes, "home")
     wanted = bounded_side(written(wanted, "ngram-wanted"), 96)
     work = written(
         texts.join(wanted, "text_key").groupBy("rep")
-        .agg(*(F.first(c).alias(c) for c in ("home", "copies", "blocks", "form")))
+        .agg(*(F.first(c).alias(c) for c in ("home", "copies", "blocks", "form", *led_by)))
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")),
         "ngram-work",
     )
@@ -177,7 +211,7 @@ def near_classes(
         F.col("home").alias("home_a"), F.col("home").alias("home_b"),
         F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-        "rep", "copies", "form",
+        "rep", "copies", "form", *led_by,
     )
     parts = []
     for side, own, other in ((0, "a", "b"), (1, "b", "a")):
@@ -190,40 +224,39 @@ def near_classes(
                 (F.col("home") if side == 1 else F.col("home_b")).alias("home_b"),
                 (F.col("block") if side == 0 else F.col("other")).alias("block_a"),
                 (F.col("block") if side == 1 else F.col("other")).alias("block_b"),
-                F.lit(side).alias("side"), "rep", "copies", "form",
+                F.lit(side).alias("side"), "rep", "copies", "form", *led_by,
             )
         )
     unit = ["home_a", "home_b", "block_a", "block_b"]
     compared = inside.union(parts[0]).union(parts[1])
     found = written(
         compared.repartition(*unit).sortWithinPartitions(*unit)
-        .mapInArrow(_linked(similarity, n_words), "rep long, links long, root long"),
+        .mapInArrow(_linked(similarity, n_words, lead), "rep long, links long, root long" + ", lead_id long, jaccard double" * lead),
         "ngram-links",
     )
     linked = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    least = [F.min(F.struct("lead_id", "jaccard")).alias("least")] if lead else []
+    totals = found.groupBy("rep").agg(F.sum("links").alias("links"), *least)
+    itself = F.col("least").isNull() | (F.col("first_id") <= F.col("least.lead_id"))
+    leading = [
+        F.when(itself, F.col("first_id")).otherwise(F.col("least.lead_id")).alias("leader_id"),
+        F.when(itself, 1.0).otherwise(F.col("least.jaccard")).alias("jaccard"),
+    ] if lead else []
     known = written(
         reps.select("set_key", "rep", "first_id", "copies")
         .join(totals, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
         .select(
             "set_key", "first_id", F.coalesce("component", "rep").alias("component"),
-            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), *leading,
         ),
         "ngram-known",
     )
     names = known.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    result = written(
+    return written(
         described.select("doc_id", "text_key", "row_id", "set_key").join(known, "set_key").join(names, "component")
-        .select("doc_id", "text_key", "row_id", "component", "class_id", "n_links"),
+        .select("doc_id", "text_key", "row_id", "component", "class_id", "n_links", *(("leader_id", "jaccard") if lead else ())),
         "ngram-classes",
     )
-    # nulls sort last, so a class with a known doc_id starts with its least one
-    first = result.groupBy("component").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_id")).getField("row_id").alias("first_row")
-    )
-    return result.join(first, "component").select(
-        "doc_id", "text_key", "class_id", "n_links", (F.col("row_id") == F.col("first_row")).alias("is_first")
-    )
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:

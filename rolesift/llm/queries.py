@@ -51,7 +51,7 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint_near_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The other half of operator 6: documents linked by the bands of their fingerprints, verified."""
+    """The other half of operator 6: class and links of each document by the bands of its fingerprint, verified."""
     return near_links(documents(spark, sf_dir))
 
 

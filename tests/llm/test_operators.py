@@ -187,6 +187,36 @@ def test_near_links_are_verified(docs, none):
     assert near_links(none).isEmpty()
 
 
+def test_near_links_equal_brute_force(spark, docs):
+    def linked(rows):
+        got = near_links(prepare(spark).createDataFrame(rows, "doc_id long, text string")).collect()
+        own = [(i, t) for i, t in rows if i is not None and shingles(t)]
+        expected = [r for r in brute_classes(own) if r[2]]
+        assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == sorted(expected)
+        for r in got:
+            x, others = shingles(dict(own)[r["doc_id"]]), []
+            for i, t in own:
+                y = shingles(t)
+                if len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                    others.append((i, len(x & y) / len(x | y)))
+            assert (r["leader_id"], round(r["jaccard"], 9)) == min((i, round(j, 9)) for i, j in others)
+
+    linked(texts())
+    # documents of lower doc_id, below 0.8 to all others, come first in every bucket that two near copies share
+    rows = []
+    for k in range(10):
+        middle = words(300 + k, 150).split()
+        last = middle.copy()
+        last[75] = "last"
+        for v in range(12):
+            other = middle.copy()
+            for j in (10, 45, 80, 115):
+                other[j + 2 * v] = f"other{v}x{j}"
+            rows.append((20 * k + v, " ".join(other)))
+        rows += [(20 * k + 12, " ".join(middle)), (20 * k + 13, " ".join(last))]
+    linked(rows)
+
+
 def ids_of(text: str | None) -> list[int]:
     from tokenizers import Tokenizer
 
