@@ -21,6 +21,12 @@ SAMPLE = 2000
 LANGUAGES = 1000
 #: Texts whose best language scores less are rejected by the filter.
 LEAST_SCORE = 0.05
+#: Learned least scores: the quantile of the score of the true language, what share of it is asked for, and the
+#: lengths in letters and blanks at which labelled texts are cut and scored; fewer cut texts than that teach nothing.
+LEAST_QUANTILE = 0.001
+LEAST_SHARE = 0.75
+LENGTHS = tuple(1 << k for k in range(4, 13))
+LEAST_TEXTS = 20
 
 _CHAR_BITS = 21
 _SPACE = np.uint64(32)
@@ -71,26 +77,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def learn_profiles(labelled: DataFrame, sample: int = SAMPLE, profile: int = PROFILE) -> dict[str, list[int]]:
-    """(doc_id, text, lang) to the n-gram profile of each language, most frequent first.
-
-    Learned from a bounded sample: of each language about ``sample`` documents, those whose hashed
-    doc_id is least (all, when there are fewer). Rows without a label or text are left out.
-    The result has ``profile`` numbers a language and at most ``LANGUAGES`` languages; more raise.
-    """
+def _sampled(labelled: DataFrame, sample: int) -> DataFrame | None:
+    """lang and letter form of about ``sample`` documents a language; None without any labelled text."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} labels: not a language column")
     if not counts:
-        return {}
+        return None
     sizes = rows.sparkSession.createDataFrame(list(counts.items()), "lang string, lang_rows long")
     part = (F.xxhash64("doc_id").cast("double") / F.lit(2.0**64)) + 0.5
-    chosen = (
+    return (
         rows.select("doc_id", "text", "lang").join(F.broadcast(sizes), "lang")
         .filter(part * F.col("lang_rows") < sample)
         .select("lang", letter_form(F.col("text")).alias("form"))
     )
+
+
+def learn_profiles(labelled: DataFrame, sample: int = SAMPLE, profile: int = PROFILE) -> dict[str, list[int]]:
+    """(doc_id, text, lang) to the n-gram profile of each language, most frequent first.
+
+    Learned from a bounded sample: of each language about ``sample`` documents, those whose hashed
+    doc_id is least (all, when there are fewer). Rows without a label or text are left out.
+    The result has ``profile`` numbers a language and at most ``LANGUAGES`` languages; more raise.
+    """
+    chosen = _sampled(labelled, sample)
+    if chosen is None:
+        return {}
     grams = chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = grams.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= profile)
@@ -151,13 +164,48 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
     return form.mapInArrow(run, out)
 
 
+def learn_least(labelled: DataFrame, profiles: dict[str, list[int]], sample: int = SAMPLE) -> dict[int, float]:
+    """(doc_id, text, lang) to the least score to ask of a text of so many letters and blanks at least.
+
+    Labelled texts (a bounded sample, best one the profiles were not learned from) are cut at each of ``LENGTHS``
+    and scored; ``LEAST_SHARE`` of a low quantile of what texts score whose language is found. Lengths with too few texts
+    are left out; at most one number a length.
+    """
+    chosen = _sampled(labelled.filter(F.col("lang").isin(sorted(profiles))), sample)
+    if chosen is None:
+        return {}
+    cut = chosen.withColumn("size", F.explode(F.array(*(F.lit(n) for n in LENGTHS)))).filter(F.length("form") >= F.col("size"))
+    # a cut text ends with a blank, as a whole one does
+    text = F.concat(F.rtrim(F.expr("substring(form, 1, size - 1)")), F.lit(" "))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Profiles(profiles)
+        for batch in batches:
+            found = [model.predict(t) for t in batch.column(2).to_pylist()]
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for _, s in found], pa.float64())], ["size", "score"])
+            yield out.filter(pa.array([f[0] == lang for f, lang in zip(found, batch.column(1).to_pylist(), strict=True)], pa.bool_()))
+
+    scores = cut.select("size", "lang", text.alias("form")).mapInArrow(run, "size int, score double")
+    rows = scores.groupBy("size").agg(F.expr(f"percentile(score, {LEAST_QUANTILE}D)").alias("least"), F.count(F.lit(1)).alias("n")).collect()
+    return {r["size"]: LEAST_SHARE * r["least"] for r in rows if r["n"] >= LEAST_TEXTS}
+
+
 def held_out() -> Column:
     """Documents kept from learning: crc32 of the doc_id as text leaves 2 by 4. A null doc_id does not."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, profiles: dict[str, list[int]], least: float = LEAST_SCORE) -> DataFrame:
-    """The documents whose language is known with at least that score. Columns stay as they are."""
+def keep_identified(docs: DataFrame, profiles: dict[str, list[int]], least: float | dict[int, float] = LEAST_SCORE) -> DataFrame:
+    """The documents whose language is known with at least that score. Columns stay as they are.
+
+    ``least`` is one score, or those of ``learn_least``: a text is asked for the score of the longest length that it
+    reaches, or ``LEAST_SCORE`` when it reaches none.
+    """
     rows = docs.select("text", F.struct(*docs.columns).alias("_row"))
-    found = identify(rows, profiles)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
+    asked = F.lit(LEAST_SCORE if isinstance(least, dict) else least)
+    if isinstance(least, dict):
+        size = F.length(letter_form(F.col("text")))
+        for n in sorted(least):
+            asked = F.when(size >= n, F.lit(least[n])).otherwise(asked)
+    found = identify(rows.withColumn("_least", asked), profiles)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= F.col("_least"))).select("_row.*")

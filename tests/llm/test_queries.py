@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rolesift.llm.oracle import ORACLE
@@ -97,3 +99,24 @@ def test_stages_return_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).schema == docs.schema
         assert stage(spark, docs.limit(0), SMALL).isEmpty()
+
+
+def test_language_stage_rejects_other_languages_and_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = random.Random(6)
+    polish = (
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i "
+        "powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w "
+        "niniejszej deklaracji bez względu na różnice rasy, koloru, płci, języka, wyznania, poglądów politycznych i innych."
+    )
+    finnish = (
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja "
+        "heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa "
+        "esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun, väriin tai muuhun perustuvaa erotusta."
+    )
+    hexed = " ".join("".join(draw.choice("0123456789abcdef") for _ in range(4)) for _ in range(300))
+    letters = " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9))) for _ in range(100))
+    odd = spark.createDataFrame([(-1, polish), (-2, finnish), (-3, hexed), (-4, letters)], "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, docs.unionByName(odd, allowMissingColumns=True), SMALL)
+    clean = {r["doc_id"] for r in docs.filter(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == clean
