@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.llm import shingles as S
-from rolesift.llm.common import bounded_side, slices, text_key, word_form, written
+from rolesift.llm.common import SIMILAR_AT, bounded_side, slices, text_key, word_form, written
+from rolesift.llm.components import components
 
 # fixed values: the kinds and their patterns
 KINDS = ("email", "ip", "card", "phone")
@@ -32,10 +33,10 @@ _WORD = re.compile(r"[^\W_]+")
 #: Disclosure (0 to 1) from which a term is generalised, and from which it is removed.
 GENERALISE_AT = 0.5
 REMOVE_AT = 0.8
-#: A term counts as near within so many code points. A pair counts when so many families of documents have it
-#: and none of them more than half of its documents.
-NEAR = 80
+#: A pair counts when so many families of documents have it; near copies of one text are one family.
 LEAST_FAMILIES = 3
+FAMILY_RECALL = 0.999
+FAMILY_HASHES = 144
 LEAST_LETTERS = 3
 ADDED = ("generalise", "remove")
 _TAGS = {k: f"[{k.upper()}]" for k in KINDS} | {"generalise": "[TERM]", "remove": ""}
@@ -86,57 +87,60 @@ def _value(kind: str, raw: str) -> str:
     return f"{kind}:{raw.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', raw)}"
 
 
-def _surroundings(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """The terms near each span that lie outside all spans, with the value they are near."""
-    marks = []
-    for kind, start, end in spans:
-        low, high = max(0, start - NEAR), min(len(text), end + NEAR)
-        near = []
-        for m in _WORD.finditer(text, low, high):
-            a, b = m.span()
-            cut = (a == low and a > 0 and text[a - 1].isalnum()) or (b == high and b < len(text) and text[b].isalnum())
-            if not cut and b - a >= LEAST_LETTERS and all(b <= s or a >= e for _, s, e in spans):
-                near.append((m.group().lower(), a, b))
-        value = _value(kind, text[start:end])
-        marks.extend({"value": value, "term": t, "start": a, "end": b} for t, a, b in near)
-    return marks
+def _outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[list[str], int, int]]:
+    """The words of a text that lie outside all spans: their terms (mostly one) and place."""
+    ordered, k, covered = sorted((a, b) for _, a, b in spans), 0, 0
+    for m in _WORD.finditer(text):
+        start, end = m.span()
+        while k < len(ordered) and ordered[k][0] < end:
+            covered = max(covered, ordered[k][1])
+            k += 1
+        if covered <= start:
+            yield S.words_of(m.group()).split(), start, end
 
 
-def _families(texts: list[str], wanted: list[bool]) -> list[int]:
-    """The least shingle hash of each wanted text: near copies mostly share it, other texts do not."""
-    flat, offsets = S.shingle_hashes(pa.array([S.words_of(t) if w else "" for t, w in zip(texts, wanted, strict=True)], pa.large_string()))
-    return S.signatures(flat, offsets, *S.permutations(1))[:, 0].astype(np.int64).tolist()
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    return sorted({t for terms, _, _ in _outside(text, spans) for t in terms if len(t) >= LEAST_LETTERS})
+
+
+def _bands(texts: list[str]) -> list[list[int]]:
+    """MinHash bands: near copies share one, other texts do not."""
+    bands, rows = S.choose_bands(SIMILAR_AT, FAMILY_RECALL, FAMILY_HASHES)
+    flat, offsets = S.shingle_hashes(pa.array([S.words_of(t) for t in texts], pa.large_string()))
+    found = S.band_hashes(S.signatures(flat, offsets, *S.permutations(bands * rows)), bands, rows)
+    return S.mix(found.view(np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64).tolist()
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in spans)
 
 
-_MARK = pa.struct([("value", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 _BASE = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 2):
-        spans = [base_spans(t) for t in batch.column(2).to_pylist()]
-        marks = [_surroundings(t, s) if s else [] for t, s in zip(batch.column(2).to_pylist(), spans, strict=True)]
+        texts = batch.column(2).to_pylist()
+        spans = [base_spans(t) for t in texts]
+        full = [k for k, s in enumerate(spans) if s]
+        bands = dict(zip(full, _bands([texts[k] for k in full]), strict=True)) if full else {}
         counts = [pa.array([sum(k == kind for k, _, _ in s) for s in spans], pa.int64()) for kind in KINDS]
         base = [[{"start": a, "rank": KINDS.index(k), "kind": k, "end": b} for k, a, b in s] for s in spans]
         digest = [hashlib.sha256(joined(s).encode()).hexdigest() for s in spans]
-        values = [sorted({_value(k, t[a:b]) for k, a, b in s}) for s, t in zip(spans, batch.column(2).to_pylist(), strict=True)]
+        values = [sorted({_value(k, t[a:b]) for k, a, b in s}) for s, t in zip(spans, texts, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1), *counts, pa.array(digest), pa.array(base, pa.list_(_BASE)),
-                pa.array(marks, pa.list_(_MARK)), pa.array(values, pa.list_(pa.string())),
-                pa.array(_families(batch.column(2).to_pylist(), [bool(s) for s in spans]), pa.int64()),
+                pa.array([_terms(t, s) if s else [] for t, s in zip(texts, spans, strict=True)], pa.list_(pa.string())),
+                pa.array(values, pa.list_(pa.string())), pa.array([bands.get(k, []) for k in range(len(texts))], pa.list_(pa.int64())),
             ],
-            ["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "marks", "values", "family"],
+            ["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "terms", "values", "bands"],
         )
 
 
 _FOUND = (
     "doc_id long, text_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-    f"base array<{_SPAN}>, marks array<struct<value: string, term: string, start: int, end: int>>, values array<string>, family long"
+    f"base array<{_SPAN}>, terms array<string>, values array<string>, bands array<long>"
 )
 
 
@@ -150,21 +154,41 @@ def _search(docs: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, found: DataFrame, generalise_at: float, remove_at: float) -> DataFrame:
     """value, term, action, disclosure of the pairs above the threshold.
 
-    All frequencies count documents: p(v) of a value, p(t) of a term anywhere in a text, p(v, t) of a term near the
-    value. disclosure = log2(p(v, t) / (p(v) p(t))) / -log2 p(v): 1 when the term is only seen with the value.
-    A pair has to be seen in several families of documents (texts that share their least shingle hash), none of them
-    with more than half of its documents: copies and near copies of one text prove nothing.
+    All frequencies count documents: p(v) of a value, p(t) of a term, p(v, t) of both in one document, wherever they
+    stand. disclosure = log2(p(v, t) / (p(v) p(t))) / -log2 p(v): 1 when the term is only seen with the value.
+    A pair has to be seen in several families, each with one vote: copies and near copies of one text prove nothing,
+    and take nothing away from what other families prove.
     """
     total = found.count()
-    near = found.filter(F.size("marks") > 0).select(
-        "family", F.monotonically_increasing_id().alias("row"), F.explode("marks").alias("m")
-    ).select("row", "family", "m.value", "m.term").distinct()
+    known = written(found.filter(F.size("values") > 0).groupBy("text_key").agg(F.first("bands").alias("bands")), "pii-texts")
+    known = written(known.withColumn("node", F.monotonically_increasing_id()), "pii-nodes")
+    placed = known.select("node", F.explode("bands").alias("band"))
+    hubs = placed.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    links = written(placed.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pii-alike")
+    family = known.select("text_key", "node").join(components(links), "node", "left").select("text_key", F.coalesce("component", "node").alias("family"))
+    family = written(family, "pii-families")
+    grouped = (
+        found.filter(F.size("values") > 0).select("text_key", "values", "terms")
+        .join(bounded_side(family, 64), "text_key")
+    )
+    # values of too few families cannot have a pair of enough
+    judged = written(
+        grouped.select(F.explode("values").alias("value"), "family").groupBy("value", "family").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("value").agg(F.count(F.lit(1)).alias("families")).filter(F.col("families") >= LEAST_FAMILIES).select("value"),
+        "pii-judged",
+    )
+    near = (
+        grouped.select("family", "terms", F.explode("values").alias("value")).join(bounded_side(judged, F.length("value") + 32), "value")
+        .select("family", "value", F.explode("terms").alias("term"))
+    )
     pairs = written(
         near.groupBy("value", "term", "family").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("value", "term").agg(F.sum("n").alias("n_both"), F.max("n").alias("most"), F.count(F.lit(1)).alias("families"))
-        .filter((F.col("families") >= LEAST_FAMILIES) & (2 * F.col("most") <= F.col("n_both"))).select("value", "term", "n_both"),
+        .groupBy("value", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("families"))
+        .filter(F.col("families") >= LEAST_FAMILIES).select("value", "term", "n_both"),
         "pii-pairs",
     )
+    if pairs.isEmpty():
+        return pairs.select("value", "term", F.lit("").alias("action"), F.lit(0.0).alias("disclosure"))
     values = found.select(F.explode("values").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
     wanted = pairs.select("term").distinct()
     words = F.array_distinct(F.array_remove(F.split(word_form(F.col("text")), " "), ""))
@@ -186,32 +210,53 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise_at: float, re
     return written(told.select("value", "term", action.alias("action"), "disclosure"), "pii-disclosing")
 
 
-def _added_spans(found: DataFrame, told: DataFrame) -> DataFrame:
-    """text_key and the spans that the method adds to that text."""
-    once = found.filter(F.size("marks") > 0).groupBy("text_key").agg(F.first("marks").alias("marks"))
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 1):
+        added = []
+        for text, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            ranks = {h["term"]: h["rank"] for h in hits}
+            own = []
+            for terms, start, end in _outside(text, base_spans(text)):
+                rank = max((ranks[t] for t in terms if t in ranks), default=None)
+                if rank is not None:
+                    own.append({"start": start, "rank": rank, "kind": ADDED[rank - len(KINDS)], "end": end})
+            added.append(own)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(added, pa.list_(_BASE))], ["text_key", "added"])
+
+
+def _added_spans(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """text_key and the spans that the method adds to that text: every place of a term that is told on."""
+    schema = f"text_key string, added array<{_SPAN}>"
+    if told.isEmpty():
+        return docs.sparkSession.createDataFrame([], schema)
+    # a term may be told on with several values; the stronger action holds
     rank = F.lit(len(KINDS)) + (F.col("action") == ADDED[1]).cast("int")
-    span = F.struct(F.col("m.start").alias("start"), rank.alias("rank"), F.col("action").alias("kind"), F.col("m.end").alias("end"))
-    hit = (
-        once.select("text_key", F.explode("marks").alias("m")).withColumn("value", F.col("m.value")).withColumn("term", F.col("m.term"))
-        .join(bounded_side(told, F.length("value") + F.length("term") + 64), ["value", "term"])
+    terms = written(told.groupBy("term").agg(F.max(rank).alias("rank")), "pii-told")
+    words = F.array_distinct(F.array_remove(F.split(word_form(F.col("text")), " "), ""))
+    hits = written(
+        docs.select(text_key(F.col("text")).alias("text_key"), F.explode(words).alias("term"))
+        .join(bounded_side(terms, F.length("term") + 32), "term")
+        .groupBy("text_key").agg(F.collect_set(F.struct("term", "rank")).alias("hits")),
+        "pii-hits",
     )
-    # near two values a term may be told on twice; the stronger action holds
-    spans = hit.groupBy("text_key", "m.start").agg(F.max_by(span, rank).alias("span"))
-    return written(spans.groupBy("text_key").agg(F.collect_list("span").alias("added")), "pii-added")
+    texts = docs.filter(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("text_key"), "text")
+    placed = texts.join(bounded_side(hits, 64 + 32 * F.size("hits")), "text_key").select("text_key", "text", "hits").mapInArrow(_place, schema)
+    return written(placed.groupBy("text_key").agg(F.first("added").alias("added")), "pii-added")
 
 
 def find_spans(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """(doc_id, text) to a row a document: doc_id, text_key, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    Base spans follow the fixed patterns, leftmost and without overlap in each kind; the disclosing terms near them
-    are added as ``generalise`` and ``remove``. ``spans`` joins kind:start:end, by start, then kind.
+    Base spans follow the fixed patterns, leftmost and without overlap in each kind; the disclosing terms of the
+    corpus are added wherever they occur as ``generalise`` and ``remove``. ``spans`` joins kind:start:end, by start, then kind.
 
-    Plan: texts are read twice and never shuffled; only counts of pairs and terms are. Spans found are joined back
+    Plan: texts are read twice, and twice more when a term is told on; counts of pairs and terms are shuffled, texts only
+    when those to change are too many to broadcast their terms. Spans found are joined back
     by the key of the text. Cases: null reads as empty and has no span; equal texts have equal spans; a null doc_id is
     kept; repeated rows each give a row. No rows give no rows.
     """
     found = _search(docs)
-    added = _added_spans(found, disclosing_terms(docs, found, generalise_at, remove_at))
+    added = _added_spans(docs, disclosing_terms(docs, found, generalise_at, remove_at))
     both = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>"))))
     text = F.transform(both, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
     return found.join(bounded_side(added, 96 + 48 * F.size("added")), "text_key", "left").select(
@@ -235,7 +280,7 @@ def sanitise(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: f
     All columns stay; ``n_chars``, where there is one, follows the new text. Null texts stay null.
     """
     found = _search(docs)
-    added = _added_spans(found, disclosing_terms(docs, found, generalise_at, remove_at))
+    added = _added_spans(docs, disclosing_terms(docs, found, generalise_at, remove_at))
     names = docs.columns
     keyed = docs.select("text", F.struct(*names).alias("_row"), text_key(F.col("text")).alias("text_key"))
     spanned = keyed.join(bounded_side(added, 96 + 48 * F.size("added")), "text_key", "left").select("_row", "text", "added")

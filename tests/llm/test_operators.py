@@ -417,6 +417,22 @@ def test_disclosing_terms_are_found_and_clean_ones_left(spark):
     assert "wilhelmina" not in clean[301] and "[EMAIL]" in clean[301] and clean[7] == dict(rows)[7]
 
 
+def test_families_vote_once_and_terms_go_everywhere(spark):
+    rows = [(k, f"{words(500 + k, 30)} common words here") for k in range(200)]
+    for k in range(4):  # the name stands far from the address
+        rows.append((300 + k, f"wilhelmina common {words(700 + k, 60)} w.b@mail.example.com {words(800 + k, 10)}"))
+    rows += [(400 + k, rows[203][1]) for k in range(60)]  # one of them is copied often
+    rows.append((500, f"{words(950, 20)} Wilhelmina, without the address"))
+    frame = prepare(spark).createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.find_spans(frame).collect()}
+    assert all("remove:0:10" in spans[k] for k in (300, 301, 302, 303, 400, 459))
+    at = rows[-1][1].index("Wilhelmina")
+    assert f"remove:{at}:{at + 10}" in spans[500]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(frame).collect()}
+    assert not any("wilhelmina" in t.lower() for t in clean.values())
+    assert all("common words here" in clean[k] for k in range(200))
+
+
 def test_language_of_awkward_rows(spark, docs, none):
     draw = random.Random(5)
     rows = []
