@@ -14,6 +14,7 @@ from rolesift.llm.ngram_join import near_classes
 from rolesift.llm.oracle import ORACLE
 from rolesift.llm.packing import pack
 from rolesift.llm.pii import find_spans
+from rolesift.llm.prefix_trie import prefix_trie
 from rolesift.llm.sharding import shard_documents
 from rolesift.llm.token_files import read_token_files, write_token_files
 
@@ -81,6 +82,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(texts, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations after the shared beginnings are put in."""
+    return prefix_trie(documents(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_personal_data": op2_personal_data,
@@ -92,5 +98,6 @@ QUERIES = {
     "op7_ngram_join": op7_ngram_join,
     "op9_chat_windows": op9_chat_windows,
     "op10_language_id": op10_language_id,
+    "op13_prefix_trie": op13_prefix_trie,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
