@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rolesift.llm.alignment import align
 from rolesift.llm.chat import format_windows, read_windows
 from rolesift.llm.common import documents, shared_folder, written
 from rolesift.llm.decontaminate import contained_items
@@ -82,6 +83,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(texts, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the tokens of two tokenizers meet in every document, and how usual its links are in the corpus."""
+    return align(documents(spark, sf_dir))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of all conversations after the shared beginnings are put in."""
     return prefix_trie(documents(spark, sf_dir, "conversations"))
@@ -98,6 +104,7 @@ QUERIES = {
     "op7_ngram_join": op7_ngram_join,
     "op9_chat_windows": op9_chat_windows,
     "op10_language_id": op10_language_id,
+    "op11_token_alignment": op11_token_alignment,
     "op13_prefix_trie": op13_prefix_trie,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
