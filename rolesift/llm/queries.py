@@ -10,6 +10,7 @@ from rolesift.llm.common import documents, shared_folder, written
 from rolesift.llm.decontaminate import contained_items
 from rolesift.llm.fingerprints import edited_fingerprints, near_links
 from rolesift.llm.language import held_out, identify, learn_profiles
+from rolesift.llm.language_model import score_documents
 from rolesift.llm.licenses import scan_licenses
 from rolesift.llm.ngram_join import near_classes
 from rolesift.llm.oracle import ORACLE
@@ -88,6 +89,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(documents(spark, sf_dir))
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-likelihood of every document under counts and under the recurrent model, learned from the others."""
+    return score_documents(documents(spark, sf_dir))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of all conversations after the shared beginnings are put in."""
     return prefix_trie(documents(spark, sf_dir, "conversations"))
@@ -105,6 +111,7 @@ QUERIES = {
     "op9_chat_windows": op9_chat_windows,
     "op10_language_id": op10_language_id,
     "op11_token_alignment": op11_token_alignment,
+    "op12_language_model": op12_language_model,
     "op13_prefix_trie": op13_prefix_trie,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
