@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rolesift.llm.common import written
+from rolesift.llm.common import bounded_side, written
 
 #: Turns a storey; a bound on the width of the matrices and on what is gathered for a conversation at once.
 STOREY = 64
@@ -314,7 +314,8 @@ def storey_nodes(rows: DataFrame, width: int, shard_bytes: int = SHARD_BYTES) ->
         ((F.col("n_convs") - 1) * F.col("chars")).alias("saved"),
     ).groupBy("node").agg(F.sum("leaf").alias("leaf"), F.sum("saved").alias("saved"))
     columns = ("depth", "conv_id", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends", "root")
-    names = parts.select(F.col("node").alias("parent"), F.col("conv_id").alias("edge_conv"))
+    # a hot parent would gather its children in one task, and so would the nodes without a parent here
+    names = bounded_side(parts.select(F.col("node").alias("parent"), F.col("conv_id").alias("edge_conv")), 64)
     edges = (
         whole.join(own, "node").join(names, "parent", "left")
         .withColumns({
