@@ -2,15 +2,20 @@
 
 The tokenizer of ``word_bpe_49k.json`` drops white space and never joins across it, lowers case, and parts letters from
 punctuation. So the ids of a text are those of its pieces in order, pieces may be lowered first, and each
-distinct piece is encoded once by a worker. Two cases are exempt and stay as they are:
-texts with the name of a special token, and capitals under combining marks (they compose before they are lowered).
+distinct piece is encoded once by a worker. Three cases are exempt and stay as they are: texts with the name of a
+special token, capitals under combining marks (they compose before they are lowered), and letters whose normal form ends in a
+combining mark, which the tokenizer keeps with the punctuation behind it.
+
+Pieces of plain letters pass the normal form and the parting unchanged, so they go to the model itself.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +23,29 @@ import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces remembered by a task before it starts afresh; a bound on memory, results do not depend on it.
-REMEMBERED = 300_000
+REMEMBERED = 1 << 19
 
 #: ASCII punctuation but the apostrophe (contractions) is always parted from a letter before it.
 _LETTER_THEN_MARK = r"(\p{L})([!-&(-/:-@\[-`{-~])"
 _COMPOSED_CAPITAL = r"[A-Z]\p{M}"
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _letters_with_marks() -> str:
+    """The letters that the tokenizer's normal form, composed and lowered, turns into a letter and a mark, as a class."""
+    letters = map(chr, range(0x80, 0x30000))
+    found = (c for c in letters if unicodedata.category(c)[0] == "L" and unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0] == "M")
+    return f"[{''.join(found)}]"
+
+
+def _byte_letters() -> dict[int, str]:
+    """What a byte-level model is given for each two-byte letter of a plain piece.
+
+    Bytes that print stand for themselves, the others for the characters from 256 on, in order.
+    """
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in prints)}
+    return {c: "".join(hidden.get(b, chr(b)) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -41,8 +64,22 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         self._tokenizer = Tokenizer.from_file(path or vocabulary_path())
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._letters, self._marked = _byte_letters(), _letters_with_marks()
         self._forget()
 
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        model, letters, plain = self._tokenizer.model, self._letters, _PLAIN.fullmatch
+        out: list = [None] * len(pieces)
+        others = []
+        for k, piece in enumerate(pieces):
+            if plain(piece):
+                out[k] = [t.id for t in model.tokenize(piece if piece.isascii() else piece.translate(letters))]
+            else:
+                others.append(k)
+        for k, e in zip(others, self._tokenizer.encode_batch_fast([pieces[k] for k in others], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
     def _forget(self) -> None:
         self._at: dict[str, int] = {}
         self._flat = np.empty(1 << 16, dtype=np.uint16 if self._tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
@@ -53,7 +90,7 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 4096):
             part = pieces[at : at + 4096]
-            found = [e.ids for e in self._tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            found = self._ids(part)
             sizes = np.array([len(ids) for ids in found], dtype=np.int64)
             first, total = len(self._at), int(sizes.sum())
             while self._used + total > len(self._flat):
@@ -72,14 +109,14 @@ class Encoder:
         # a copy of its own: lowering a slice of a larger array reads past the slice
         texts = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
         parted = pc.replace_substring_regex(pc.ascii_lower(texts), _LETTER_THEN_MARK, r"\1 \2")
-        exempt = pc.match_substring_regex(texts, _COMPOSED_CAPITAL)
+        exempt = pc.or_(pc.match_substring_regex(texts, _COMPOSED_CAPITAL), pc.match_substring_regex(texts, self._marked))
         for name in self._special:
             exempt = pc.or_(exempt, pc.match_substring(texts, name, ignore_case=True))
         blank = pc.replace_substring(pc.if_else(exempt, texts, parted), "\n", " ")
         lists = pc.split_pattern(blank, " ")
         words = lists.flatten().dictionary_encode()
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self._at) + len(distinct) > REMEMBERED:
             self._forget()
         at = self._at

@@ -239,6 +239,30 @@ def test_encoder_equals_the_tokenizer():
         assert flat[offsets[k] : offsets[k + 1]].tolist() == ids_of(text), repr(text)
 
 
+def test_encoder_equals_the_tokenizer_on_letters_and_marks():
+    import unicodedata
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from rolesift.llm.tokens import Encoder
+
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    # one of many for ideographs and syllables, which have no case
+    letters = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L" and (c < 0x2E00 or 0xA000 <= c < 0xAC00 or 0xF900 <= c < 0x20000 or c % 97 == 0)]
+    texts = ["".join(f"{c}{m}" for m in marks) for c in letters] + ["Tİ, Aİ.", "ÇELİK-İŞ, BELEDİYESİ.", "aİ'S"]
+    draw = random.Random(11)
+    alphabet = [*"abcXYZ 019.,'-<|>\n\t", *"éÉßİıñΣσςЖ中か한\u0301\u0307\u0338\u0327\u200d\u00a0\u2028😀", "<|endoftext|>", "'s", "don't", "naïve", "L'été", "ﬁ", "K", "Å"]
+    texts += ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 24))) for _ in range(100_000)]
+    tokenizer, mine = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Encoder()
+    for at in range(0, len(texts), 2000):
+        part = texts[at : at + 2000]
+        flat, offsets = mine.encode(pa.array(part))
+        for k, e in enumerate(tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+            assert flat[offsets[k] : offsets[k + 1]].tolist() == e.ids, repr(part[k])
+
+
 def test_batches_may_be_slices_of_larger_ones():
     import pyarrow as pa
 
