@@ -13,15 +13,32 @@ from rolesift.functions.text import words
 
 # How pay and place of work are written in postings.
 CURRENCY_CODES = ("USD", "EUR", "GBP", "JPY", "CHF", "INR", "CAD", "AUD")
-CURRENCY_SIGNS = {"$": "USD", "€": "EUR", "£": "GBP"}
-PERIOD_WORDS = {"hour": "hourly", "month": "monthly", "year": "yearly"}
-_MARK = rf"((?:{'|'.join(CURRENCY_CODES)})\s?|[{''.join(CURRENCY_SIGNS)}]\s?)"
-_AMOUNT = r"(\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d{1,9}(?:\.\d{1,2})?)(k?)"
+CURRENCY_SIGNS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR"}
+PERIOD_WORDS = {
+    "hour": "hourly", "hr": "hourly", "h": "hourly", "hourly": "hourly",
+    "month": "monthly", "mo": "monthly", "monthly": "monthly",
+    "year": "yearly", "yr": "yearly", "annum": "yearly", "yearly": "yearly", "annually": "yearly", "p.a": "yearly", "pa": "yearly",
+}
+# Pay of other periods keeps its amounts; records know no word for the period.
+OTHER_PERIOD_WORDS = ("day", "daily", "week", "wk", "weekly")
+_BLANK = r"[ \u00a0\u2009\u202f]"
+# An amount: groups parted by commas (of two digits too), points, or blanks and apostrophes; else plain digits.
+_COMMAS = r"\d{1,3}(?:,\d{2,3})*,\d{3}(?:\.\d{1,2})?"
+_POINTS = r"\d{1,3}(?:\.\d{3})+(?:,\d{1,2})?"
+_BLANKS = r"\d{1,3}(?:[ \u00a0\u2009\u202f'’]\d{3})+(?:[.,]\d{1,2})?"
+_PLAIN = r"\d{1,9}(?:[.,]\d{1,2})?"
+_AMOUNT = rf"(?:{_COMMAS}|{_POINTS}|{_BLANKS}|{_PLAIN})(?!\d)"
+_MARK = rf"(?:(?:{'|'.join(CURRENCY_CODES)})(?![a-z])|[{''.join(CURRENCY_SIGNS)}])"
+_SIDE = rf"{_AMOUNT}(?:{_BLANK}?k)?(?![a-z0-9])"
+# the shortest forms need the word or stroke before them, "k" and "h" stand alone
+_UNIT = "hour|hr|h|day|week|wk|month|mo|year|yr|annum"
+_PERIOD = rf"\s?(?:(?:per|an?|/)\s?(?:{_UNIT})\b|(?:hourly|daily|weekly|monthly|yearly|annually)\b|p\.?a\b)"
 # A range, or a single amount that has a currency or two digits; never from inside a number or word.
 SALARY_PATTERN = (
-    r"(?i)(?<![\w.,])(?:"
-    rf"{_MARK}?{_AMOUNT}\s?(?:-|–|—|to)\s?{_MARK}?{_AMOUNT}|(?:{_MARK}|(?=\d[\d,.])){_AMOUNT}"
-    r")\s?(?:per|an?|/)\s?(hour|month|year)\b"
+    rf"(?i)(?<![\w.,])(?:{_MARK}\s?|(?<!\d{_BLANK}))(?:"
+    rf"{_SIDE}(?:\s?{_MARK})?\s?(?:-|–|—|to)\s?(?:{_MARK}\s?)?{_SIDE}(?:\s?{_MARK})?"
+    rf"|(?:(?<={_MARK})|(?<={_MARK}\s)|(?=\d[\d,.'’k]|\d{_BLANK}(?:\d{{3}}|k)|{_SIDE}\s?{_MARK})){_SIDE}(?:\s?{_MARK})?"
+    rf"){_PERIOD}"
 )
 COUNTRY_SHORT_NAMES = {
     "usa": "US", "us": "US", "uk": "GB", "uae": "AE", "hong kong": "HK", "czech republic": "CZ", "turkey": "TR",
@@ -46,37 +63,47 @@ def extract_work_mode(text: Column) -> Column:
     return mode
 
 
-def extract_salary(postings: DataFrame, text: str) -> DataFrame:
-    """Add amounts, currency and period of the first pay the text states.
-
-    A single amount is both ends of its range; ``50-70k`` means thousands on both sides.
-    The long text is searched once; the parts are read from the short match.
-    """
-    found = postings.withColumn(
-        "_pay", F.nullif(F.regexp_extract(text, SALARY_PATTERN, 0), F.lit(""))
+def _number(amount: Column) -> Column:
+    """The value of one written amount, whatever parts its groups."""
+    bare = F.regexp_replace(amount, r"[ \u00a0\u2009\u202f'’]", "")
+    return (
+        F.when(amount.rlike(f"^{_COMMAS}$"), F.regexp_replace(bare, ",", ""))
+        .when(amount.rlike(f"^{_POINTS}$"), F.replace(F.regexp_replace(bare, r"\.", ""), F.lit(","), F.lit(".")))
+        .otherwise(F.replace(bare, F.lit(","), F.lit(".")))
+        .try_cast("double")
     )
 
-    def part(group: int) -> Column:
-        return F.nullif(F.trim(F.regexp_extract("_pay", SALARY_PATTERN, group)), F.lit(""))
-
-    def amount(group: int) -> Column:
-        return F.regexp_replace(part(group), ",", "").try_cast("double")
 
-    def times(thousands: Column) -> Column:
-        return F.when(thousands, 1000.0).otherwise(1.0)
+def extract_salary(postings: DataFrame, text: str) -> DataFrame:
+    """Add amounts, currency and period of the first pay the text states.
 
-    low_k, high_k, one_k = (F.coalesce(F.lower(part(g)) == "k", F.lit(False)) for g in (3, 6, 9))
-    low_k = low_k | (high_k & (amount(2) < 1000) & (amount(2) <= amount(5)))
-    one = amount(8) * times(one_k)
-    mark = F.upper(F.coalesce(part(1), part(4), part(7)))
+    Amounts may be grouped by commas (also in the Indian way), points, blanks or apostrophes and end in ``k``; a currency
+    stands on either side; the period is named or an adverb. A single amount is both ends of its
+    range; ``50-70k`` means thousands on both sides. Pay by the day or week has no period word in a
+    record: its amounts stay, the period is null. The long text is searched once; the parts are
+    read from the short match.
+    """
+    found = postings.withColumn("_pay", F.nullif(F.regexp_extract(text, SALARY_PATTERN, 0), F.lit("")))
+    sides = found.withColumn("_sides", F.regexp_extract_all("_pay", F.lit(rf"(?i)({_AMOUNT}(?:{_BLANK}?k)?)(?![a-z0-9])"), F.lit(1)))
+
+    def side(index: int) -> tuple[Column, Column]:
+        written = F.try_element_at("_sides", F.lit(index))
+        thousands = F.lower(written).endswith("k")
+        return _number(F.regexp_replace(written, rf"(?i){_BLANK}?k$", "")), thousands
+
+    (low, low_k), (high, high_k) = side(1), side(2)
+    low_k = low_k | (F.coalesce(high_k, F.lit(False)) & (low < 1000) & (low <= high))
+    times = lambda amount, thousands: amount * F.when(thousands, 1000.0).otherwise(1.0)
+    mark = F.upper(F.nullif(F.regexp_extract("_pay", rf"(?i)({_MARK})", 1), F.lit("")))
+    unit = F.lower(F.regexp_extract("_pay", r"(?i)(p\.a|[a-z]+)$", 1))
     signs = F.create_map(*(F.lit(v) for v in chain.from_iterable(CURRENCY_SIGNS.items())))
     periods = F.create_map(*(F.lit(v) for v in chain.from_iterable(PERIOD_WORDS.items())))
-    return found.select(
+    return sides.select(
         *postings.columns,
-        F.coalesce(amount(2) * times(low_k), one).alias("salary_min"),
-        F.coalesce(amount(5) * times(high_k), one).alias("salary_max"),
+        times(low, low_k).alias("salary_min"),
+        F.coalesce(times(high, high_k), times(low, low_k)).alias("salary_max"),
         F.coalesce(F.try_element_at(signs, mark), mark).alias("salary_currency"),
-        F.try_element_at(periods, F.lower(part(10))).alias("salary_period"),
+        F.try_element_at(periods, unit).alias("salary_period"),
     )
 
 
@@ -121,21 +148,62 @@ def phrases(spelled: Column, max_words: int) -> Column:
     return F.array_distinct(F.array_compact(F.concat(*runs)))
 
 
+#: Slots of the first-word index for each first word, and at most (one byte a slot, part of the plan).
+INDEX_SPARSE = 16
+INDEX_SLOTS = 1 << 20
+
+
+def first_words(vocabulary: DataFrame) -> tuple[list[int], Callable[[Column, int], Column]]:
+    """The phrase lengths of a vocabulary, and a test whether a word may begin a phrase of a length.
+
+    The test looks up one byte of a table that travels with the plan: a slot is set for each (first word, length)
+    that occurs. Its size follows the vocabulary up to a bound; beyond that it lets more words
+    through, never fewer. The driver sees set slots and lengths, no phrases.
+    """
+    spelled = F.split("name", " ")
+    heads = vocabulary.filter("name is not null").select(F.element_at(spelled, 1).alias("head"), F.size(spelled).alias("n")).distinct()
+    known = heads.groupBy("n").agg(F.count(F.lit(1)).alias("heads")).collect()
+    wanted = INDEX_SPARSE * sum(r["heads"] for r in known)
+    slots = min(INDEX_SLOTS, 1 << max(10, wanted.bit_length()))
+
+    def slot(word: Column, n: Column) -> Column:
+        return F.pmod(F.xxhash64(word, n), F.lit(slots)).cast("int")
+
+    table = bytearray(slots)
+    for row in heads.select(slot(F.col("head"), F.col("n")).alias("slot")).distinct().collect():
+        table[row["slot"]] = 1
+    held, set_slot = F.lit(table), F.lit(bytearray(b"\x01"))
+
+    def may_begin(word: Column, n: int) -> Column:
+        return F.substring(held, slot(word, F.lit(n)) + 1, F.lit(1)) == set_slot
+
+    return sorted(r["n"] for r in known), may_begin
+
+
 def extract_skills(
     postings: DataFrame, key: str, text: str, vocabulary: DataFrame, max_words: int | None = None
 ) -> DataFrame:
     """(key, name, skill_type) for every vocabulary phrase a text contains.
 
-    Runs of as many words are tried as the longest phrase has, unless ``max_words`` says less.
-    Phrases are made distinct within their row before they are joined. Spark
-    broadcasts the vocabulary while it is below its size threshold; beyond it the
-    join is an exchange on the phrase, with skewed phrases split at run time.
+    Runs of words are built only where a word begins a phrase of that length (``first_words``), so what leaves a row
+    follows its hits, not the length of the longest phrase; ``max_words`` leaves longer phrases
+    out. Runs are made distinct within their row before they are joined. Spark broadcasts the
+    vocabulary while it is below its size threshold; beyond it the join is an exchange
+    on the phrase, with skewed phrases split at run time.
     """
-    if max_words is None:
-        longest = vocabulary.agg(F.max(F.size(F.split("name", " ")))).first()[0]
-        max_words = longest or 1
+    lengths, may_begin = first_words(vocabulary)
     spelled = postings.select(key, words(F.col(text)).alias("_w"))
-    found = spelled.select(key, F.explode(phrases(F.col("_w"), max_words)).alias("name"))
+
+    def runs(n: int) -> Column:
+        if n == 1:
+            return F.filter("_w", lambda w: may_begin(w, 1))
+        whole = lambda w, i: may_begin(w, n) & (i + n <= F.size("_w"))
+        return F.transform("_w", lambda w, i: F.when(whole(w, i), F.array_join(F.slice("_w", i + 1, n), " ")))
+
+    tried = [runs(n) for n in lengths if max_words is None or n <= max_words]
+    if not tried:
+        tried = [F.array().cast("array<string>")]
+    found = spelled.select(key, F.explode(F.array_distinct(F.array_compact(F.concat(*tried)))).alias("name"))
     return found.join(vocabulary.select("name", "skill_type").distinct(), "name").select(
         key, "name", "skill_type"
     )

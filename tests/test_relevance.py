@@ -110,6 +110,37 @@ def test_extraction_from_text(spark):
         ("meets 3 per month", None, None, None, None),
         ("room B12 per hour", None, None, None, None),
         ("ref 1.234567 per year", None, None, None, None),
+        ("$60 000 per year", 60000.0, 60000.0, "USD", "yearly"),
+        ("pay 1 000 000 per year", 1000000.0, 1000000.0, None, "yearly"),
+        ("120,000 EUR per year", 120000.0, 120000.0, "EUR", "yearly"),
+        ("50,000 € per month", 50000.0, 50000.0, "EUR", "monthly"),
+        ("$25/hr", 25.0, 25.0, "USD", "hourly"),
+        ("USD 120000-150000 annually", 120000.0, 150000.0, "USD", "yearly"),
+        ("€45.000 - €55.000 per year", 45000.0, 55000.0, "EUR", "yearly"),
+        ("₹12,00,000 per year", 1200000.0, 1200000.0, "INR", "yearly"),
+        ("₹12,00,000 - ₹15,50,000 p.a.", 1200000.0, 1550000.0, "INR", "yearly"),
+        ("$800 per week", 800.0, 800.0, "USD", None),
+        ("£350-£400 per day", 350.0, 400.0, "GBP", None),
+        ("40 000 to 50 000 per year", 40000.0, 50000.0, None, "yearly"),
+        ("60\u00a0000 CHF per year", 60000.0, 60000.0, "CHF", "yearly"),
+        ("CHF 90'000 - 110'000 per annum", 90000.0, 110000.0, "CHF", "yearly"),
+        ("1.234,50 € per month", 1234.5, 1234.5, "EUR", "monthly"),
+        ("€1.234.567 yearly", 1234567.0, 1234567.0, "EUR", "yearly"),
+        ("12,50 € an hour", 12.5, 12.5, "EUR", "hourly"),
+        ("$1,234.56 monthly", 1234.56, 1234.56, "USD", "monthly"),
+        ("80k USD a year", 80000.0, 80000.0, "USD", "yearly"),
+        ("80K-95K GBP per year", 80000.0, 95000.0, "GBP", "yearly"),
+        ("60 k - 70 k EUR per year", 60000.0, 70000.0, "EUR", "yearly"),
+        ("¥5,000,000 per year", 5000000.0, 5000000.0, "JPY", "yearly"),
+        ("in 2024 we pay $60 000 per year", 60000.0, 60000.0, "USD", "yearly"),
+        ("3 EUR an hour", 3.0, 3.0, "EUR", "hourly"),
+        ("$20 - 25 / h", 20.0, 25.0, "USD", "hourly"),
+        ("1500/mo", 1500.0, 1500.0, None, "monthly"),
+        ("weekly meetings, 30 days, $15 hourly", 15.0, 15.0, "USD", "hourly"),
+        ("EUROPE 12000 per year", 12000.0, 12000.0, None, "yearly"),
+        ("call 555 1234 per year", None, None, None, None),
+        ("12345678901 per year", None, None, None, None),
+        ("0.5k EUR per month", 500.0, 500.0, "EUR", "monthly"),
         ("", None, None, None, None),
     ],
 )
@@ -118,6 +149,23 @@ def test_pay_texts(spark, text, low, high, currency, period):
     assert tuple(row)[1:] == (low, high, currency, period)
 
 
+def test_only_hits_leave_their_row(spark):
+    long = " ".join(f"part{k}" for k in range(50))
+    vocabulary = spark.createDataFrame([(long, "tech"), ("gear", "soft"), ("fine gear", "domain"), (None, "soft")], "name string, skill_type string")
+    texts = [(k, " ".join(f"word{k}x{j}" for j in range(100)) + (" Fine gear!" if k % 10 == 0 else "") + (f" {long}" if k == 7 else "")) for k in range(300)]
+    found = E.extract_skills(spark.createDataFrame([*texts, (300, None), (301, "")], "id long, text string"), "id", "text", vocabulary)
+    expected = [(k, n, t) for k in range(0, 300, 10) for n, t in (("fine gear", "domain"), ("gear", "soft"))] + [(7, long, "tech")]
+    assert values(found) == sorted(expected, key=repr)
+    # the rows that meet the vocabulary: 100 words x 50 lengths x 300 texts without the index
+    lengths, may_begin = E.first_words(vocabulary)
+    assert lengths == [1, 2, 50]
+    every = spark.createDataFrame([(f"word{k}x{j}",) for k in range(30) for j in range(100)], "w string")
+    passed = every.select(sum(may_begin(F.col("w"), n).cast("int") for n in lengths).alias("n")).agg(F.sum("n")).first()[0]
+    assert passed < 0.02 * 3 * 3000
+    assert E.extract_skills(every.withColumn("id", F.lit(1)), "id", "w", vocabulary.limit(0)).isEmpty()
+    assert E.extract_skills(spark.createDataFrame(texts, "id long, text string"), "id", "text", vocabulary, max_words=1).select("name").distinct().count() == 1
+
+
 def test_phrases_of_any_length_and_whole_records(spark):
     vocabulary = spark.createDataFrame(
         [("machine learning engineer", "tech"), ("machine learning", "tech"), ("patient", "soft")], "name string, skill_type string"
