@@ -7,6 +7,8 @@ computes is written here a second time, in SQL alone.
 
 from __future__ import annotations
 
+import re
+
 from rolesift import constants as K
 from rolesift.sources import views as V
 
@@ -1399,6 +1401,79 @@ sql(
     "staging", "run_enriched", "run_fact", "run_skills",
 )
 
+# --- a run whose low keywords are searched again among the postings of one site -------------------
+CTES["c1_staging"] = (["staging"], "select * replace ('run-all' as run_id) from staging where site <> 'indeed'")
+
+
+def _judged_pass(step: str, pending: str) -> None:
+    """Views of one enrichment pass over ``pending``: survivors, scores, and new verdicts by id."""
+    CTES[f"{step}_survivors"] = (
+        [pending], f"select id, search_keyword, {_WHOLE_DOC} as doc from {pending} where rule_verdict <> 'reject' and sem >= 0.35",
+    )
+    _bm25(f"{step}_survivors", "id", step)
+    CTES[f"{step}_enriched"] = (
+        [f"{step}_bm25", "parsed"],
+        f"""select b.id, b.score, p.is_relevant from {step}_bm25 b join (select * from parsed where valid) p on p.job_id = b.id""",
+    )
+    CTES[f"{step}_verdicts"] = (
+        [pending, f"{step}_enriched"],
+        f"""select f.id as job_id, f.search_keyword, f.title as job_title, f.rule_verdict, e.is_relevant as llm_is_relevant,
+                  case when f.rule_verdict = 'reject' then 'reject' when f.sem < 0.35 then 'reject'
+                       when e.id is null then f.rule_verdict when e.score >= 0 and e.is_relevant then 'accept' else 'reject' end
+                       as ensemble_verdict,
+                  case when f.rule_verdict = 'reject' then null when f.sem < 0.35 or e.id is not null then f.sem end as biencoder_score,
+                  case when f.rule_verdict = 'reject' then null when f.sem < 0.35 then 0.0 else e.score end as crossencoder_score
+           from {pending} f left join {step}_enriched e on e.id = f.id""",
+    )
+
+
+def _renamed(view: str, **names: str) -> str:
+    body = CTES[view][1]
+    for old, new in names.items():
+        body = re.sub(rf"\b{old}\b", new, body)
+    return body
+
+
+CTES["c1_judged"] = (["c1_staging", "labels_"], _renamed("fresh_judged", staging="c1_staging"))
+_judged_pass("c1", "c1_judged")
+CTES["c1_in_run"] = (["c1_verdicts"], "select *, 'run-all' as run_id from c1_verdicts")
+CTES["c1_title_terms"] = (["c1_in_run"], _renamed("title_terms", in_run="c1_in_run"))
+CTES["c1_suggested"] = (["c1_title_terms", "c1_in_run"], _renamed("suggested", title_terms="c1_title_terms", in_run="c1_in_run"))
+CTES["c1_low"] = (
+    ["c1_in_run"],
+    """select search_keyword from c1_in_run where search_keyword is not null
+       group by search_keyword having count(*) filter (ensemble_verdict = 'accept')::double / count(*) < 0.30""",
+)
+# a title names an alternative when its words follow each other there
+CTES["c2_fetched"] = (
+    ["staging", "c1_staging", "c1_suggested", "c1_low"],
+    f"""select h.* exclude (search_keyword) replace ('run-all' as run_id), f.search_keyword
+        from staging h join (
+          select h.id, min(s.term) as search_keyword
+          from (select id, search_location, ' ' || array_to_string({words("title")}, ' ') || ' ' as named
+                from staging where site = 'indeed') h
+          join (select distinct term from c1_suggested where search_keyword in (select search_keyword from c1_low)) s
+               on contains(h.named, ' ' || s.term || ' ')
+          where h.search_location in (select search_location from c1_staging)
+          group by h.id) f on f.id = h.id
+        where h.id not in (select id from c1_staging)""",
+)
+CTES["c2_judged"] = (["c2_fetched", "labels_"], _renamed("fresh_judged", staging="c2_fetched"))
+# postings of the first pass without a record, or rejected by their semantic score, are scored again
+CTES["c2_pending"] = (
+    ["c1_judged", "c2_judged", "c1_enriched"],
+    "select * from c1_judged where id not in (select id from c1_enriched) union all by name select * from c2_judged",
+)
+_judged_pass("c2", "c2_pending")
+sql(
+    "full_run_corrected",
+    f"""select job_id, search_keyword, rule_verdict, llm_is_relevant, ensemble_verdict, {r6("biencoder_score")} as biencoder_score,
+               {r6("crossencoder_score")} as crossencoder_score
+        from (select * from c2_verdicts
+              union all by name select * from c1_verdicts where job_id in (select id from c1_enriched)) t""",
+    "c2_verdicts", "c1_verdicts",
+)
+
 # --- streams ----------------------------------------------------------------------------------
 sql(
     "stream_land_dedup",

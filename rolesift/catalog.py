@@ -1068,6 +1068,34 @@ def full_run(v: Views) -> DataFrame:
     return summary.select("table_name", F.col("added").alias("n")).unionByName(run)
 
 
+#: The site that the whole run with a corrective leg does not ask at first.
+HELD_BACK = "indeed"
+
+
+@query
+def full_run_corrected(v: Views) -> DataFrame:
+    """A whole run whose low keywords are searched again among the postings of a site held back: all verdicts.
+
+    A request finds the held-back postings of its location whose title names the alternative; one that several
+    alternatives find keeps the first. Everything belongs to one run.
+    """
+    tables = Tables(v.spark, shared_folder(v.spark, "full-run-corrected"))
+    tables.publish({"profile_title_labels": v.labels()})
+    staged = v.staging().withColumn("run_id", F.lit("run-all"))
+    held_back = staged.filter(F.col("site") == HELD_BACK)
+
+    def fetch(requests: DataFrame) -> DataFrame:
+        wanted = requests.select("alternative", "search_location").distinct()
+        named = held_back.select("id", "search_location", F.explode(E.phrases(X.words(F.col("title")), 2)).alias("alternative"))
+        found = named.join(wanted, ["alternative", "search_location"]).groupBy("id").agg(F.min("alternative").alias("search_keyword"))
+        return held_back.drop("search_keyword").join(found, "id")
+
+    FULL.full_run(v.spark, tables, "run-all", staged.filter(F.col("site") != HELD_BACK), _read_records(v), fetch=fetch)
+    return tables.read("judged_job_offers").select(
+        "job_id", "search_keyword", "rule_verdict", "llm_is_relevant", "ensemble_verdict", "biencoder_score", "crossencoder_score"
+    )
+
+
 @query
 def migrate_profiles(v: Views) -> DataFrame:
     """One legacy key/value store per customer segment, two of them without locations."""
