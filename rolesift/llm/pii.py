@@ -2,23 +2,24 @@
 
 A term discloses a protected value (an address, a number) as far as seeing it tells of the value:
 the pointwise mutual information of both over the corpus, as a share of the value's own
-information content. Terms above a threshold are generalised, above a higher one removed.
+information content. Terms above a threshold are generalised, above a higher one removed, if
+chance does not explain that both meet so often.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.llm import shingles as S
-from rolesift.llm.common import SIMILAR_AT, bounded_side, slices, text_key, word_form, written
-from rolesift.llm.components import components
+from rolesift.llm.common import bounded_side, slices, text_key, word_form, written
+from rolesift.llm.ngram_join import near_classes
 
 # fixed values: the kinds and their patterns
 KINDS = ("email", "ip", "card", "phone")
@@ -35,8 +36,8 @@ GENERALISE_AT = 0.5
 REMOVE_AT = 0.8
 #: A pair counts when so many families of documents have it; near copies of one text are one family.
 LEAST_FAMILIES = 3
-FAMILY_RECALL = 0.999
-FAMILY_HASHES = 144
+#: Over all pairs together, the probability that chance alone brings one pair together so often.
+BY_CHANCE = 0.01
 LEAST_LETTERS = 3
 ADDED = ("generalise", "remove")
 _TAGS = {k: f"[{k.upper()}]" for k in KINDS} | {"generalise": "[TERM]", "remove": ""}
@@ -103,14 +104,6 @@ def _terms(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
     return sorted({t for terms, _, _ in _outside(text, spans) for t in terms if len(t) >= LEAST_LETTERS})
 
 
-def _bands(texts: list[str]) -> list[list[int]]:
-    """MinHash bands: near copies share one, other texts do not."""
-    bands, rows = S.choose_bands(SIMILAR_AT, FAMILY_RECALL, FAMILY_HASHES)
-    flat, offsets = S.shingle_hashes(pa.array([S.words_of(t) for t in texts], pa.large_string()))
-    found = S.band_hashes(S.signatures(flat, offsets, *S.permutations(bands * rows)), bands, rows)
-    return S.mix(found.view(np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64).tolist()
-
-
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in spans)
 
@@ -122,8 +115,6 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 2):
         texts = batch.column(2).to_pylist()
         spans = [base_spans(t) for t in texts]
-        full = [k for k, s in enumerate(spans) if s]
-        bands = dict(zip(full, _bands([texts[k] for k in full]), strict=True)) if full else {}
         counts = [pa.array([sum(k == kind for k, _, _ in s) for s in spans], pa.int64()) for kind in KINDS]
         base = [[{"start": a, "rank": KINDS.index(k), "kind": k, "end": b} for k, a, b in s] for s in spans]
         digest = [hashlib.sha256(joined(s).encode()).hexdigest() for s in spans]
@@ -132,15 +123,15 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column(0), batch.column(1), *counts, pa.array(digest), pa.array(base, pa.list_(_BASE)),
                 pa.array([_terms(t, s) if s else [] for t, s in zip(texts, spans, strict=True)], pa.list_(pa.string())),
-                pa.array(values, pa.list_(pa.string())), pa.array([bands.get(k, []) for k in range(len(texts))], pa.list_(pa.int64())),
+                pa.array(values, pa.list_(pa.string())), pa.array([t if s else None for t, s in zip(texts, spans, strict=True)], pa.string()),
             ],
-            ["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "terms", "values", "bands"],
+            ["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "terms", "values", "text"],
         )
 
 
 _FOUND = (
     "doc_id long, text_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-    f"base array<{_SPAN}>, terms array<string>, values array<string>, bands array<long>"
+    f"base array<{_SPAN}>, terms array<string>, values array<string>, text string"
 )
 
 
@@ -148,64 +139,76 @@ def _search(docs: DataFrame) -> DataFrame:
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).alias("text")
     )
-    return written(texts.mapInArrow(_find, _FOUND), "pii-found")
+    return written(texts.mapInArrow(_find, _FOUND).withColumn("node", F.monotonically_increasing_id()), "pii-found")
+
+
+def _spelled(text: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(word_form(text), " "), ""))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, generalise_at: float, remove_at: float) -> DataFrame:
     """value, term, action, disclosure of the pairs above the threshold.
 
-    All frequencies count documents: p(v) of a value, p(t) of a term, p(v, t) of both in one document, wherever they
+    All frequencies count families: documents with a value that are linked near copies (``near_classes``, verified links)
+    are one family, every other document is its own. p(v) of a value, p(t) of a term, p(v, t) of both in one family, wherever they
     stand. disclosure = log2(p(v, t) / (p(v) p(t))) / -log2 p(v): 1 when the term is only seen with the value.
-    A pair has to be seen in several families, each with one vote: copies and near copies of one text prove nothing,
-    and take nothing away from what other families prove.
+
+    A pair has to be seen in ``LEAST_FAMILIES`` families, and in more of the value's families than chance gives: the
+    Chernoff bound of that, times the number of pairs, has to stay below ``BY_CHANCE``.
+
+    Both never meet oftener than the value occurs, so a term of more than ``n(v) ^ g * N ^ (1 - g)`` families cannot reach
+    the disclosure g: terms are counted once and such terms never meet values.
     """
     total = found.count()
-    known = written(found.filter(F.size("values") > 0).groupBy("text_key").agg(F.first("bands").alias("bands")), "pii-texts")
-    known = written(known.withColumn("node", F.monotonically_increasing_id()), "pii-nodes")
-    placed = known.select("node", F.explode("bands").alias("band"))
-    hubs = placed.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    links = written(placed.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pii-alike")
-    family = known.select("text_key", "node").join(components(links), "node", "left").select("text_key", F.coalesce("component", "node").alias("family"))
-    family = written(family, "pii-families")
-    grouped = (
-        found.filter(F.size("values") > 0).select("text_key", "values", "terms")
-        .join(bounded_side(family, 64), "text_key")
-    )
-    # values of too few families cannot have a pair of enough
+    valued = found.filter(F.size("values") > 0)
+    classes = near_classes(valued.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), F.col("class_id").alias("family"))
+    grouped = written(valued.select("node", "values", "terms").join(classes, "node"), "pii-families")
+    families = total - grouped.count() + grouped.select("family").distinct().count()
     judged = written(
-        grouped.select(F.explode("values").alias("value"), "family").groupBy("value", "family").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("value").agg(F.count(F.lit(1)).alias("families")).filter(F.col("families") >= LEAST_FAMILIES).select("value"),
+        grouped.select(F.explode("values").alias("value"), "family").distinct()
+        .groupBy("value").agg(F.count(F.lit(1)).alias("n_value")).filter(F.col("n_value") >= LEAST_FAMILIES),
         "pii-judged",
     )
+    most = judged.agg(F.max("n_value")).first()[0]
+    if most is None:
+        return judged.select("value", F.lit("").alias("term"), F.lit("").alias("action"), F.lit(0.0).alias("disclosure"))
+    bound = lambda n: F.pow(n, F.lit(generalise_at)) * F.lit(float(families) ** (1 - generalise_at)) + 1e-6
+    every = (
+        docs.select(F.explode(_spelled(F.col("text"))).alias("term")).filter(F.length("term") >= LEAST_LETTERS)
+        .groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    )
+    # documents of one family count once
+    again = (
+        grouped.select(F.explode("terms").alias("term"), "family").groupBy("term", "family").agg(F.count(F.lit(1)).alias("n"))
+        .filter("n > 1").groupBy("term").agg(F.sum(F.col("n") - 1).alias("again"))
+    )
+    terms = written(
+        every.join(again, "term", "left").select("term", (F.col("n") - F.coalesce("again", F.lit(0))).alias("n_term"))
+        .filter((F.col("n_term") >= LEAST_FAMILIES) & (F.col("n_term") <= bound(F.lit(float(most))))),
+        "pii-terms",
+    )
+    held = (
+        grouped.select("node", F.explode("values").alias("value")).join(bounded_side(judged, F.length("value") + 32), "value")
+        .groupBy("node").agg(F.collect_list(F.struct("value", "n_value")).alias("held"))
+    )
     near = (
-        grouped.select("family", "terms", F.explode("values").alias("value")).join(bounded_side(judged, F.length("value") + 32), "value")
-        .select("family", "value", F.explode("terms").alias("term"))
+        grouped.join(held, "node").select("family", "held", F.explode("terms").alias("term")).join(bounded_side(terms, F.length("term") + 32), "term")
+        .select("family", "term", "n_term", F.explode("held").alias("v")).select("family", "term", "n_term", "v.value", "v.n_value")
+        .filter(F.col("n_term") <= bound(F.col("n_value")))
     )
     pairs = written(
-        near.groupBy("value", "term", "family").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("value", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("families"))
-        .filter(F.col("families") >= LEAST_FAMILIES).select("value", "term", "n_both"),
+        near.distinct().groupBy("value", "term", "n_value", "n_term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= LEAST_FAMILIES),
         "pii-pairs",
     )
-    if pairs.isEmpty():
-        return pairs.select("value", "term", F.lit("").alias("action"), F.lit(0.0).alias("disclosure"))
-    values = found.select(F.explode("values").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
-    wanted = pairs.select("term").distinct()
-    words = F.array_distinct(F.array_remove(F.split(word_form(F.col("text")), " "), ""))
-    # counted before the join: a frequent term would meet it once a document
-    terms = (
-        docs.select(F.explode(words).alias("term")).filter(F.length("term") >= LEAST_LETTERS)
-        .groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-        .join(wanted, "term")  # not a semi join, which Spark would move below the count
-    )
-    share = lambda c: F.col(c) / F.lit(float(max(total, 1)))
+    tried = pairs.count()
+    share = lambda c: F.col(c) / F.lit(float(max(families, 1)))
     content = -F.log2(share("n_value"))
     mutual = F.log2(share("n_both") / (share("n_value") * share("n_term")))
-    told = (
-        pairs.join(values, "value").join(terms, "term")
-        .withColumn("disclosure", F.when(content > 0, F.least(mutual / content, F.lit(1.0))).otherwise(0.0))
-        .filter(F.col("disclosure") >= generalise_at)
-    )
+    disclosure = F.when(content > 0, F.least(mutual / content, F.lit(1.0))).otherwise(0.0)
+    seen, expected = F.col("n_both") / F.col("n_value"), share("n_term")
+    rest = F.when(seen < 1, (1 - seen) * F.log((1 - seen) / (1 - expected))).otherwise(0.0)
+    surprise = F.when(seen > expected, F.col("n_value") * (seen * F.log(seen / expected) + rest)).otherwise(0.0)
+    told = pairs.withColumn("disclosure", disclosure).filter((F.col("disclosure") >= generalise_at) & (surprise >= math.log(max(tried, 1) / BY_CHANCE)))
     action = F.when(F.col("disclosure") >= remove_at, F.lit(ADDED[1])).otherwise(F.lit(ADDED[0]))
     return written(told.select("value", "term", action.alias("action"), "disclosure"), "pii-disclosing")
 
@@ -232,9 +235,8 @@ def _added_spans(docs: DataFrame, told: DataFrame) -> DataFrame:
     # a term may be told on with several values; the stronger action holds
     rank = F.lit(len(KINDS)) + (F.col("action") == ADDED[1]).cast("int")
     terms = written(told.groupBy("term").agg(F.max(rank).alias("rank")), "pii-told")
-    words = F.array_distinct(F.array_remove(F.split(word_form(F.col("text")), " "), ""))
     hits = written(
-        docs.select(text_key(F.col("text")).alias("text_key"), F.explode(words).alias("term"))
+        docs.select(text_key(F.col("text")).alias("text_key"), F.explode(_spelled(F.col("text"))).alias("term"))
         .join(bounded_side(terms, F.length("term") + 32), "term")
         .groupBy("text_key").agg(F.collect_set(F.struct("term", "rank")).alias("hits")),
         "pii-hits",

@@ -457,6 +457,48 @@ def test_families_vote_once_and_terms_go_everywhere(spark):
     assert all("common words here" in clean[k] for k in range(200))
 
 
+def test_told_pairs_equal_a_plain_count(spark):
+    """Families, the ratio and the test against chance, counted one by one; words and addresses meet at random and by rule."""
+    draw = random.Random(21)
+    filler = words(31, 400).split()
+    rows = []
+    for k in range(240):
+        body = [draw.choice(filler) for _ in range(25)]
+        if k % 3 == 0:
+            who = draw.randrange(12)
+            body += [f"w{who}@mail.example.com", *([f"name{who}"] if draw.random() < 0.8 else []), f"other{who % 5}"]
+        rows.append((k, " ".join(body)))
+    rows += [(300 + k, rows[3][1]) for k in range(30)]
+    frame = prepare(spark).createDataFrame(rows, "doc_id long, text string").repartition(3)
+    told = {(r["value"], r["term"]): (r["action"], r["disclosure"]) for r in pii.disclosing_terms(frame, pii._search(frame), 0.5, 0.8).collect()}
+    families, own = {}, []  # equal texts are the only near copies here
+    for _, text in rows:
+        values = {f"email:{m}" for m in re.findall(r"w\d+@mail\.example\.com", text)}
+        if values and text in families:
+            continue
+        families[text] = True
+        every = set(re.sub(r"[\W_]+", " ", text).split())
+        outside = set(re.sub(r"\S+@\S+", " ", text).split()) if values else set()
+        own.append((values, {t for t in every if len(t) >= 3}, {t for t in outside if len(t) >= 3}))
+    total = len(own)
+    pairs = {}
+    for v in {v for values, _, _ in own for v in values}:
+        n_v = sum(v in values for values, _, _ in own)
+        for t in {t for values, _, outside in own if v in values for t in outside}:
+            n_t, both = sum(t in every for _, every, _ in own), sum(v in values and t in outside for values, _, outside in own)
+            if n_v >= 3 and both >= 3 and n_t <= n_v**0.5 * total**0.5 + 1e-6:
+                pairs[v, t] = n_v, n_t, both
+    expected = {}
+    for pair, (n_v, n_t, both) in pairs.items():
+        ratio = min(1.0, np.log2(both * total / n_v / n_t) / -np.log2(n_v / total))
+        a, p = both / n_v, n_t / total
+        surprise = n_v * (a * np.log(a / p) + ((1 - a) * np.log((1 - a) / (1 - p)) if a < 1 else 0)) if a > p else 0
+        if ratio >= 0.5 and surprise >= np.log(len(pairs) / pii.BY_CHANCE):
+            expected[pair] = ("remove" if ratio >= 0.8 else "generalise", ratio)
+    assert expected and set(told) == set(expected) and not any(t in filler for _, t in told)
+    assert all(told[k][0] == expected[k][0] and abs(told[k][1] - expected[k][1]) < 1e-9 for k in expected)
+
+
 def test_language_of_awkward_rows(spark, docs, none):
     draw = random.Random(5)
     rows = []
