@@ -13,7 +13,9 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,9 @@ LEAST_FAMILIES = 3
 BY_CHANCE = 0.01
 LEAST_LETTERS = 3
 ADDED = ("generalise", "remove")
+#: Told terms go to every task while they are measured below this; beyond it the texts are joined to their hits.
+TOLD_BYTES = 16 << 20
+_TERM_BYTES = 120
 _TAGS = {k: f"[{k.upper()}]" for k in KINDS} | {"generalise": "[TERM]", "remove": ""}
 _SPAN = "struct<start: int, rank: int, kind: string, end: int>"
 
@@ -213,20 +218,41 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise_at: float, re
     return written(told.select("value", "term", action.alias("action"), "disclosure"), "pii-disclosing")
 
 
+def _placed(text: str, ranks: dict[str, int]) -> list[dict]:
+    """The places of told terms in a text, outside its base spans."""
+    own = []
+    for terms, start, end in _outside(text, base_spans(text)):
+        rank = max((ranks[t] for t in terms if t in ranks), default=None)
+        if rank is not None:
+            own.append({"start": start, "rank": rank, "kind": ADDED[rank - len(KINDS)], "end": end})
+    return own
+
+
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1):
-        added = []
-        for text, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            ranks = {h["term"]: h["rank"] for h in hits}
-            own = []
-            for terms, start, end in _outside(text, base_spans(text)):
-                rank = max((ranks[t] for t in terms if t in ranks), default=None)
-                if rank is not None:
-                    own.append({"start": start, "rank": rank, "kind": ADDED[rank - len(KINDS)], "end": end})
-            added.append(own)
+        rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+        added = [_placed(text, {h["term"]: h["rank"] for h in hits}) for text, hits in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(added, pa.list_(_BASE))], ["text_key", "added"])
 
 
+def _place_all(told):
+    """The same for every text of a batch, with all told terms at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = told.value
+        known = pa.array(list(ranks), pa.large_string())
+        for batch in slices(batches, 1):
+            words = pc.split_pattern(batch.column(2), " ")
+            hit = pc.is_in(words.flatten(), value_set=known).to_numpy(zero_copy_only=False)
+            bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
+            hits = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(hit)))[bounds]))
+            part = batch.take(pa.array(hits))
+            added = [_placed(text, ranks) for text in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(added, pa.list_(_BASE))], ["text_key", "added"])
+
+    return run
+
+
 def _added_spans(docs: DataFrame, told: DataFrame) -> DataFrame:
     """text_key and the spans that the method adds to that text: every place of a term that is told on."""
     schema = f"text_key string, added array<{_SPAN}>"
@@ -235,13 +261,18 @@ def _added_spans(docs: DataFrame, told: DataFrame) -> DataFrame:
     # a term may be told on with several values; the stronger action holds
     rank = F.lit(len(KINDS)) + (F.col("action") == ADDED[1]).cast("int")
     terms = written(told.groupBy("term").agg(F.max(rank).alias("rank")), "pii-told")
+    texts = docs.filter(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("text_key"), "text")
+    if (terms.agg(F.sum(F.octet_length("term") + _TERM_BYTES)).first()[0] or 0) <= TOLD_BYTES:
+        # few terms go to the texts, and no text moves
+        held = docs.sparkSession.sparkContext.broadcast({r["term"]: r["rank"] for r in terms.collect()})
+        placed = texts.withColumn("form", F.concat(F.lit(" "), word_form(F.col("text")))).mapInArrow(_place_all(held), schema)
+        return written(placed.groupBy("text_key").agg(F.first("added").alias("added")), "pii-added")
     hits = written(
         docs.select(text_key(F.col("text")).alias("text_key"), F.explode(_spelled(F.col("text"))).alias("term"))
         .join(bounded_side(terms, F.length("term") + 32), "term")
         .groupBy("text_key").agg(F.collect_set(F.struct("term", "rank")).alias("hits")),
         "pii-hits",
     )
-    texts = docs.filter(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("text_key"), "text")
     placed = texts.join(bounded_side(hits, 64 + 32 * F.size("hits")), "text_key").select("text_key", "text", "hits").mapInArrow(_place, schema)
     return written(placed.groupBy("text_key").agg(F.first("added").alias("added")), "pii-added")
 
@@ -252,8 +283,8 @@ def find_spans(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at:
     Base spans follow the fixed patterns, leftmost and without overlap in each kind; the disclosing terms of the
     corpus are added wherever they occur as ``generalise`` and ``remove``. ``spans`` joins kind:start:end, by start, then kind.
 
-    Plan: texts are read twice, and twice more when a term is told on; counts of pairs and terms are shuffled, texts only
-    when those to change are too many to broadcast their terms. Spans found are joined back
+    Plan: texts are read twice, and once more when a term is told on; counts of pairs and terms are shuffled, texts only
+    when the terms told on are too many to send to every task. Spans found are joined back
     by the key of the text. Cases: null reads as empty and has no span; equal texts have equal spans; a null doc_id is
     kept; repeated rows each give a row. No rows give no rows.
     """

@@ -441,7 +441,9 @@ def test_disclosing_terms_are_found_and_clean_ones_left(spark):
     assert "wilhelmina" not in clean[301] and "[EMAIL]" in clean[301] and clean[7] == dict(rows)[7]
 
 
-def test_families_vote_once_and_terms_go_everywhere(spark):
+@pytest.mark.parametrize("told_bytes", [1 << 24, 0])
+def test_families_vote_once_and_terms_go_everywhere(spark, monkeypatch, told_bytes):
+    monkeypatch.setattr(pii, "TOLD_BYTES", told_bytes)
     rows = [(k, f"{words(500 + k, 30)} common words here") for k in range(200)]
     for k in range(4):  # the name stands far from the address
         rows.append((300 + k, f"wilhelmina common {words(700 + k, 60)} w.b@mail.example.com {words(800 + k, 10)}"))
