@@ -93,6 +93,11 @@ def _value(kind: str, raw: str) -> str:
     return f"{kind}:{raw.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', raw)}"
 
 
+def _own_terms(lowered: str) -> list[str]:
+    """Mostly the word itself; lowering may have put a mark into it."""
+    return [lowered] if lowered.isalnum() else S.words_of(lowered).split()
+
+
 def _outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[list[str], int, int]]:
     """The words of a text that lie outside all spans: their terms (mostly one) and place."""
     ordered, k, covered = sorted((a, b) for _, a, b in spans), 0, 0
@@ -102,7 +107,7 @@ def _outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[lis
             covered = max(covered, ordered[k][1])
             k += 1
         if covered <= start:
-            yield S.words_of(m.group()).split(), start, end
+            yield _own_terms(m.group().lower()), start, end
 
 
 def _terms(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
@@ -182,9 +187,10 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise_at: float, re
         docs.select(F.explode(_spelled(F.col("text"))).alias("term")).filter(F.length("term") >= LEAST_LETTERS)
         .groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     )
-    # documents of one family count once
+    # documents of one family count once; a family of one has nothing to take off
+    several = written(grouped.groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("family"), "pii-several")
     again = (
-        grouped.select(F.explode("terms").alias("term"), "family").groupBy("term", "family").agg(F.count(F.lit(1)).alias("n"))
+        grouped.join(bounded_side(several, 16), "family").select(F.explode("terms").alias("term"), "family").groupBy("term", "family").agg(F.count(F.lit(1)).alias("n"))
         .filter("n > 1").groupBy("term").agg(F.sum(F.col("n") - 1).alias("again"))
     )
     terms = written(
@@ -219,11 +225,22 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise_at: float, re
 
 
 def _placed(text: str, ranks: dict[str, int]) -> list[dict]:
-    """The places of told terms in a text, outside its base spans."""
-    own = []
-    for terms, start, end in _outside(text, base_spans(text)):
-        rank = max((ranks[t] for t in terms if t in ranks), default=None)
+    """The places of told terms in a text, outside its base spans, which are looked for only then."""
+    found = []
+    for m in _WORD.finditer(text):
+        lowered = m.group().lower()
+        rank = ranks.get(lowered)
+        if rank is None and not lowered.isalnum():
+            rank = max((ranks[t] for t in _own_terms(lowered) if t in ranks), default=None)
         if rank is not None:
+            found.append((*m.span(), rank))
+    own, k, covered = [], 0, 0
+    spans = sorted((a, b) for _, a, b in base_spans(text)) if found else []
+    for start, end, rank in found:
+        while k < len(spans) and spans[k][0] < end:
+            covered = max(covered, spans[k][1])
+            k += 1
+        if covered <= start:
             own.append({"start": start, "rank": rank, "kind": ADDED[rank - len(KINDS)], "end": end})
     return own
 
