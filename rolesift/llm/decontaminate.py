@@ -14,8 +14,10 @@ from pyspark.sql import Window as W
 from rolesift.llm.common import SHINGLE_WORDS, SIMILAR_AT, bounded_side, word_form, written
 
 RECALL = 0.999
-#: The smallest size class; a class holds the items of more than half as many shingles as it says.
+#: The smallest size class of the windows; a class holds the items of more than half as many shingles as it says.
 LEAST_CLASS = 8
+#: Items of at most so many shingles are looked up by single shingles, without windows.
+SMALL_ITEM = LEAST_CLASS // 2
 
 
 def _words(text: Column) -> Column:
@@ -63,6 +65,16 @@ def _signature_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(F.array(*(F.col(f"h{k}") for k in range(n)))).alias("fn", "value"))
 
 
+def _least_grams(containment: float) -> Column:
+    """The item's least hashed shingles, so many that a document without any of them lacks too much of the item.
+
+    To hold ``need`` of n shingles a document must hold one of any n - need + 1 of them.
+    """
+    n = F.size("grams")
+    need = F.greatest(F.ceil(F.lit(containment) * n - 1e-9).cast("int"), F.lit(1))
+    return F.slice(F.array_sort("grams"), F.lit(1), n - need + 1)
+
+
 def contained_items(
     docs: DataFrame, items: DataFrame, containment: float = SIMILAR_AT,
     n_words: int = SHINGLE_WORDS, recall: float = RECALL,
@@ -77,10 +89,13 @@ def contained_items(
     that class lies whole inside a window, and item and window never differ much in size, however long the
     document. Item and window are candidates when the minima of one of the hash functions agree; their
     number follows from the least Jaccard similarity a contained item can have with its window
-    (recall 0.999 in that worst case). Candidates are verified on the words themselves.
+    (recall 0.999 in that worst case). Items of at most four shingles differ too much from any such window; of them
+    the least hashes alone are the signature, as many as make every document that holds the item
+    show one (one at 0.8), and they meet the documents' shingles: nothing is missed. Candidates are verified on the words themselves.
 
     Plan: documents are shuffled once, by a row key; block minima and windows then need no further
-    exchange. Item signatures are broadcast when their counted size is below a bound, else both sides are shuffled.
+    exchange. Small items cost one more pass over the shingles, where there are any. Item signatures are broadcast when
+    their counted size is below a bound, else both sides are shuffled.
 
     Cases: null or wordless documents contain nothing; null or wordless items are in no document; an item of fewer than
     five words is one shingle, matched where a document consists of these words alone or has them as its only shingle. Repeated
@@ -100,9 +115,11 @@ def contained_items(
         ),
         "benchmark-items",
     )
-    classes = sorted(r[0] for r in listed.select("size_class").distinct().collect())  # powers of two: a few dozen at most
+    small_item = F.size("grams") <= SMALL_ITEM
+    sizes = listed.groupBy("size_class", small_item.alias("small")).count().collect()  # powers of two: a few dozen at most
+    classes = sorted({r["size_class"] for r in sizes if not r["small"]})
     item_minima = (
-        listed.select("item_key", "size_class", F.explode("grams").alias("gram"))
+        listed.filter(~small_item).select("item_key", "size_class", F.explode("grams").alias("gram"))
         .groupBy("item_key", "size_class").agg(*_minima(n))
     )
     item_rows = written(_signature_rows(item_minima, n, "item_key", "size_class"), "benchmark-signatures")
@@ -127,12 +144,21 @@ def contained_items(
         "doc_key", "size_class",
         *(F.least(f"h{k}", F.lead(f"h{k}").over(following)).alias(f"h{k}") for k in range(n)),
     )
-    candidates = written(
+    found = (
         _signature_rows(windows, n, "doc_key", "size_class")
         .join(bounded_side(item_rows, 40), ["size_class", "fn", "value"])
-        .select("doc_key", "item_key").distinct(),
-        "benchmark-candidates",
+        .select("doc_key", "item_key").distinct()
     )
+    if any(r["small"] for r in sizes):
+        signs = written(
+            listed.filter(small_item).select("item_key", F.explode(_least_grams(containment)).alias("gram")), "benchmark-small-items"
+        )
+        shown = (
+            keyed.select("doc_key", F.explode(_hashed(F.col("text"), n_words)).alias("gram"))
+            .join(bounded_side(signs, 24), "gram").select("doc_key", "item_key").distinct()
+        )
+        found = found.unionByName(shown) if classes else shown
+    candidates = written(found, "benchmark-candidates")
     own = listed.select("item_key", "item_id", "item_shingles")
     verified = (
         keyed.join(bounded_side(candidates, 32), "doc_key")

@@ -141,6 +141,29 @@ def test_contained_items_equal_brute_force(spark, docs, none):
     assert drop_contaminated(docs, frame.limit(0)).count() == docs.count()
 
 
+def test_small_items_are_all_found(spark):
+    """Items of five to twelve words inside long texts, next to each other and alone; other containments too."""
+    items = [(k, words(500 + k, 5 + k % 8)) for k in range(160)]
+    rows = [(k, f"{words(900 + k, 50)} {text} {words(1900 + k, 50)}") for k, text in items]
+    rows += [(200, items[0][1]), (201, None), (202, ""), (203, " ".join(text for _, text in items)), (204, items[3][1] + " extra")]
+    rows += [(205, " ".join(items[2][1].split()[:-1]))]  # two of three shingles
+    docs, asked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for containment in (0.8, 0.6):
+        expected = set()
+        for i, t in rows:
+            held = shingles(t)
+            for j, q in items:
+                own = shingles(q)
+                if len(own & held) >= containment * len(own) - 1e-9:
+                    expected.add((i, j))
+        small = {j for j, q in items if len(q.split()) <= 8}
+        got = {(r["doc_id"], r["item_id"]) for r in contained_items(docs, asked, containment).collect()}
+        assert {p for p in got if p[1] in small} == {p for p in expected if p[1] in small}
+        assert got <= expected and len(got) >= 0.99 * len(expected)
+    assert contained_items(docs, asked.filter("item_id = 0")).count() == 3
+    assert contained_items(docs.limit(0), asked).isEmpty()
+
+
 def test_decontamination_runs_no_python(spark, docs):
     frame = spark.createDataFrame([(1, words(9, 30))], "item_id long, text string")
     plan = contained_items(docs, frame)._jdf.queryExecution().toString()
