@@ -1258,6 +1258,7 @@ sql(
     "taught",
 )
 sql("fewshot_scores", "select id, round(score, 6) as fewshot_score from learned", "learned")
+sql("fewshot_stored_scores", "select id, round(score, 6) as fewshot_score from learned", "learned")
 sql(
     "relevance_cascade_learned",
     """select v.job_id, case when l.score < 0.5 then 'reject' else v.ensemble_verdict end as ensemble_verdict,
@@ -1325,6 +1326,29 @@ sql(
        left join (select distinct run_id, search_location from staging) l using (run_id)""",
     "report", "staging",
 )
+CTES["samples"] = (
+    ["in_run"],
+    """select run_id, search_keyword, ensemble_verdict, position, lower(job_title) as title from (
+         select *, row_number() over (partition by run_id, search_keyword, ensemble_verdict
+                order by judged_at desc, job_id) as position
+         from in_run where job_title is not null) t
+       where position <= 5""",
+)
+sql(
+    "corrective_requests_proposed",
+    """select run_id, search_keyword, title as alternative, l.search_location
+       from (select *, row_number() over (partition by run_id, search_keyword order by first_at) as place
+             from (select run_id, search_keyword, title, min(position) as first_at
+                   from samples s join (select run_id, search_keyword from report where triggered) r
+                        using (run_id, search_keyword)
+                   where ensemble_verdict = 'accept' and trim(title) <> '' and title <> lower(search_keyword)
+                     and not exists (select 1 from samples b where b.run_id = s.run_id
+                         and b.search_keyword = s.search_keyword and b.ensemble_verdict = 'reject' and b.title = s.title)
+                   group by all) t) p
+       left join (select distinct run_id, search_location from staging) l using (run_id)
+       where place <= 3""",
+    "report", "samples", "staging",
+)
 sql(
     "corrective_outcome",
     """select r.run_id, r.search_keyword, count(i.job_id) as new_rows_landed,

@@ -880,6 +880,18 @@ def fewshot_scores(v: Views) -> DataFrame:
     return found.select("id", F.round("fewshot_score", 6).alias("fewshot_score"))
 
 
+@query
+def fewshot_stored_scores(v: Views) -> DataFrame:
+    """Classifiers published by one writer, read and applied by another."""
+    folder = shared_folder(v.spark, "classifiers")
+    teacher = Tables(v.spark, folder)
+    teacher.publish({"profile_title_labels": v.labels()})
+    FULL.train_classifiers(teacher)
+    model = REL.FewShot.load(Tables(v.spark, folder))
+    found = REL.fewshot_scores(model, v.staging(), "id")
+    return found.select("id", F.round("fewshot_score", 6).alias("fewshot_score"))
+
+
 # --- extraction ------------------------------------------------------------------
 def _texts(v: Views) -> DataFrame:
     text = E.posting_text(
@@ -1049,6 +1061,17 @@ def corrective_outcome(v: Views) -> DataFrame:
     return C.corrective_outcome(_pass(v).report, in_run(v), ["run_id"])
 
 
+@query
+def corrective_requests_proposed(v: Views) -> DataFrame:
+    """Requests from a plugged-in model; its stand-in names the accepted titles that were not rejected too."""
+
+    def name_titles(keyword: str, accepted: list[str], rejected: list[str]) -> list[str]:
+        bad = {t.lower() for t in rejected}
+        return [t.lower() for t in accepted if t.lower() not in bad]
+
+    return corrective_pass(v.judged(), v.staging(), propose=lambda: name_titles).requests
+
+
 @query
 def full_run(v: Views) -> DataFrame:
     """Land everything, enrich from the stored records, transform; counts per table."""

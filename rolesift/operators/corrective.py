@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolesift.constants import (
     CORRECTIVE_MAX_ALTERNATIVES,
@@ -101,6 +103,59 @@ def suggest_keywords(
     return top_per_key(good, keys, order, max_alternatives, rank="position")
 
 
+def title_evidence(
+    in_run: DataFrame, rates: DataFrame, by: Sequence[str] = ("run_id",), n: int = CORRECTIVE_SAMPLE_TITLES
+) -> DataFrame:
+    """Each keyword below the rate with its newest accepted and rejected titles, ``n`` of each at most.
+
+    A keyword without a titled verdict keeps its row, with empty lists.
+    """
+    keys = [*by, "search_keyword"]
+    low = rates.filter(F.col("acceptance_rate") < CORRECTIVE_RATE).select(*keys)
+    titles = sample_titles(in_run.join(low, keys, "left_semi"), by, n)
+
+    def newest(verdict: str):
+        placed = F.when(F.col("ensemble_verdict") == verdict, F.struct("position", "job_title"))
+        return F.transform(F.array_sort(F.collect_list(placed)), lambda s: s["job_title"])
+
+    lists = titles.groupBy(*keys).agg(newest("accept").alias("accepted_titles"), newest("reject").alias("rejected_titles"))
+    none = F.array().cast("array<string>")
+    return low.join(lists, keys, "left").select(
+        *keys, *[F.coalesce(c, none).alias(c) for c in ("accepted_titles", "rejected_titles")]
+    )
+
+
+Proposer = Callable[[str, list[str], list[str]], "list[str] | None"]
+
+
+def run_proposer(
+    evidence: DataFrame,
+    make: Callable[[], Proposer],
+    by: Sequence[str] = ("run_id",),
+    max_alternatives: int = CORRECTIVE_MAX_ALTERNATIVES,
+) -> DataFrame:
+    """(keys, position, term): the alternatives of a plugged-in model, one call a keyword below the rate.
+
+    ``make`` loads the model once per Python worker task; it is given the keyword and its sampled titles.
+    Blank and repeated proposals and the keyword itself are dropped, the first ``max_alternatives``
+    of the rest count. A model that proposes nothing (None or an empty list) leaves the keyword without alternatives.
+    """
+    keys = [*by, "search_keyword"]
+    schema = T.StructType([*evidence.select(*keys).schema, T.StructField("_terms", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        propose = make()
+        for batch in batches:
+            rows = zip(batch["search_keyword"], batch["accepted_titles"], batch["rejected_titles"], strict=True)
+            terms = [[str(t) for t in propose(k, list(a), list(r)) or [] if t] for k, a, r in rows]
+            yield batch[keys].assign(_terms=pd.Series(terms, index=batch.index, dtype="object"))
+
+    plain = F.array_distinct(F.transform("_terms", lambda t: F.trim(t)))
+    usable = F.filter(plain, lambda t: (t != "") & (F.lower(t) != F.lower("search_keyword")))
+    listed = evidence.mapInPandas(run, schema).select(*keys, F.posexplode(F.slice(usable, 1, max_alternatives)).alias("_at", "term"))
+    return listed.select(*keys, (F.col("_at") + 1).alias("position"), "term")
+
+
 def corrective_report(rates: DataFrame, suggestions: DataFrame, by: Sequence[str]) -> DataFrame:
     """Every keyword with its rate, whether it falls short, and its alternatives if so."""
     keys = [*by, "search_keyword"]

@@ -13,6 +13,7 @@ from rolesift.functions.normalize import clamp01
 from rolesift.functions.text import overlap_cosine, tokenize, words
 from rolesift.operators.dedup import top_per_key
 from rolesift.session import written
+from rolesift.sources.tables import Tables
 
 BM25_K1, BM25_B = 1.2, 0.75
 # Share of a query's term weight a document has to reach for a neutral score of 0.
@@ -170,7 +171,17 @@ class FewShot:
         )
         weight = F.log((F.col("a") + 0.5) / (F.col("n_accept") + 1)) - F.log((F.col("r") + 0.5) / (F.col("n_reject") + 1))
         weights = seen.join(ready, "profile_id").select("profile_id", "word", weight.alias("weight"))
-        return cls(written(weights, "fewshot-weights"), ready.select("profile_id", "bias"))
+        return cls(written(weights, "fewshot-weights"), ready.select("profile_id", "n_accept", "n_reject", "bias"))
+
+    @classmethod
+    def load(cls, tables: Tables) -> FewShot | None:
+        """The published classifiers; None when none were published or no profile had enough labels."""
+        profiles = tables.read("fewshot_profiles")
+        return None if profiles.isEmpty() else cls(tables.read("fewshot_weights"), profiles)
+
+    def save(self, tables: Tables) -> None:
+        """Publish both tables together, so readers never see the weights of one training with the profiles of another."""
+        tables.publish({"fewshot_profiles": self.profiles, "fewshot_weights": self.weights})
 
     def predict(self, postings: DataFrame, key: str, title: str = "title") -> DataFrame:
         """(key, fewshot_score): P(relevant), and 1.0 for profiles without a model.
@@ -184,7 +195,7 @@ class FewShot:
         )
         odds = F.col("bias") + F.coalesce("_told", F.lit(0.0))
         score = F.when(F.col("bias").isNotNull(), 1 / (1 + F.exp(-odds))).otherwise(1.0)
-        rows = postings.select(key, "profile_id").join(self.profiles, "profile_id", "left").join(told, key, "left")
+        rows = postings.select(key, "profile_id").join(self.profiles.select("profile_id", "bias"), "profile_id", "left").join(told, key, "left")
         return rows.select(key, score.alias("fewshot_score"))
 
 

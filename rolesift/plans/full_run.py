@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolesift.operators.corrective import Proposer
 from rolesift.operators.relevance import FewShot, fewshot_scores
 from rolesift.operators.rules import verdict_rows
 from rolesift.operators.upsert import new_rows, replace_by_key
@@ -78,20 +79,36 @@ def land(tables: Tables, staged: DataFrame) -> int:
     return landed
 
 
+def train_classifiers(tables: Tables) -> FewShot | None:
+    """Train the title classifiers on the stored labels and publish them for later sessions.
+
+    Without a profile that has enough labels the published ones are replaced by none.
+    """
+    model = FewShot.train(tables.read("profile_title_labels"))
+    if model is None:
+        if FewShot.load(tables) is not None:
+            tables.publish({t: tables.read(t).limit(0) for t in ("fewshot_profiles", "fewshot_weights")})
+        return None
+    model.save(tables)
+    return FewShot.load(tables)
+
+
 def enrich(
     tables: Tables,
     extract: Callable[[DataFrame], DataFrame],
     run_id: str | None = None,
     limit: int | None = None,
     learn: bool = False,
+    recall: bool = False,
     **scorers,
 ) -> dict[str, int]:
     """Run the cascade over pending postings and write its verdicts and enriched rows.
 
-    ``learn`` trains the title classifiers on the stored labels first and lets them veto.
+    ``learn`` trains and publishes the title classifiers on the stored labels first and lets
+    them veto; ``recall`` lets the published ones veto, without training.
     """
-    if learn:
-        model = FewShot.train(tables.read("profile_title_labels"))
+    if learn or recall:
+        model = train_classifiers(tables) if learn else FewShot.load(tables)
         scorers["fewshot"] = lambda rows: fewshot_scores(model, rows, "id")
     staging, judged = tables.read("staging_job_offers"), tables.read("judged_job_offers")
     known = tables.read("int_enriched_job_info")
@@ -120,6 +137,7 @@ def full_run(
     profile_id: str | None = None,
     requests: DataFrame | None = None,
     fetch: Callable[[DataFrame], DataFrame | None] | None = None,
+    propose: Callable[[], Proposer] | None = None,
     limit: int | None = None,
     learn: bool = False,
     by: Sequence[str] = ("run_id",),
@@ -127,7 +145,7 @@ def full_run(
     """Run all steps over one batch of staged postings and return the transform summary.
 
     ``fetch`` turns corrective requests into further staged postings; there is at most
-    one corrective round. A failure closes the run as ``failed`` and is raised again.
+    one corrective round. ``propose`` makes the model that names alternatives, else counts do. A failure closes the run as ``failed`` and is raised again.
     """
     start_run(tables, run_id, profile_id, requests)
     scraped = enriched = 0
@@ -137,7 +155,7 @@ def full_run(
         if fetch is not None:
             found = corrective_pass(
                 tables.read("judged_job_offers"), tables.read("staging_job_offers"),
-                run_id=run_id, profile_id=profile_id, by=by,
+                run_id=run_id, profile_id=profile_id, propose=propose, by=by,
             )
             more = fetch(found.requests)
             if more is not None:

@@ -81,6 +81,8 @@ TABLES = {
         "profile_id string, title_norm string, label string, note string, count_seen int, "
         "created_at timestamp_ntz, updated_at timestamp_ntz"
     ),
+    "fewshot_profiles": "profile_id string, n_accept bigint, n_reject bigint, bias double",
+    "fewshot_weights": "profile_id string, word string, weight double",
 }
 
 PRIMARY_KEYS = {
@@ -100,6 +102,8 @@ PRIMARY_KEYS = {
     "user_search_config": ["key"],
     "user_search_profiles": ["profile_id"],
     "profile_title_labels": ["profile_id", "title_norm"],
+    "fewshot_profiles": ["profile_id"],
+    "fewshot_weights": ["profile_id", "word"],
 }
 
 MARTS = tuple(name for name in TABLES if name.startswith("mart_"))

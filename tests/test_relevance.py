@@ -12,6 +12,8 @@ from rolesift.operators import records as R
 from rolesift.operators import relevance as REL
 from rolesift.plans import cascade as CAS
 from rolesift.plans.corrective import corrective_pass
+from rolesift.plans.full_run import train_classifiers
+from rolesift.sources.tables import Tables
 from tests.conftest import values
 
 def now():
@@ -269,6 +271,26 @@ def test_fewshot(spark):
     assert values(REL.fewshot_scores(None, posts, "id"), "fewshot_score") == [(1.0,)] * 4
 
 
+def test_fewshot_outlives_its_session(spark, tmp_path):
+    good, bad = ["data engineer", "data lead", "data analyst", "data scientist"], ["cook", "chef cook", "sous cook", "line cook"]
+    rows = [("p", t, "accept") for t in good] + [("p", t, "reject") for t in bad] + [("q", "x", "accept")]
+    tables = Tables(spark, str(tmp_path))
+    assert REL.FewShot.load(tables) is None and train_classifiers(tables) is None
+    labels = spark.createDataFrame(rows, "profile_id string, title_norm string, label string")
+    tables.publish({"profile_title_labels": labels})
+    trained = train_classifiers(tables)
+    posts = spark.createDataFrame(
+        [("1", "p", "data wizard"), ("2", "p", "cook"), ("3", "q", "cook"), ("4", None, "cook"), ("5", "p", None)],
+        "id string, profile_id string, title string",
+    )
+    stored = REL.FewShot.load(Tables(spark, str(tmp_path)))  # another reader
+    assert values(stored.profiles, "profile_id", "n_accept", "n_reject") == [("p", 4, 4)]
+    assert values(stored.predict(posts, "id")) == values(trained.predict(posts, "id"))
+    assert values(stored.predict(posts, "id")) == values(REL.FewShot.train(labels).predict(posts, "id"))
+    tables.publish({"profile_title_labels": labels.limit(0)})
+    assert train_classifiers(tables) is None and REL.FewShot.load(Tables(spark, str(tmp_path))) is None
+
+
 def staging(spark):
     return spark.createDataFrame(
         [("1", "run", "p", "red widget", "Red Widget", "t"), ("2", "run", "p", "red widget", "cook", "t"),
@@ -343,3 +365,34 @@ def test_sample_titles_are_the_newest(spark):
         "HOUR", F.substring("job_id", 2, 1).cast("int"), F.col("judged_at")))
     sample = C.sample_titles(C.judged_in_run(frame, landed), n=2)
     assert values(sample, "position", "job_title") == [(1, "cook 8"), (2, "cook 7")]
+
+
+def test_proposed_alternatives(spark):
+    verdicts = [
+        ("1", "low", "Good One", "accept"), ("2", "low", "bad", "reject"), ("3", "low", "worse", "reject"), ("4", "low", "worst", "reject"),
+        ("5", "low", None, "reject"), ("6", "fine", "good", "accept"), ("7", "untitled", None, "reject"), ("8", None, "x", "reject"),
+    ]
+    judged = spark.createDataFrame(
+        [(i, "p", k, t, v) for i, k, t, v in verdicts],
+        "job_id string, profile_id string, search_keyword string, job_title string, ensemble_verdict string",
+    ).withColumn("judged_at", now())
+    landed = spark.createDataFrame(
+        [(i, "run", place) for (i, *_), place in zip(verdicts, "abababab", strict=True)] + [("9", "other", "far")],
+        "id string, run_id string, search_location string",
+    )
+
+    def make():
+        def propose(keyword, accepted, rejected):
+            if keyword == "untitled":
+                assert accepted == [] and rejected == []
+                return None
+            assert accepted == ["Good One"] and rejected == ["bad", "worse", "worst"]
+            return [" new ", "", None, "LOW", "new", "newer", "newest", "too many"]
+
+        return propose
+
+    for run in (None, "run"):
+        found = corrective_pass(judged, landed, run_id=run, propose=make)
+        assert {(r[0], r[1]) for r in values(found.report, "search_keyword", "triggered")} == {("low", True), ("fine", False), ("untitled", True)}
+        assert values(found.requests, "alternative", "search_location") == [(t, p) for t in ("new", "newer", "newest") for p in "ab"]
+    assert corrective_pass(judged.limit(0), landed, propose=make).requests.isEmpty()
