@@ -1018,7 +1018,7 @@ def run_transform(v: Views) -> DataFrame:
     tables = Tables(v.spark, shared_folder(v.spark, "transform"))
     for where in ("run_id <= 'run-1997'", "true"):
         _written_inputs(v, where, tables)
-        TF.run_transform(v.spark, tables)
+        TF.run_transform(v.spark, tables, only_new=True)
     return tables.read("fact_job_offers").select(
         "job_id", "profile_id", "search_keyword", "location_key", "salary_key", "work_mode"
     )

@@ -161,7 +161,7 @@ def full_run(
             if more is not None:
                 scraped += land(tables, more)
                 enriched += enrich(tables, extract, limit=limit, learn=learn)["succeeded"]
-        summary = run_transform(spark, tables)
+        summary = run_transform(spark, tables, only_new=True)
     except Exception as problem:
         finish_run(
             tables, run_id, "failed", scraped, enriched, f"{type(problem).__name__}: {problem}"

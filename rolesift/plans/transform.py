@@ -27,6 +27,9 @@ def mart_frames(star: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {m: make(*(star[t] for t in inputs)) for m, (make, inputs) in MART_INPUTS.items()}
 
 
+#: What the verdict gate joins.
+SOURCES = ("staging_job_offers", "int_enriched_job_info", "judged_job_offers")
+
 # The fact comes last: a posting without one is offered again in full by the next pass.
 WRITE_ORDER = ("dim_location", "dim_salary", "dim_skill", "job_skill_bridge", "fact_job_offers")
 
@@ -38,18 +41,32 @@ def add_to_star(tables: Tables, candidates: dict[str, DataFrame]) -> dict[str, i
     }
 
 
-def run_transform(spark: SparkSession, tables: Tables, rebuild: bool = False) -> DataFrame:
+def pending_sources(tables: Tables) -> list[DataFrame]:
+    """Staging, enriched and judged rows of the postings that have no fact yet.
+
+    Their ids come first, from two id columns, and are written: while they are few Spark broadcasts
+    them, and the three tables are scanned but not exchanged. A posting with a fact has all its star
+    rows, as the fact is written last.
+    """
+    facts = tables.read("fact_job_offers").select("job_id")
+    if facts.isEmpty():
+        return [tables.read(t) for t in SOURCES]
+    ids = written(new_rows(tables.read("int_enriched_job_info").select("job_id"), facts, ["job_id"]), "transform-ids")
+    key = {t: PRIMARY_KEYS[t][0] for t in SOURCES}
+    return [tables.read(t).join(ids.withColumnRenamed("job_id", key[t]), key[t], "left_semi") for t in SOURCES]
+
+
+def run_transform(spark: SparkSession, tables: Tables, rebuild: bool = False, only_new: bool = False) -> DataFrame:
     """Bring star and marts up to date with the written tables; returns a summary row.
 
     The three-way join of the verdict gate is written once and feeds all five star
     tables. Existing rows stay as they are and new keys are appended; ``rebuild`` starts
-    from nothing. Marts read the written star. An empty input still refreshes the marts.
+    from nothing. ``only_new`` leaves postings that have a fact out of the join: history is scanned
+    for ids but not exchanged, the candidates of the summary are those of new postings, and new skills of a
+    posting enriched anew wait for a pass without it. Marts read the written star. An empty input still refreshes the marts.
     """
-    gated = S.load_enriched(
-        tables.read("staging_job_offers"),
-        tables.read("int_enriched_job_info"),
-        tables.read("judged_job_offers"),
-    )
+    sources = pending_sources(tables) if only_new and not rebuild else [tables.read(t) for t in SOURCES]
+    gated = S.load_enriched(*sources)
     candidates = S.star_frames(written(gated, "gated"))
     if rebuild:
         before = {t: tables.read(t).count() for t in S.STAR}

@@ -96,6 +96,21 @@ def test_a_second_pass_leaves_old_files_untouched(spark, tables):
     assert all(old[t] <= set(tables.read(t).inputFiles()) for t in S.STAR)
 
 
+def test_only_new_postings_are_joined(spark, tables):
+    seed(spark, tables, [("1", "review"), ("3", "reject")])
+    first = {r["table_name"]: r for r in TF.run_transform(spark, tables, only_new=True).collect()}
+    assert first["fact_job_offers"]["candidates"] == first["fact_job_offers"]["added"] == 2
+    seed(spark, tables)
+    second = {r["table_name"]: r for r in TF.run_transform(spark, tables, only_new=True).collect()}
+    assert second["fact_job_offers"]["candidates"] == second["fact_job_offers"]["added"] == 2
+    assert counts(tables) == [2, 3, 8, 4, 12]
+    rows = {t: values(tables.read(t).drop("scraped_at")) for t in S.STAR}
+    third = TF.run_transform(spark, tables, only_new=True)
+    assert third.agg(F.sum("candidates"), F.sum("added")).first() == (0, 0)
+    TF.run_transform(spark, tables, rebuild=True)
+    assert {t: values(tables.read(t).drop("scraped_at")) for t in S.STAR} == rows
+
+
 def test_verdict_gate(spark, tables):
     seed(spark, tables, [("1", "accept"), ("2", "reject"), ("3", "review")])
     TF.run_transform(spark, tables)
