@@ -36,8 +36,11 @@ _WORD = re.compile(r"[^\W_]+")
 #: Disclosure (0 to 1) from which a term is generalised, and from which it is removed.
 GENERALISE_AT = 0.5
 REMOVE_AT = 0.8
-#: A pair counts when so many families of documents have it; near copies of one text are one family.
+#: A pair counts when so many families of documents have it; documents made from one text are one family.
 LEAST_FAMILIES = 3
+#: Documents with a value are made from one text from this Jaccard similarity on: with equal lengths, half of one is in the other.
+#: The test against chance needs independent witnesses, and two edited copies of one text are none, however far below 0.8 they are.
+ONE_TEXT_AT = 1 / 3
 #: Over all pairs together, the probability that chance alone brings one pair together so often.
 BY_CHANCE = 0.01
 LEAST_LETTERS = 3
@@ -159,7 +162,7 @@ def _spelled(text: Column) -> Column:
 def disclosing_terms(docs: DataFrame, found: DataFrame, generalise_at: float, remove_at: float) -> DataFrame:
     """value, term, action, disclosure of the pairs above the threshold.
 
-    All frequencies count families: documents with a value that are linked near copies (``near_classes``, verified links)
+    All frequencies count families: documents with a value that ``near_classes`` links at ``ONE_TEXT_AT`` (verified links)
     are one family, every other document is its own. p(v) of a value, p(t) of a term, p(v, t) of both in one family, wherever they
     stand. disclosure = log2(p(v, t) / (p(v) p(t))) / -log2 p(v): 1 when the term is only seen with the value.
 
@@ -171,7 +174,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise_at: float, re
     """
     total = found.count()
     valued = found.filter(F.size("values") > 0)
-    classes = near_classes(valued.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), F.col("class_id").alias("family"))
+    classes = near_classes(valued.select(F.col("node").alias("doc_id"), "text"), ONE_TEXT_AT).select(F.col("doc_id").alias("node"), F.col("class_id").alias("family"))
     grouped = written(valued.select("node", "values", "terms").join(classes, "node"), "pii-families")
     families = total - grouped.count() + grouped.select("family").distinct().count()
     judged = written(

@@ -482,6 +482,29 @@ def test_families_vote_once_and_terms_go_everywhere(spark, monkeypatch, told_byt
     assert all("common words here" in clean[k] for k in range(200))
 
 
+def test_edited_copies_are_one_witness(spark):
+    """Twelve copies of one text, each with every twelfth word changed, are below 0.8 to each other and still prove nothing."""
+    base = f"{words(41, 60)} edited@mail.example.com {words(42, 60)}".split()
+    rows = [(k, f"{words(2000 + k, 40)} common words here") for k in range(200)] + [(300, " ".join(base))]
+    for k in range(12):
+        own = [f"own{k}x{i}" if i % 12 == k and "@" not in w else w for i, w in enumerate(base)]
+        rows.append((301 + k, " ".join(own)))
+    for k in range(4):  # independent texts with one address tell on the name as before
+        rows.append((400 + k, f"{words(2400 + k, 40)} wilhelmina {words(2500 + k, 12)} w.b@mail.example.com"))
+    frame = prepare(spark).createDataFrame(rows, "doc_id long, text string")
+
+    def sets(text):
+        ws = re.sub(r"[\W_]+", " ", text).split()
+        return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+
+    own = [sets(t) for d, t in rows if 301 <= d < 313]
+    assert all(len(a & b) < 0.8 * len(a | b) for i, a in enumerate(own) for b in own[:i])
+    told = {r["term"] for r in pii.disclosing_terms(frame, pii._search(frame), 0.5, 0.8).collect()}
+    assert told == {"wilhelmina"}
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_spans(frame).collect()}
+    assert all(spans[300 + k].count(":") == 2 for k in range(13)) and all(not spans[k] for k in range(200))
+
+
 def test_told_pairs_equal_a_plain_count(spark):
     """Families, the ratio and the test against chance, counted one by one; words and addresses meet at random and by rule."""
     draw = random.Random(21)
