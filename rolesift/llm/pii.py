@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.llm import shingles as S
-from rolesift.llm.common import bounded_side, slices, text_key, word_form, written
+from rolesift.llm.common import BROADCAST_BYTES, bounded_side, slices, text_key, word_form, written
 from rolesift.llm.ngram_join import near_classes
 
 # fixed values: the kinds and their patterns
@@ -170,7 +170,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise_at: float, re
     Chernoff bound of that, times the number of pairs, has to stay below ``BY_CHANCE``.
 
     Both never meet oftener than the value occurs, so a term of more than ``n(v) ^ g * N ^ (1 - g)`` families cannot reach
-    the disclosure g: terms are counted once and such terms never meet values.
+    the disclosure g: terms are counted once and such terms never meet values. Nor can a term that stands beside judged
+    values in fewer than ``LEAST_FAMILIES`` families; while the others are few, they alone are counted over the corpus.
     """
     total = found.count()
     valued = found.filter(F.size("values") > 0)
@@ -186,14 +187,28 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise_at: float, re
     if most is None:
         return judged.select("value", F.lit("").alias("term"), F.lit("").alias("action"), F.lit(0.0).alias("disclosure"))
     bound = lambda n: F.pow(n, F.lit(generalise_at)) * F.lit(float(families) ** (1 - generalise_at)) + 1e-6
+    held = (
+        grouped.select("node", F.explode("values").alias("value")).join(bounded_side(judged, F.length("value") + 32), "value")
+        .groupBy("node").agg(F.collect_list(F.struct("value", "n_value")).alias("held"))
+    )
+    beside = written(grouped.join(held, "node").select("family", "terms", "held"), "pii-beside")
+    # only terms that stand beside judged values in enough families can be told on; few of them: counted alone
+    wanted = written(
+        beside.select("family", F.explode("terms").alias("term")).distinct()
+        .groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_FAMILIES).select("term"),
+        "pii-wanted",
+    )
+    few = (wanted.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0) <= BROADCAST_BYTES
+    only = lambda words: words.join(F.broadcast(wanted), "term", "left_semi") if few else words
     every = (
-        docs.select(F.explode(_spelled(F.col("text"))).alias("term")).filter(F.length("term") >= LEAST_LETTERS)
+        only(docs.select(F.explode(_spelled(F.col("text"))).alias("term")).filter(F.length("term") >= LEAST_LETTERS))
         .groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     )
     # documents of one family count once; a family of one has nothing to take off
     several = written(grouped.groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("family"), "pii-several")
     again = (
-        grouped.join(bounded_side(several, 16), "family").select(F.explode("terms").alias("term"), "family").groupBy("term", "family").agg(F.count(F.lit(1)).alias("n"))
+        only(grouped.join(bounded_side(several, 16), "family").select(F.explode("terms").alias("term"), "family"))
+        .groupBy("term", "family").agg(F.count(F.lit(1)).alias("n"))
         .filter("n > 1").groupBy("term").agg(F.sum(F.col("n") - 1).alias("again"))
     )
     terms = written(
@@ -201,12 +216,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise_at: float, re
         .filter((F.col("n_term") >= LEAST_FAMILIES) & (F.col("n_term") <= bound(F.lit(float(most))))),
         "pii-terms",
     )
-    held = (
-        grouped.select("node", F.explode("values").alias("value")).join(bounded_side(judged, F.length("value") + 32), "value")
-        .groupBy("node").agg(F.collect_list(F.struct("value", "n_value")).alias("held"))
-    )
     near = (
-        grouped.join(held, "node").select("family", "held", F.explode("terms").alias("term")).join(bounded_side(terms, F.length("term") + 32), "term")
+        beside.select("family", "held", F.explode("terms").alias("term")).join(bounded_side(terms, F.length("term") + 32), "term")
         .select("family", "term", "n_term", F.explode("held").alias("v")).select("family", "term", "n_term", "v.value", "v.n_value")
         .filter(F.col("n_term") <= bound(F.col("n_value")))
     )
