@@ -505,8 +505,10 @@ def test_edited_copies_are_one_witness(spark):
     assert all(spans[300 + k].count(":") == 2 for k in range(13)) and all(not spans[k] for k in range(200))
 
 
-def test_told_pairs_equal_a_plain_count(spark):
+@pytest.mark.parametrize("few_bytes", [1 << 25, 0])
+def test_told_pairs_equal_a_plain_count(spark, monkeypatch, few_bytes):
     """Families, the ratio and the test against chance, counted one by one; words and addresses meet at random and by rule."""
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", few_bytes)  # without it all terms are counted
     draw = random.Random(21)
     filler = words(31, 400).split()
     rows = []
