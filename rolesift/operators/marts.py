@@ -186,7 +186,7 @@ def salary_bands_long(mart: DataFrame) -> DataFrame:
 
 
 def top_skills(mart: DataFrame, sizes: dict[str, int] = TOP_SKILLS) -> DataFrame:
-    """The most wanted skills of every (profile, keyword, type); list length by type."""
+    """The most wanted skills of every (profile, keyword, type); list length by type, a type without a length gives no row."""
     order = [F.col("demand_count").desc(), F.col("skill_name")]
     keys = ["profile_id", "search_keyword", "skill_type"]
     ranked = top_per_key(mart, keys, order, max(sizes.values()), rank="position")

@@ -1,8 +1,9 @@
 """Written tables: every publish is a new folder, one manifest line makes it visible.
 
 Readers resolve a table through the manifest, so several tables published
-together change together and no reader sees a half-written one. There is one
-writer at a time; a reader calls ``refresh`` to see what was published since. Parquet has no
+together change together and no reader sees a half-written one. ``append`` is different: it adds files
+to the published folder, so tables appended to one after another change one by one, in that order. There
+is one writer at a time; a reader calls ``refresh`` to see what was published since. Parquet has no
 row-level update, so upserts rewrite a table into its next version.
 """
 
