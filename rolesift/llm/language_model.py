@@ -24,12 +24,12 @@ from rolesift.llm.frequent import FREQUENT_KEYS, least_level, level
 #: Stands for the end of a document; no word is empty.
 END = ""
 CLASSES, CLASS_WORDS, KINDS, HIDDEN = 32, 32, 8, 32
-#: Of the learning documents one in so many takes part in the gradient, dealt evenly to the rounds.
-GRADIENT_SHARE, ROUNDS = 4, 4
+#: Every learning document takes part in the gradient, in one of so many rounds.
+ROUNDS = 4
 #: Tokens a learner takes in a round, about; documents are dealt to as many learners as that needs.
-LEARNER_TOKENS = 1 << 18
+LEARNER_TOKENS = 1 << 20
 #: Streams side by side, steps a window and step size of the gradient; longer documents start anew after LEARN_RUN tokens.
-LEARN_STREAMS, LEARN_WINDOW, LEARN_RUN, RATE = 64, 16, 1024, 0.01
+LEARN_STREAMS, LEARN_WINDOW, LEARN_RUN, RATE = 256, 16, 1024, 0.01
 SCORE_STREAMS, SCORE_WINDOW = 256, 64
 #: Tokens held by a task at once while it learns or scores (one document at least).
 HELD_TOKENS = 1 << 21
@@ -364,14 +364,13 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, shape: Shape, train_tokens: int) -> np.ndarray:
     """The model's weights, learned from (doc_id, text) in rounds.
 
-    One document in ``GRADIENT_SHARE`` (by its digest, so as many more as the corpus grows) is dealt to the rounds and there to learners of
-    about ``LEARNER_TOKENS`` tokens. Each learner starts from the same weights and runs truncated backpropagation over
+    Each document is dealt to one round by its digest, and there to one of the learners of about ``LEARNER_TOKENS`` tokens. Each learner starts from the same weights and runs truncated backpropagation over
     its documents; the weights are averaged by tokens, as chunks in a shuffle. The driver holds one set of weights.
     """
     flat = shape.begin()
     digest = F.xxhash64("doc_id", "text")
-    of_round = F.pmod(digest, F.lit(GRADIENT_SHARE * ROUNDS))
-    learners = max(1, -(-train_tokens // (GRADIENT_SHARE * ROUNDS * LEARNER_TOKENS)))
+    of_round = F.pmod(digest, F.lit(ROUNDS))
+    learners = max(1, -(-train_tokens // (ROUNDS * LEARNER_TOKENS)))
     for k in range(ROUNDS):
         parts = (
             docs.filter(of_round == k).select("text", digest.alias("digest")).repartition(learners, "digest").select("text")

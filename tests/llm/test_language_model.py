@@ -141,3 +141,27 @@ def test_held_out_documents_are_likelier_than_by_counts(spark):
     found = [r for r in QUERIES["op12_language_model"](spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert sum(r["score"] for r in found) > 0.97 * sum(r["base_score"] for r in found)
     assert np.mean([r["score"] > r["base_score"] for r in found]) > 0.95
+
+
+def test_every_learning_document_reaches_the_gradient(spark, monkeypatch, tmp_path):
+    """Each document is learned from in exactly one round, whatever its digest."""
+    prepare(spark)
+    folder = str(tmp_path)
+
+    def learner(shape, flat, rate):
+        def run(batches):
+            import uuid
+
+            texts = [t for batch in batches for t in batch.column(0).to_pylist()]
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                out.writelines(f"{t}\n" for t in texts)
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(lm, "_learner", learner)
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(200)], "doc_id long, text string")
+    _, shape = plain_shape(rows(), 3, 4)
+    lm.train(docs, shape, 600)
+    learned = sorted(line for file in tmp_path.iterdir() for line in file.read_text().splitlines())
+    assert learned == sorted(f"text {k}" for k in range(200))
