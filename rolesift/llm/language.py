@@ -10,14 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rolesift.llm.common import slices
+from rolesift.llm.common import slices, written
+from rolesift.operators.marts import weighted_percentiles
 
 UNKNOWN = "und"
-#: Length of a profile, longest n-gram, labelled documents that a language is learned from (at most,
-#: about), and how many languages a label column may hold.
+#: Length of a profile, longest n-gram, and how many languages a label column may hold.
 PROFILE = 300
 LONGEST = 3
-SAMPLE = 2000
 LANGUAGES = 1000
 #: Texts whose best language scores less are rejected by the filter.
 LEAST_SCORE = 0.05
@@ -77,34 +76,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sampled(labelled: DataFrame, sample: int) -> DataFrame | None:
-    """lang and letter form of about ``sample`` documents a language; None without any labelled text."""
+def _labelled(labelled: DataFrame) -> DataFrame | None:
+    """lang and letter form of every labelled text; None without any."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
+    found = rows.select("lang").distinct().limit(LANGUAGES + 1).count()
+    if found > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} labels: not a language column")
-    if not counts:
-        return None
-    sizes = rows.sparkSession.createDataFrame(list(counts.items()), "lang string, lang_rows long")
-    part = (F.xxhash64("doc_id").cast("double") / F.lit(2.0**64)) + 0.5
-    return (
-        rows.select("doc_id", "text", "lang").join(F.broadcast(sizes), "lang")
-        .filter(part * F.col("lang_rows") < sample)
-        .select("lang", letter_form(F.col("text")).alias("form"))
-    )
-
-
-def learn_profiles(labelled: DataFrame, sample: int = SAMPLE, profile: int = PROFILE) -> dict[str, list[int]]:
-    """(doc_id, text, lang) to the n-gram profile of each language, most frequent first.
-
-    Learned from a bounded sample: of each language about ``sample`` documents, those whose hashed
-    doc_id is least (all, when there are fewer). Rows without a label or text are left out.
+    return rows.select("lang", letter_form(F.col("text")).alias("form")) if found else None
+
+
+def learn_profiles(labelled: DataFrame, profile: int = PROFILE) -> dict[str, list[int]]:
+    """(text, lang) to the n-gram profile of each language, most frequent first.
+
+    N-grams are counted over all documents; batches and tasks count first, so the shuffle moves a row for each
+    language and n-gram of a task. Rows without a label or text are left out.
     The result has ``profile`` numbers a language and at most ``LANGUAGES`` languages; more raise.
     """
-    chosen = _sampled(labelled, sample)
-    if chosen is None:
+    every = _labelled(labelled)
+    if every is None:
         return {}
-    grams = chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = every.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = grams.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= profile)
     profiles: dict[str, list[int]] = {}
@@ -164,17 +155,17 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
     return form.mapInArrow(run, out)
 
 
-def learn_least(labelled: DataFrame, profiles: dict[str, list[int]], sample: int = SAMPLE) -> dict[int, float]:
-    """(doc_id, text, lang) to the least score to ask of a text of so many letters and blanks at least.
+def learn_least(labelled: DataFrame, profiles: dict[str, list[int]]) -> dict[int, float]:
+    """(text, lang) to the least score to ask of a text of so many letters and blanks at least.
 
-    Labelled texts (a bounded sample, best one the profiles were not learned from) are cut at each of ``LENGTHS``
-    and scored; ``LEAST_SHARE`` of a low quantile of what texts score whose language is found. Lengths with too few texts
-    are left out; at most one number a length.
+    All labelled texts (best those the profiles were not learned from) are cut at each of ``LENGTHS``
+    and scored; ``LEAST_SHARE`` of a low quantile of what texts score whose language is found. Equal scores are counted,
+    and only those near the quantile are ordered. Lengths with too few texts are left out; at most one number a length.
     """
-    chosen = _sampled(labelled.filter(F.col("lang").isin(sorted(profiles))), sample)
-    if chosen is None:
+    every = _labelled(labelled.filter(F.col("lang").isin(sorted(profiles))))
+    if every is None:
         return {}
-    cut = chosen.withColumn("size", F.explode(F.array(*(F.lit(n) for n in LENGTHS)))).filter(F.length("form") >= F.col("size"))
+    cut = every.withColumn("size", F.explode(F.array(*(F.lit(n) for n in LENGTHS)))).filter(F.length("form") >= F.col("size"))
     # a cut text ends with a blank, as a whole one does
     text = F.concat(F.rtrim(F.expr("substring(form, 1, size - 1)")), F.lit(" "))
 
@@ -186,8 +177,10 @@ def learn_least(labelled: DataFrame, profiles: dict[str, list[int]], sample: int
             yield out.filter(pa.array([f[0] == lang for f, lang in zip(found, batch.column(1).to_pylist(), strict=True)], pa.bool_()))
 
     scores = cut.select("size", "lang", text.alias("form")).mapInArrow(run, "size int, score double")
-    rows = scores.groupBy("size").agg(F.expr(f"percentile(score, {LEAST_QUANTILE}D)").alias("least"), F.count(F.lit(1)).alias("n")).collect()
-    return {r["size"]: LEAST_SHARE * r["least"] for r in rows if r["n"] >= LEAST_TEXTS}
+    counted = written(scores.groupBy("size", "score").agg(F.count(F.lit(1)).alias("n")), "language-scores")
+    totals = counted.groupBy("size").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TEXTS)
+    low = weighted_percentiles(counted.withColumn("of", F.lit("all")), ["size"], "of", ("all",), "score", "n", {"least": LEAST_QUANTILE})
+    return {r["size"]: LEAST_SHARE * r["least_all"] for r in low.join(totals, "size").collect()}
 
 
 def held_out() -> Column:

@@ -15,7 +15,7 @@ from rolesift.llm import chat, packing, pii, sharding
 from rolesift.llm.common import prepare
 from rolesift.llm.decontaminate import contained_items, drop_contaminated
 from rolesift.llm.fingerprints import edited_fingerprints, near_links
-from rolesift.llm.language import UNKNOWN, held_out, identify, keep_identified, learn_profiles
+from rolesift.llm.language import LEAST_QUANTILE, LEAST_SHARE, UNKNOWN, Profiles, held_out, identify, keep_identified, learn_least, learn_profiles
 from rolesift.llm.licenses import TEMPLATES, scan_licenses
 from rolesift.llm.ngram_join import keep_one, near_classes
 from rolesift.llm.token_files import read_token_files, write_token_files
@@ -571,6 +571,23 @@ def test_language_of_awkward_rows(spark, docs, none):
     assert identify(docs, profiles).count() == docs.count()
 
 
+def test_language_is_learned_from_every_labelled_document(spark):
+    """More than 2,000 documents a language: those with the greatest hashes of doc_id count too."""
+    n = 2400
+    last = (F.xxhash64("id").cast("double") / F.lit(2.0**64) + 0.5) * n >= 2000
+    frame = prepare(spark).range(n).select(
+        F.col("id").alias("doc_id"), F.when(last, "zzzz " * 8).otherwise("abc abd abe " * 4).alias("text"), F.lit("aa").alias("lang")
+    )
+    late = frame.filter(F.col("text").startswith("z")).count()
+    assert late > 100
+    profiles = learn_profiles(frame)
+    assert (ord("z") << 42 | ord("z") << 21 | ord("z")) in profiles["aa"]
+    few = {"aa": [g for g in profiles["aa"] if g != ord("z")]}
+    model = Profiles(few)
+    scores = [model.predict(t)[1] for t in [" zzzz zzzz zzzz "] * late + [" abc abd abe abc "[:15] + " "] * (n - late)]
+    assert abs(learn_least(frame, few)[16] - LEAST_SHARE * np.quantile(scores, LEAST_QUANTILE)) < 1e-9
+
+
 def test_labels_have_to_be_a_language_column(spark):
     frame = spark.range(1200).selectExpr("id AS doc_id", "'a b' AS text", "CAST(id AS string) AS lang")
     with pytest.raises(ValueError, match="labels"):
