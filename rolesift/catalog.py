@@ -130,7 +130,7 @@ def cleaned_profiles(v: Views) -> DataFrame:
 @query
 def src_postings(v: Views) -> DataFrame:
     """Land the feed as files, one format per board, and read them back as one feed."""
-    feed = v.feed()
+    feed = v.kept("feed", v.feed)
     folder = shared_folder(v.spark, "landed")
     columns = [c for c in read_schema_names() if c != "description"]
     for site, fmt in (("linkedin", "parquet"), ("indeed", "json"), ("glassdoor", "csv")):
@@ -563,7 +563,7 @@ def load_counts_with_errors(v: Views) -> DataFrame:
     folder = shared_folder(v.spark, "boards")
     sites = ("linkedin", "glassdoor", "indeed")
     for site in sites[:2]:
-        write_postings(v.feed().filter(F.col("site") == site).select(read_schema_names()), f"{folder}/{site}")
+        write_postings(v.kept("feed", v.feed).filter(F.col("site") == site).select(read_schema_names()), f"{folder}/{site}")
     sources = {site: (f"{folder}/{site}", "parquet") for site in sites}
     landed, status = land_sites(v.spark, sources, shared_folder(v.spark, "landed-boards"))
     keys = landed.select("site", "job_url").distinct()

@@ -18,7 +18,7 @@ _CSV = {
     "header": True, "escape": '"',
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
-_RENAMED = {"location_raw": "location", "salary_raw": "salary_source"}
+RENAMED = {"location_raw": "location", "salary_raw": "salary_source"}
 
 
 def read_postings(
@@ -105,12 +105,14 @@ def to_staging(
     arrival: Sequence[Column],
     default_site: str = DEFAULT_SITES[0],
     keep: Sequence[str] = (),
+    copies_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Map feed rows to staging rows: one row per (site, url), the first to arrive wins.
 
     ``arrival`` orders the copies of a posting; ``keep`` carries extra columns along.
     Copies are dropped first, so the payload text is built for winners only and is
-    not part of the exchange.
+    not part of the exchange. ``copies_by`` names kept columns of which each value stands for one posting
+    here; a feed that is dealt by them needs no further exchange.
     """
     site = F.coalesce(F.nullif(F.col("site"), F.lit("")), F.lit(default_site))
     request = {
@@ -128,11 +130,11 @@ def to_staging(
         *[value.alias(f"_{name}") for name, value in request.items()],
         F.struct(*arrival).alias("_arrival"),
     )
-    first = first_per_key(keyed, ["_id"], [F.col("_arrival")])
+    first = first_per_key(keyed, copies_by or ["_id"], [F.col("_arrival")])
     own = {name: F.col(f"_{name}") for name in request}
     own["site"] = site
     own["raw_payload"] = raw_payload([c for c in FEED_SCHEMA.names if c in raw.columns])
-    own.update({new: F.col(old) for new, old in _RENAMED.items() if old in raw.columns})
+    own.update({new: F.col(old) for new, old in RENAMED.items() if old in raw.columns})
     return first.select(
         *[
             own.get(f.name, F.col(f"`{f.name}`") if f.name in kept else F.lit(None))
