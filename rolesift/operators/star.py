@@ -117,6 +117,9 @@ def build_fact(enriched: DataFrame) -> DataFrame:
 
 
 STAR = ("dim_location", "dim_salary", "dim_skill", "fact_job_offers", "job_skill_bridge")
+#: The lists of a posting, and the star tables that are built from them.
+SKILL_LISTS = tuple(f"{kind}_skills" for kind in SKILL_TYPES)
+SKILL_TABLES = ("dim_skill", "job_skill_bridge")
 
 
 def star_frame(gated: DataFrame, table: str) -> DataFrame:

@@ -43,3 +43,44 @@ def test_repeated_rows_of_a_posting_are_staged_once(spark, tmp_path):
     ids = staged.select("id", "raw_payload", "k")
     assert staged.count() == staged.select("id").distinct().count() == plain_staging(v).count()
     assert ids.exceptAll(plain_staging(v).select("id", "raw_payload", "k")).isEmpty()
+
+
+def test_a_query_without_texts_writes_none(spark, tmp_path):
+    for name in V.GIVEN:
+        os.symlink(f"{SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
+    v = V.Views(spark, str(tmp_path))
+    plain = v.staging(texts=False)
+    assert "description" not in plain.columns
+    assert {name for app, folder, name in V._WRITTEN if folder == str(tmp_path)} == {"staging-plain"}
+    whole = v.staging()
+    assert whole.select("description").dropna().count() > 0
+    rest = whole.drop("description")
+    assert sorted(plain.columns) == sorted(rest.columns)
+    assert plain.exceptAll(rest.select(plain.columns)).isEmpty() and rest.select(plain.columns).exceptAll(plain).isEmpty()
+
+
+def test_the_gate_is_joined_once_for_several_star_tables(spark, tmp_path):
+    for name in V.GIVEN:
+        os.symlink(f"{SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
+    v = V.Views(spark, str(tmp_path))
+    written = lambda: {name for app, folder, name in V._WRITTEN if folder == str(tmp_path)}
+    v.star("fact_job_offers", "dim_location")
+    assert written() == {"staging-plain", "gated-plain", "fact_job_offers", "dim_location"}
+    plain = v.gated(skills=False)
+    assert not set(V.SKILL_LISTS) & set(plain.columns)
+    whole = V.load_enriched(v.staging(), v.enriched(), v.judged())
+    kept = v.kept_gated()
+    assert sorted(kept.columns) == sorted(whole.columns) and kept.filter("size(tech_skills) > 0").count() > 0
+    assert kept.exceptAll(whole.select(kept.columns)).isEmpty() and whole.select(kept.columns).exceptAll(kept).isEmpty()
+    assert plain.exceptAll(whole.select(plain.columns)).isEmpty()
+
+
+def test_parts_meet_the_facts_of_an_order(spark):
+    assert V.POSTINGS.endswith(V.PART_JOIN)
+    v = V.Views(spark, SMALL)
+    given = {name: v.given(name) for name in ("orders", "customer", "part")}
+    places = v._sql(V.PLACES, nation=v.given("nation"), region=v.given("region"))
+    facts = v._sql(V.ORDER_FACTS, lineitem=v.given("lineitem"))
+    plain, mine = v._sql(V.POSTINGS, places=places, order_facts=facts, **given), v.postings()
+    assert mine.columns == plain.columns
+    assert mine.exceptAll(plain).isEmpty() and plain.exceptAll(mine).isEmpty()
