@@ -999,24 +999,21 @@ def fact_job_offers(v: Views) -> DataFrame:
     return S.star_frame(v.gated(skills=False), "fact_job_offers")
 
 
-def _written_inputs(v: Views, where: str, tables: Tables) -> None:
-    """Publish staging, enriched and judged rows of some runs as written tables."""
+def _written_inputs(v: Views, where: Column, tables: Tables) -> None:
+    """Append staging, enriched and judged rows of some runs to the written tables."""
     staged = v.staging().filter(where)
     ids = staged.select(F.col("id").alias("job_id"))
-    tables.publish(
-        {
-            "staging_job_offers": staged,
-            "int_enriched_job_info": v.enriched().join(ids, "job_id", "left_semi"),
-            "judged_job_offers": v.judged().join(ids, "job_id", "left_semi"),
-        }
-    )
+    tables.append("staging_job_offers", staged)
+    tables.append("int_enriched_job_info", v.enriched().join(ids, "job_id", "left_semi"))
+    tables.append("judged_job_offers", v.judged().join(ids, "job_id", "left_semi"))
 
 
 @query
 def run_transform(v: Views) -> DataFrame:
     """Transform the early runs, then all of them: the second pass only adds."""
     tables = Tables(v.spark, shared_folder(v.spark, "transform"))
-    for where in ("run_id <= 'run-1997'", "true"):
+    early = F.coalesce(F.col("run_id") <= "run-1997", F.lit(False))
+    for where in (early, ~early):
         _written_inputs(v, where, tables)
         TF.run_transform(v.spark, tables, only_new=True)
     return tables.read("fact_job_offers").select(

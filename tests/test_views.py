@@ -6,8 +6,10 @@ import os
 
 from pyspark.sql import functions as F
 
+from rolesift.catalog import QUERIES
 from rolesift.sources import views as V
 from rolesift.sources.postings import to_staging
+from rolesift.sources.tables import Tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -84,3 +86,25 @@ def test_parts_meet_the_facts_of_an_order(spark):
     plain, mine = v._sql(V.POSTINGS, places=places, order_facts=facts, **given), v.postings()
     assert mine.columns == plain.columns
     assert mine.exceptAll(plain).isEmpty() and plain.exceptAll(mine).isEmpty()
+
+
+def test_the_second_transform_writes_the_rows_of_the_first_no_more(spark, monkeypatch):
+    written, append, publish = {}, Tables.append, Tables.publish
+
+    def appended(self, table, df):
+        rows = append(self, table, df)
+        written[table] = written.get(table, 0) + rows
+        return rows
+
+    def published(self, frames):
+        publish(self, frames)
+        for table in frames:
+            written[table] = written.get(table, 0) + self.read(table).count()
+
+    monkeypatch.setattr(Tables, "append", appended)
+    monkeypatch.setattr(Tables, "publish", published)
+    facts, v = QUERIES["run_transform"](spark, SMALL), V.Views(spark, SMALL)
+    assert written["staging_job_offers"] == v.staging().count()
+    assert written["judged_job_offers"] == v.judged().count()
+    assert written["int_enriched_job_info"] == v.enriched().count()
+    assert facts.count() == v.gated().count()
