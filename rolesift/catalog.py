@@ -314,7 +314,7 @@ def verdict_gated(v: Views) -> DataFrame:
 
 def _wide(v: Views, **options) -> DataFrame:
     star = v.star("fact_job_offers", "dim_location", "dim_salary")
-    return R.fact_with_dims(*star, v.enriched(), **options)
+    return R.fact_with_dims(*star, v.enriched_of, **options)
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ def fact_with_dims(
     fact: DataFrame,
     dim_location: DataFrame,
     dim_salary: DataFrame,
-    enriched: DataFrame,
+    enriched: DataFrame | Callable[[DataFrame], DataFrame],
     *,
     keyword: str | None = None,
     profile_id: str | None = None,
@@ -30,7 +30,8 @@ def fact_with_dims(
 
     All three lookups keep every fact, so the top-k is taken on the fact alone and
     written. It has at most ``limit_max`` rows (a larger limit raises): its keys are broadcast to thin out
-    each lookup table in place, and so are the lookup rows found, one per key.
+    each lookup table in place, and so are the lookup rows found, one per key. ``enriched`` is a table, or
+    makes the enriched rows of the postings it is given (job_id).
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
@@ -47,7 +48,8 @@ def fact_with_dims(
         F.col("min_amount").alias("salary_min"), F.col("max_amount").alias("salary_max"),
         F.col("currency").alias("salary_currency"), F.col("period").alias("salary_period"),
     )
-    skills = enriched.select("job_id", "tech_skills", "soft_skills", "domain_skills")
+    found = enriched(top.select("job_id")) if callable(enriched) else enriched
+    skills = found.select("job_id", "tech_skills", "soft_skills", "domain_skills")
     for lookup, key in (
         (dim_location, "location_key"), (salary, "salary_key"), (skills, "job_id")
     ):

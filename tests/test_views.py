@@ -108,3 +108,18 @@ def test_the_second_transform_writes_the_rows_of_the_first_no_more(spark, monkey
     assert written["judged_job_offers"] == v.judged().count()
     assert written["int_enriched_job_info"] == v.enriched().count()
     assert facts.count() == v.gated().count()
+
+
+def test_the_newest_facts_gather_their_own_skills_only(spark, tmp_path):
+    for name in V.GIVEN:
+        os.symlink(f"{SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
+    v = V.Views(spark, str(tmp_path))
+    few = v.star("fact_job_offers")[0].orderBy("job_id").limit(20).select("job_id")
+    mine = v.enriched_of(few)
+    assert not any(folder == str(tmp_path) and name == "enriched" for _, folder, name in V._WRITTEN)
+    wide = QUERIES["fact_with_dims"](spark, str(tmp_path)).collect()
+    assert not any(folder == str(tmp_path) and name == "enriched" for _, folder, name in V._WRITTEN)
+    whole = v.enriched().join(few, "job_id", "left_semi")
+    assert whole.count() == 20 and whole.filter("size(tech_skills) > 0").count() > 0
+    assert mine.exceptAll(whole).isEmpty() and whole.exceptAll(mine).isEmpty()
+    assert QUERIES["fact_with_dims"](spark, str(tmp_path)).collect() == wide
