@@ -59,7 +59,8 @@ class Tables:
         schema = schema_of(table)
         path = self._paths.get(table)
         if path is None:
-            return self.spark.createDataFrame([], schema)
+            # a limit of zero tells the planner that it is empty, so joins with it are dropped instead of exchanged
+            return self.spark.createDataFrame([], schema).limit(0)
         return self.spark.read.schema(schema).parquet(path)
 
     def publish(self, frames: dict[str, DataFrame]) -> None:

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import functions as F
 
 from rolesift.catalog import QUERIES
+from rolesift.operators.upsert import new_rows
+from rolesift.plans import full_run as FULL
 from rolesift.sources import views as V
 from rolesift.sources.postings import to_staging
 from rolesift.sources.tables import Tables
@@ -123,3 +125,18 @@ def test_the_newest_facts_gather_their_own_skills_only(spark, tmp_path):
     assert whole.count() == 20 and whole.filter("size(tech_skills) > 0").count() > 0
     assert mine.exceptAll(whole).isEmpty() and whole.exceptAll(mine).isEmpty()
     assert QUERIES["fact_with_dims"](spark, str(tmp_path)).collect() == wide
+
+
+def test_a_first_landing_exchanges_neither_rows_nor_ids(spark, tmp_path, monkeypatch):
+    tables, staged = Tables(spark, str(tmp_path / "lake")), V.Views(spark, SMALL).staging(texts=False)
+    for name in ("staging_job_offers", "judged_job_offers"):
+        rows = tables.read(name)
+        plan = new_rows(rows.sparkSession.range(3).selectExpr("cast(id as string) as run_id"), rows.selectExpr("job_id as run_id" if name[0] == "j" else "run_id"), ["run_id"])
+        assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    ids = []
+    monkeypatch.setattr(FULL, "written", lambda df, purpose, plain=FULL.written: ids.append(purpose) or plain(df, purpose))
+    early, n = staged.filter("run_id <= 'run-1997'"), staged.count()
+    assert FULL.land(tables, early) == early.count() and ids == []
+    assert FULL.land(tables, staged) == n - early.count() and ids == ["landing-ids"]
+    for name, key in (("staging_job_offers", "id"), ("judged_job_offers", "job_id")):
+        assert tables.read(name).count() == tables.read(name).select(key).distinct().count() == n
