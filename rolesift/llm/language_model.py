@@ -321,7 +321,8 @@ def _learner(shape: Shape, flat: np.ndarray, rate: float):
             learn(symbols, bounds)
         if seen:
             for chunk, at in enumerate(range(0, len(flat), _CHUNK)):
-                part = (model.flat[at : at + _CHUNK].astype(np.float64) * seen).astype("<f8").tobytes()
+                # single precision as the weights are: each learner shuffles them whole
+                part = model.flat[at : at + _CHUNK].astype("<f4").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([float(seen)]), pa.array([part], pa.binary())], ["chunk", "seen", "part"])
 
     return run
@@ -355,7 +356,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if chunk is not None:
                     out.append((chunk, (total / seen).astype("<f4").tobytes()))
                 chunk, seen, total = k, 0.0, 0.0
-            seen, total = seen + n, total + np.frombuffer(part, dtype="<f8")
+            seen, total = seen + n, total + np.frombuffer(part, dtype="<f4").astype(np.float64) * n
     if chunk is not None:
         out.append((chunk, (total / seen).astype("<f4").tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], ["chunk", "part"])

@@ -165,3 +165,18 @@ def test_every_learning_document_reaches_the_gradient(spark, monkeypatch, tmp_pa
     lm.train(docs, shape, 600)
     learned = sorted(line for file in tmp_path.iterdir() for line in file.read_text().splitlines())
     assert learned == sorted(f"text {k}" for k in range(200))
+
+
+def test_a_learner_shuffles_its_weights_as_they_are():
+    import pyarrow as pa
+
+    rows = [(n, f"red widget {n % 3} hot plate") for n in range(40)]
+    _, shape = plain_shape(rows, 4, 4)
+    batch = pa.RecordBatch.from_arrays([pa.array([text for _, text in rows])], ["text"])
+    parts = [b for flat in (shape.begin(1), shape.begin(2)) for b in lm._learner(shape, flat, 0.01)(iter([batch]))]
+    assert sum(len(p) for b in parts for p in b.column(2).to_pylist()) == 2 * 4 * shape.total
+    by_chunk = sorted(parts, key=lambda b: b.column(0)[0].as_py())
+    (out,) = lm._averaged(iter(by_chunk))
+    half = len(parts) // 2
+    whole = [np.frombuffer(b"".join(b.column(2)[0].as_py() for b in own), "<f4") for own in (parts[:half], parts[half:])]
+    assert np.allclose(np.frombuffer(b"".join(out.column(1).to_pylist()), "<f4"), (whole[0] + whole[1]) / 2, atol=1e-6)
