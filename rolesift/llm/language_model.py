@@ -54,8 +54,10 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def kinds_of(words: pa.Array) -> np.ndarray:
     """The kind of each word: beyond ASCII, with a digit, with a mark at the end."""
-    tests = (r"[^\x00-\x7F]", r"[0-9]", r"[^\pL\pN]$")
-    return sum((1 << k) * pc.match_substring_regex(words, t).to_numpy(zero_copy_only=False).astype(np.int64) for k, t in enumerate(tests))
+    size = pc.binary_length(words)
+    beyond = pc.greater(size, pc.utf8_length(words).cast(size.type))
+    tests = (beyond, *(pc.match_substring_regex(words, t) for t in (r"[0-9]", r"[^\pL\pN]$")))
+    return sum((1 << k) * test.to_numpy(zero_copy_only=False).astype(np.int64) for k, test in enumerate(tests))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +122,13 @@ def _bound(weights: np.ndarray, bias: np.ndarray) -> tuple[float, bool]:
     return top, top - float((bias - reach).max()) < _SPREAD
 
 
+def _bounds(weights: np.ndarray, bias: np.ndarray, empty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_bound`` of each class; ``empty`` is far below zero where a class has no word."""
+    reach, bias = np.abs(weights).sum(axis=1), bias + empty
+    top = (bias + reach).max(axis=1)
+    return top, top - (bias - reach).max(axis=1) < _SPREAD
+
+
 def _exponents(logits: np.ndarray, safe: bool, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Turns logits into exponents in place; log of the chosen one's share, and the sums of the rows."""
     if not safe:
@@ -137,34 +146,40 @@ class Model:
         self.shape, self.flat, self.p = shape, flat, shape.views(flat)
         self._empty = np.where(shape.empty_words(), -1e9, 0).astype(np.float32)
 
-    def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
-        """The states after each step. x: symbols before, keep: 0 where a document begins; (steps, streams)."""
-        size = self.shape.hidden
+    def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+        """The states after each step. x: symbols before, keep: 0 where a document begins; (steps, streams).
+
+        ``trace`` takes what the gradient needs of each step: state before, both gates, new state, pushed state.
+        """
+        size, streams = self.shape.hidden, x.shape[1]
         # a logistic gate is a hyperbolic tangent of half its argument
         half = np.ones(3 * size, np.float32)
         half[: 2 * size] = 0.5
         inputs, state = self.p["inputs"] * half, self.p["state"] * half
-        out = np.empty((len(x), x.shape[1], size), dtype=np.float32)
+        out = np.empty((len(x), streams, size), dtype=np.float32)
+        before, gates, news, pushes = trace or (None, np.empty((1, 2, streams, size), np.float32), np.empty((1, streams, size), np.float32), None)
+        pushed = np.empty((streams, 3 * size), np.float32)
         kept = keep.min(axis=1) > 0
         for t in range(len(x)):
             if not kept[t]:
                 h = h * keep[t][:, None]
-            own, pushed = inputs[x[t]], h @ state
-            gates = own[:, : 2 * size]
-            gates += pushed[:, : 2 * size]
-            np.tanh(gates, out=gates)
-            gates += 1
-            gates *= 0.5
-            z, r = gates[:, :size], gates[:, size:]
-            new = r * pushed[:, 2 * size :]
+            at = t if trace else 0
+            own = inputs.take(x[t], axis=0)
+            np.matmul(h, state, out=pushed)
+            gate, new = gates[at], news[at]
+            np.add(own[:, :size], pushed[:, :size], out=gate[0])
+            np.add(own[:, size : 2 * size], pushed[:, size : 2 * size], out=gate[1])
+            np.tanh(gate, out=gate)
+            gate += 1
+            gate *= 0.5
+            np.multiply(gate[1], pushed[:, 2 * size :], out=new)
             new += own[:, 2 * size :]
             np.tanh(new, out=new)
-            if trace is not None:
-                trace.append((h, z, r, new, pushed[:, 2 * size :]))
-            h = h - new
-            h *= z
+            if trace:
+                before[t], pushes[t] = h, pushed[:, 2 * size :]
+            h = np.subtract(h, new, out=out[t])
+            h *= gate[0]
             h += new
-            out[t] = h
         return out
 
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
@@ -190,14 +205,14 @@ class Model:
         sorted_h, place = h[order[: ends[-1]]], y[order[: ends[-1]]] % shape.class_words
         found = np.empty(int(ends[-1]), np.float32)
         sorted_back = np.empty_like(sorted_h) if grads is not None else None
+        top, safe = _bounds(p["word"], p["word_bias"], self._empty)
+        bias = p["word_bias"] + self._empty - top[:, None]
         for c in np.flatnonzero(np.diff(ends)).tolist():
             own = slice(int(ends[c]), int(ends[c + 1]))
-            part, bias = sorted_h[own], p["word_bias"][c]
-            filled = shape.size - c * shape.class_words
-            top, safe = _bound(p["word"][c][:, :filled], bias[:filled])
+            part = sorted_h[own]
             inside = part @ p["word"][c]
-            inside += bias + self._empty[c] - np.float32(top)
-            found[own], total = _exponents(inside, safe, rows[: len(part)], place[own])
+            inside += bias[c]
+            found[own], total = _exponents(inside, safe[c], rows[: len(part)], place[own])
             if grads is not None:
                 inside *= (weight / total)[:, None]
                 inside[rows[: len(part)], place[own]] -= weight
@@ -212,32 +227,49 @@ class Model:
     def learn_window(self, x, y, keep, inside, h, grads: dict, weight: float) -> np.ndarray:
         """Adds the gradient of one window, truncated at its start; the state after it."""
         size, p = self.shape.hidden, self.p
-        trace: list = []
-        out = self.states(x, keep, h, trace)
-        back = np.zeros_like(out)
-        back[inside] = self.output(out[inside], y[inside], grads, weight)[1]
-        before, z, r, new, pushed = (np.stack(part) for part in zip(*trace, strict=True))
-        to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), pushed * r * (1 - r)
         steps, streams = x.shape
-        inputs, pushes = np.empty((steps, streams, 3 * size), np.float32), np.empty((steps, streams, 3 * size), np.float32)
-        later, turned = np.zeros((streams, size), np.float32), np.ascontiguousarray(p["state"].T)
+        trace = before, gates, new, pushed = tuple(np.empty((steps, *own, streams, size), np.float32) for own in ((), (2,), (), ()))
+        out = self.states(x, keep, h, trace)
+        if inside.all():
+            back = self.output(out.reshape(-1, size), y.ravel(), grads, weight)[1].reshape(out.shape)
+        else:
+            back = np.zeros_like(out)
+            back[inside] = self.output(out[inside], y[inside], grads, weight)[1]
+        # one row a token: what goes to the pushed new state, to both gates and to the new state; pushes are the first three, inputs the last
+        given = np.empty((steps, streams, 4 * size), np.float32)
+        later = np.zeros((streams, size), np.float32)
+        turned = np.ascontiguousarray(np.roll(p["state"], size, axis=1).T)
+        rest, slope = np.empty((streams, size), np.float32), np.empty((streams, size), np.float32)
         for t in range(steps - 1, -1, -1):
-            d = back[t]
+            (z, r), own, d = gates[t], given[t], back[t]
             d += later
-            own, push = inputs[t], pushes[t]
-            d_new = np.multiply(d, to_new[t], out=own[:, 2 * size :])
-            np.multiply(d, to_z[t], out=own[:, :size])
-            np.multiply(d_new, to_r[t], out=own[:, size : 2 * size])
-            push[:, : 2 * size] = own[:, : 2 * size]
-            np.multiply(d_new, r[t], out=push[:, 2 * size :])
-            later = push @ turned
-            later += d * z[t]
-            later *= keep[t][:, None]
-        grads["state"] += before.reshape(-1, size).T @ pushes.reshape(-1, 3 * size)
+            to_push, to_z, to_r, to_new = (own[:, k * size : (k + 1) * size] for k in range(4))
+            np.subtract(1, z, out=rest)
+            np.multiply(new[t], new[t], out=slope)
+            np.subtract(1, slope, out=slope)
+            slope *= rest
+            np.multiply(d, slope, out=to_new)
+            np.subtract(before[t], new[t], out=slope)
+            slope *= z
+            slope *= rest
+            np.multiply(d, slope, out=to_z)
+            np.multiply(pushed[t], r, out=slope)
+            np.subtract(1, r, out=rest)
+            slope *= rest
+            np.multiply(to_new, slope, out=to_r)
+            np.multiply(to_new, r, out=to_push)
+            np.matmul(own[:, : 3 * size], turned, out=later)
+            d *= z
+            later += d
+            if keep[t].min() == 0:
+                later *= keep[t][:, None]
+        tokens = given.reshape(-1, 4 * size)
+        grads["state"] += np.roll(before.reshape(-1, size).T @ tokens[:, : 3 * size], -size, axis=1)
         symbols = x.ravel()
-        order = np.argsort(symbols, kind="stable")
+        # symbols are few: a short key sorts in one pass over its bytes
+        order = np.argsort(symbols.astype(np.uint16) if self.shape.size + KINDS < 1 << 16 else symbols, kind="stable")
         first = np.flatnonzero(np.diff(symbols[order], prepend=-1))
-        grads["inputs"][symbols[order][first]] += np.add.reduceat(inputs.reshape(-1, 3 * size)[order], first)
+        grads["inputs"][symbols[order][first]] += np.add.reduceat(tokens[:, size:].take(order, axis=0), first)
         return out[-1]
 
 

@@ -180,3 +180,31 @@ def test_a_learner_shuffles_its_weights_as_they_are():
     half = len(parts) // 2
     whole = [np.frombuffer(b"".join(b.column(2)[0].as_py() for b in own), "<f4") for own in (parts[:half], parts[half:])]
     assert np.allclose(np.frombuffer(b"".join(out.column(1).to_pylist()), "<f4"), (whole[0] + whole[1]) / 2, atol=1e-6)
+
+
+def test_bounds_of_all_classes_equal_those_of_each():
+    """One pass over the word classes finds each one's own bound, the last and shorter one's too."""
+    _, shape = plain_shape(rows(), 3, 5)
+    shape = lm.Shape(list(zip(shape.words, shape.counts, strict=True))[:13], list(shape.kind_tokens), list(shape.kind_words), 5)
+    flat = shape.begin(4) + np.random.default_rng(4).standard_normal(shape.total).astype(np.float32)
+    model = lm.Model(shape, flat)
+    top, safe = lm._bounds(model.p["word"], model.p["word_bias"], model._empty)
+    each = [lm._bound(model.p["word"][c][:, : 13 - 5 * c], model.p["word_bias"][c][: 13 - 5 * c]) for c in range(3)]
+    assert np.allclose(top, [t for t, _ in each])
+    assert safe.tolist() == [s for _, s in each]
+
+
+def test_a_trace_leaves_the_states_as_they_are():
+    """Learning and scoring walk the same steps, and the trace holds the gates and states of each."""
+    draw = np.random.default_rng(6)
+    _, shape = plain_shape(rows(), 3, 4)
+    model = lm.Model(shape, (draw.standard_normal(shape.total) * 0.3).astype(np.float32))
+    x, keep = draw.integers(0, shape.size + lm.KINDS, (7, 3)), np.ones((7, 3), np.float32)
+    keep[0], keep[4, 1] = 0, 0
+    n = shape.hidden
+    h = draw.standard_normal((3, n)).astype(np.float32)
+    trace = before, gates, new, _ = tuple(np.empty((7, *own, 3, n), np.float32) for own in ((), (2,), (), ()))
+    out = model.states(x, keep, h, trace)
+    assert (out == model.states(x, keep, h)).all()
+    assert np.allclose(before[1:], out[:-1] * keep[1:, :, None], atol=1e-6) and (before[0] == 0).all()
+    assert np.allclose(out, gates[:, 0] * before + (1 - gates[:, 0]) * new, atol=1e-5)
