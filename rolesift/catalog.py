@@ -293,13 +293,13 @@ PENDING = ("id", "title", "search_keyword", "profile_id", "rule_verdict")
 
 @query
 def pending_rows(v: Views) -> DataFrame:
-    return CAS.pending_rows(v.staging(texts=False), v.enriched(), v.judged()).select(*PENDING)
+    return CAS.pending_rows(v.staging(texts=False), v.enriched_ids(), v.judged()).select(*PENDING)
 
 
 @query
 def pending_rows_limited(v: Views) -> DataFrame:
     todo = CAS.pending_rows(
-        v.staging(texts=False), v.enriched(), v.judged(), run_id="run-1998", limit=100
+        v.staging(texts=False), v.enriched_ids(), v.judged(), run_id="run-1998", limit=100
     )
     return todo.select(*PENDING)
 
@@ -400,7 +400,7 @@ def changed_labels(v: Views) -> DataFrame:
 # === joins =======================================================================
 @query
 def anti_unenriched(v: Views) -> DataFrame:
-    done = v.enriched().select(F.col("job_id").alias("id"))
+    done = v.enriched_ids().select(F.col("job_id").alias("id"))
     return U.new_rows(v.staging(texts=False), done, ["id"]).select("id", "run_id", "title")
 
 
@@ -950,7 +950,7 @@ def _cascade(v: Views, **scorers) -> CAS.CascadeResult:
     """Postings of the early runs are enriched already; the others go through the cascade."""
     early = v.staging().filter("run_id <= 'run-1994'").select(F.col("id").alias("job_id"))
     todo = CAS.pending_rows(
-        v.staging(), v.enriched().join(early, "job_id", "left_semi"), v.judged()
+        v.staging(), v.enriched_ids().join(early, "job_id", "left_semi"), v.judged()
     )
     return CAS.relevance_cascade(todo, _read_records(v), now(), **scorers)
 

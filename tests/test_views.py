@@ -140,3 +140,18 @@ def test_a_first_landing_exchanges_neither_rows_nor_ids(spark, tmp_path, monkeyp
     assert FULL.land(tables, staged) == n - early.count() and ids == ["landing-ids"]
     for name, key in (("staging_job_offers", "id"), ("judged_job_offers", "job_id")):
         assert tables.read(name).count() == tables.read(name).select(key).distinct().count() == n
+
+
+def test_the_cascade_gathers_no_skills_for_ids(spark, tmp_path):
+    for name in V.GIVEN:
+        os.symlink(f"{SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
+    v = V.Views(spark, str(tmp_path))
+    kept = lambda: {name for _, folder, name in V._WRITTEN if folder == str(tmp_path)}
+    found = {name: QUERIES[name](spark, str(tmp_path)).collect() for name in ("enrichment_summary", "pending_rows", "anti_unenriched")}
+    assert "enriched" not in kept()
+    ids = v.enriched_ids()
+    assert "l_partkey" not in ids._jdf.queryExecution().optimizedPlan().toString()
+    whole = v.enriched().select("job_id")
+    assert ids.exceptAll(whole).isEmpty() and whole.exceptAll(ids).isEmpty()
+    for name, rows in found.items():
+        assert sorted(map(str, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(map(str, rows))
