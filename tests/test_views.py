@@ -155,3 +155,16 @@ def test_the_cascade_gathers_no_skills_for_ids(spark, tmp_path):
     assert ids.exceptAll(whole).isEmpty() and whole.exceptAll(ids).isEmpty()
     for name, rows in found.items():
         assert sorted(map(str, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(map(str, rows))
+
+
+def test_refused_postings_gather_no_skills_for_the_gate(spark, tmp_path, monkeypatch):
+    for name in V.GIVEN:
+        os.symlink(f"{SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
+    v, made = V.Views(spark, str(tmp_path)), []
+    monkeypatch.setattr(V, "load_enriched", lambda s, e, j, plain=V.load_enriched: made.append(e) or plain(s, e, j))
+    mine = v.gated()
+    assert mine.filter("size(tech_skills) > 0").count() > 0
+    listed = made[0].filter("tech_skills is not null").select("job_id")
+    assert listed.join(mine, "job_id", "left_anti").isEmpty()
+    whole = V.load_enriched(v.staging(texts=False), v.enriched(), v.judged())
+    assert mine.exceptAll(whole).isEmpty() and whole.exceptAll(mine).isEmpty()
